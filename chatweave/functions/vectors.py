@@ -29,18 +29,42 @@ def token_bucket(word: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``fn`` (Spark does not
+    share repeated sub-expressions inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def hashed_counts(text, dim: int = DEFAULT_DIM) -> Column:
-    """Token counts hashed into ``dim`` buckets (double)."""
-    buckets = F.transform(tokens(text), lambda w: token_bucket(w, dim))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"),
-    )
+    """Token counts hashed into ``dim`` buckets (double).
+
+    The bucket ids are sorted once; the count of bucket ``b`` is the
+    distance between its first and last position, found by native array
+    scans -- ``dim`` lambda calls per text instead of ``dim`` per token.
+    """
+    buckets = F.array_sort(F.transform(tokens(text), lambda w: token_bucket(w, dim)))
+
+    def counts(a):
+        def count(b):
+            first = F.array_position(a, b)
+            last = F.size(a) - F.array_position(F.reverse(a), b) + 1
+            return F.when(first > 0, last - first + 1).otherwise(F.lit(0)).cast("double")
+
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), count)
+
+    return let(buckets, counts)
 
 
 def _normalise(vec: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
-    return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    """Divide by the L2 norm, computed once (the fold's finish step)."""
+    return F.aggregate(
+        vec,
+        F.lit(0.0).cast("double"),
+        lambda acc, x: acc + x * x,
+        lambda acc: F.transform(
+            vec, lambda x: F.when(acc > 0, x / F.sqrt(acc)).otherwise(F.lit(0.0)).cast("float")
+        ),
+    )
 
 
 def normalise(vec) -> Column:

@@ -16,20 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatweave.functions.vectors import DEFAULT_DIM, hashed_counts, normalise
+from chatweave.functions.vectors import DEFAULT_DIM, hashed_counts, let, normalise
 
 
 def embed_hashed(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = DEFAULT_DIM) -> DataFrame:
     """Add ``out_col``: L2-normalised hashed token counts (``array<float>``).
 
-    The counts are a column of their own so the normalisation does not
+    The counts are bound once per row, so the normalisation does not
     recompute them per element.
     """
-    return (
-        df.withColumn("_counts", hashed_counts(F.col(text_col), dim))
-        .withColumn(out_col, normalise("_counts"))
-        .drop("_counts")
-    )
+    return df.withColumn(out_col, let(hashed_counts(F.col(text_col), dim), normalise))
 
 
 def embed_with_model(

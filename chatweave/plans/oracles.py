@@ -271,9 +271,9 @@ off AS (
          CAST(coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset
   FROM lines WINDOW w AS (PARTITION BY chat_key, batch_id ORDER BY time, message_id))
 SELECT chat_key, batch_id, chunk_no, text FROM (
-  SELECT chat_key, batch_id, CAST(floor(offset / 1000) AS BIGINT) AS chunk_no,
+  SELECT chat_key, batch_id, CAST(floor("offset" / 1000) AS BIGINT) AS chunk_no,
          {_strip("string_agg(line, chr(10) ORDER BY line_no)")} AS text
-  FROM off GROUP BY chat_key, batch_id, CAST(floor(offset / 1000) AS BIGINT))
+  FROM off GROUP BY chat_key, batch_id, CAST(floor("offset" / 1000) AS BIGINT))
 WHERE text <> ''""",
     "chunk_greedy": f"{LOADED},{CLEAN},{LINES},{_greedy()} SELECT chat_key, batch_id, chunk_no, text FROM chunks",
     "embed_hashed": f"WITH {_embed('documents', 'doc_id', 'text', 'emb')} SELECT doc_id, embedding FROM emb",
