@@ -22,6 +22,7 @@ group limit before the shuffle. Cosine search is L2 search on unit vectors.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +46,9 @@ class VectorIndex:
 
 
 def _pivot_literal(pivots: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)).cast("double") for x in p]) for p in pivots])
+    """The pivots as one constant (a JSON literal, folded by the optimizer)."""
+    text = json.dumps([[float(x) for x in p] for p in pivots])
+    return F.from_json(F.lit(text), "array<array<double>>")
 
 
 def _pivot_distances(vec: Column, pivots: list[list[float]]) -> Column:
