@@ -7,6 +7,7 @@ codegen); no Python runs per row.
 from __future__ import annotations
 
 import functools
+import re
 import sys
 
 from pyspark.sql import Column
@@ -21,10 +22,9 @@ from pyspark.sql import functions as F
 # flat form matches the same text. The flat form matters: Java regex recurses
 # once per repetition of an alternation and overflows its stack on long links.
 LINK_PATTERN = r"https?://[ !$-_a-z]+"
-# A "word" character: Unicode letters, Unicode numbers and underscore (the
-# Unicode-aware \w). Java's plain \w is ASCII only.
-WORD_CHAR = r"[\p{L}\p{N}_]"
-NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
+# A "word" character is the reference's Unicode-aware \w (letters, numbers,
+# underscore). It is built from the rule below (``word_class``): Java's
+# plain \w is ASCII only and its \p{L} follows an older Unicode version.
 # Line terminators recognised by str.splitlines(), in regex form:
 # CR LF, LF, CR, VT, FF, FS, GS, RS, NEL, LINE SEPARATOR, PARAGRAPH SEPARATOR.
 LINE_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])"
@@ -67,6 +67,21 @@ def digit_class() -> str:
     return r"\p{Nd}" + extra
 
 
+@functools.lru_cache(maxsize=None)
+def word_class() -> str:
+    """Characters that the reference's ``\\w`` matches."""
+    word = re.compile(r"\w")
+    return _class_from_rule(lambda c: word.match(c) is not None)
+
+
+def word_char() -> str:
+    return f"[{word_class()}]"
+
+
+def non_word_run() -> str:
+    return f"[^{word_class()}]+"
+
+
 @functools.lru_cache(maxsize=None)
 def whitespace_class() -> str:
     """Characters that str.isspace() accepts (Unicode \\s of the reference)."""
@@ -117,14 +132,14 @@ def chat_slug(c) -> Column:
     """
     name = _col(c)
     underscored = F.regexp_replace(name, f"[{whitespace_class()}]+", "_")
-    slug = F.regexp_replace(underscored, NON_WORD_RUN, "")
+    slug = F.regexp_replace(underscored, non_word_run(), "")
     return F.when(slug == "", F.substring(F.sha2(name, 256), 1, 16)).otherwise(slug)
 
 
 # --- message texts (B5, B6, H6, H7) -------------------------------------------
 
 def has_word_char(c) -> Column:
-    return _col(c).rlike(WORD_CHAR)
+    return _col(c).rlike(word_char())
 
 
 def remove_links(c) -> Column:

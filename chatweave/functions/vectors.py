@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatweave.functions.text import NON_WORD_RUN
+from chatweave.functions.text import non_word_run
 
 DEFAULT_DIM = 64
 
@@ -21,7 +21,7 @@ def _col(c) -> Column:
 
 def tokens(text) -> Column:
     """Lower-case word tokens (runs of letters, numbers and underscore)."""
-    return F.filter(F.split(F.lower(_col(text)), NON_WORD_RUN), lambda w: w != "")
+    return F.filter(F.split(F.lower(_col(text)), non_word_run()), lambda w: w != "")
 
 
 def token_bucket(word: Column, dim: int) -> Column:
