@@ -69,16 +69,68 @@ def digit_class() -> str:
 
 @functools.lru_cache(maxsize=None)
 def word_class() -> str:
-    """Characters that the reference's ``\\w`` matches."""
+    """Characters that the reference's ``\\w`` matches, as explicit ranges
+    (used as is by RE2 in the SQL oracles)."""
     word = re.compile(r"\w")
     return _class_from_rule(lambda c: word.match(c) is not None)
 
 
+_JAVA_WORD = r"\p{L}\p{N}_"
+
+
+@functools.lru_cache(maxsize=4)
+def _jvm_word_class(jvm_id: int) -> str:
+    """The same set for Java regex, fast: Java's native letter/number
+    classes plus the few code points it does not know (its Unicode tables
+    are older), consulted only above the lowest of them. Computed once on
+    the driver JVM with two ``replaceAll`` calls; falls back to the explicit
+    ranges if Java counts a character the rule does not."""
+    from pyspark.sql import SparkSession
+
+    jvm = SparkSession.getActiveSession().sparkContext._jvm
+    word = re.compile(r"\w")
+    chars = [chr(cp) for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp <= 0xDFFF]
+    words = "".join(c for c in chars if word.match(c))
+    others = "".join(c for c in chars if not word.match(c))
+    pattern = jvm.java.util.regex.Pattern
+    missing = pattern.compile(f"[{_JAVA_WORD}]").matcher(jvm.java.lang.String(words)).replaceAll("")
+    extra = pattern.compile(f"[^{_JAVA_WORD}]").matcher(jvm.java.lang.String(others)).replaceAll("")
+    if extra:
+        return word_class()
+    if not missing:
+        return _JAVA_WORD
+    present = set(missing)
+    lo = min(ord(c) for c in missing)
+    return _JAVA_WORD + f"[\\x{{{lo:x}}}-\\x{{10ffff}}&&[{_class_from_rule(lambda c: c in present)}]]"
+
+
+def spark_word_class() -> str:
+    from pyspark.sql import SparkSession
+
+    active = SparkSession.getActiveSession()
+    if active is None:
+        return word_class()
+    try:
+        return _jvm_word_class(id(active.sparkContext._jvm))
+    except Exception:  # no JVM (e.g. Spark Connect): explicit ranges
+        return word_class()
+
+
 def word_char() -> str:
-    return f"[{word_class()}]"
+    """One word character, for Spark (Java regex)."""
+    return f"[{spark_word_class()}]"
 
 
 def non_word_run() -> str:
+    """A run of non-word characters, for Spark (Java regex)."""
+    return f"[^{spark_word_class()}]+"
+
+
+def portable_word_char() -> str:
+    return f"[{word_class()}]"
+
+
+def portable_non_word_run() -> str:
     return f"[^{word_class()}]+"
 
 

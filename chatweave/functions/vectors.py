@@ -21,7 +21,7 @@ def _col(c) -> Column:
 
 def tokens(text) -> Column:
     """Lower-case word tokens (runs of letters, numbers and underscore)."""
-    return F.filter(F.split(F.lower(_col(text)), non_word_run()), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(_col(text)), non_word_run()), "")
 
 
 def token_bucket(word: Column, dim: int) -> Column:

@@ -5,15 +5,21 @@ are shared text; the operator logic is written again in SQL).
 
 from __future__ import annotations
 
-from chatweave.functions.text import LINK_PATTERN, digit_class, non_word_run, whitespace_class, word_char
+from chatweave.functions.text import (
+    LINK_PATTERN,
+    digit_class,
+    portable_non_word_run,
+    portable_word_char,
+    whitespace_class,
+)
 from chatweave.plans import catalog as C
 from chatweave.sources.testdata import binding_ctes
 
 BIND = binding_ctes()
 DIGITS = digit_class()
 WS = whitespace_class()
-WORD = word_char()
-NON_WORD = non_word_run()
+WORD = portable_word_char()
+NON_WORD = portable_non_word_run()
 BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])"
 
 ADDR = f"""
