@@ -28,7 +28,8 @@ with a stitch:
   partition count): the real fold; a partition leaves its final open chunk
   to the next partition, which starts with it as carry.
 
-Both passes read the same range exchange. ``chunk_grid`` is the pure-SQL
+The input is checkpointed once (the range partitioner samples it in a job
+of its own, and both passes read it), so the upstream plan runs once. ``chunk_grid`` is the pure-SQL
 alternative: ``chunk_no = floor(offset / size)``; not greedy, and a chunk can
 exceed ``size`` by one line.
 """
@@ -45,6 +46,7 @@ from pyspark.sql import types as T
 
 from chatweave.functions.text import format_line, whitespace_class
 from chatweave.operators.sequence import range_sorted, with_positions
+from chatweave.session import materialize
 
 # Chunk size in characters (code points) and overlap.
 CHUNK_SIZE = 1000
@@ -339,7 +341,8 @@ def _emit(size: int):
 def chunk_greedy(lines: DataFrame, size: int = CHUNK_SIZE, num_partitions: int | None = None) -> DataFrame:
     """Greedy chunks ``(chat_key, batch_id, chunk_no, text)`` of ``lines``
     (see module doc). ``chunk_no`` counts chunk starts within the group."""
-    r = range_sorted(lines.select("chat_key", "batch_id", "time", "message_id", "line"), GROUP, ORDER, num_partitions)
+    src = materialize(lines.select("chat_key", "batch_id", "time", "message_id", "line"))
+    r = range_sorted(src, GROUP, ORDER, num_partitions)
     summaries = r.mapInPandas(_summarize(size), SUMMARY_SCHEMA)
     stitched = summaries.groupBy(*GROUP).applyInPandas(_stitch(size), STITCH_SCHEMA)
     # at most one stitched row per partition boundary: bounded by the partition count

@@ -13,7 +13,9 @@ Exact top-k without comparing every query with every item of its chat:
   compared. The result is exact (ties broken by item key).
 
 A query meets at most ``P`` cells, so the query-cell table is bounded per
-query; candidate pairs are as many as the pruning leaves. Top-k per query
+query; candidate pairs are as many as the pruning leaves, and their
+distances are computed per Arrow batch in numpy (SQL has no vector
+primitive; per-element lambdas are interpreted). Top-k per query
 is a ``row_number() <= k`` window, which Spark plans with a partial
 group limit before the shuffle. Cosine search is L2 search on unit vectors.
 
@@ -25,14 +27,31 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatweave.functions.vectors import l2_distance, normalise
+from chatweave.session import materialize
 
 EPS = 1e-9
 
 
+@F.pandas_udf(T.DoubleType())
+def _l2_batched(a: pd.Series, b: pd.Series) -> pd.Series:
+    """L2 distance of many vector pairs per Arrow batch. The squares are
+    summed left to right (``cumsum``), the same order as the SQL fold, so
+    the result is bit-identical to ``l2_distance``."""
+    if len(a) == 0:
+        return pd.Series([], dtype="float64")
+    x = np.stack(a.to_numpy()).astype(np.float64)
+    y = np.stack(b.to_numpy()).astype(np.float64)
+    d = x - y
+    return pd.Series(np.sqrt(np.cumsum(d * d, axis=1)[:, -1]))
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """Items with their cell, per-cell statistics and the pivot vectors."""
@@ -80,6 +99,7 @@ def build_index(
         (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int").alias("_cell"),
         F.array_min("_pd").alias("_r"),
     )
+    cells = materialize(cells)  # read by the statistics and by both search phases
     stats = cells.groupBy(*group_cols, "_cell").agg(
         F.count(F.lit(1)).alias("_n"), F.max("_r").alias("_radius")
     )
@@ -116,7 +136,7 @@ def search(
     probe = qc.where(F.col("_before") < k).select("_qid", *g, "_qv", "_cell")
     first = (
         probe.join(items, [*g, "_cell"])
-        .withColumn("_d", l2_distance("_qv", "_v"))
+        .withColumn("_d", _l2_batched("_qv", "_v"))
         .withColumn("_rk", F.row_number().over(rank_w))
         .where(F.col("_rk") <= k)
         .groupBy("_qid")
@@ -128,7 +148,7 @@ def search(
     ).select("_qid", *g, "_qv", "_cell")
     scored = (
         cand.join(items, [*g, "_cell"])
-        .withColumn("_d", l2_distance("_qv", "_v"))
+        .withColumn("_d", _l2_batched("_qv", "_v"))
         .withColumn("rank", F.row_number().over(rank_w))
         .where(F.col("rank") <= k)
     )

@@ -13,6 +13,9 @@ third of the job on one core. Instead:
    each group that continues from an earlier partition, the offset to add.
    At most one group crosses each partition boundary, so the offset table
    has at most one row per partition: a proven bound, safe to broadcast.
+
+The input is checkpointed first: the range partitioner samples it in a job
+of its own and both the per-partition pass and the totals read it.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatweave.session import materialize
+
 
 def default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -68,7 +73,7 @@ def with_positions(
     ``length_col`` is given, ``_offset``: the sum of ``length + 1`` over the
     earlier rows of the group (the start of the row in the group's rows joined
     by one separator character)."""
-    r = range_sorted(df, group_cols, order_cols, num_partitions)
+    r = range_sorted(materialize(df), group_cols, order_cols, num_partitions)
     out_schema = T.StructType(r.schema.fields + [T.StructField("_lpos", T.LongType())]
                               + ([T.StructField("_loff", T.LongType())] if length_col else []))
 

@@ -20,6 +20,9 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of operators that cut lineage are removed once the
+    # checkpointed DataFrame is garbage-collected on the driver
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -75,6 +78,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def materialize(df):
+    """Compute ``df`` once into the shared checkpoint folder and continue
+    from there (a reliable checkpoint: it survives executor loss, unlike a
+    local one). Used where a plan would otherwise be evaluated several
+    times: a range partitioner samples its input in a job of its own, and
+    both passes of a two-pass operator read the same input."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
