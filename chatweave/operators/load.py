@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.operators.addresses import sender_map
-from chatweave.operators.chats import chat_ids
+from chatweave.operators.addresses import contact_addresses, sender_map, unresolved_addresses
+from chatweave.operators.chats import chat_ids, unresolved_chats
 from chatweave.sources.store import MessageStore
 
 OUTPUT_COLUMNS = ["chat_key", "message_id", "sender", "text", "time", "type"]
@@ -102,6 +102,59 @@ def labelled_messages(
     )
 
 
+class UnresolvedDefinitionError(ValueError):
+    """A chat definition that cannot be resolved (strict loads only)."""
+
+
+def definition_problems(store: MessageStore, chats: DataFrame, contacts: DataFrame) -> DataFrame:
+    """``(chat_key, kind, detail, reason)``: what the reference raises on.
+
+    Group chats: a name with no chat, a member address that is invalid or
+    matches no handle. One-to-one chats: an invalid address, or one that
+    matches no chat identifier. Rows, so every problem of every chat is
+    reported at once.
+    """
+    groups = chats.where(F.col("kind") == "group").select("chat_key")
+    people = chats.where(F.col("kind") == "individual").select("chat_key")
+    bad_member = (
+        unresolved_addresses(contacts, store.handle)
+        .join(groups, "chat_key", "left_semi")
+        .select("chat_key", F.lit("group").alias("kind"), F.col("raw_address").alias("detail"), "reason")
+    )
+    bad_person = (
+        contact_addresses(contacts)
+        .where(F.col("status") != "ok")
+        .join(people, "chat_key", "left_semi")
+        .select("chat_key", F.lit("individual").alias("kind"), F.col("raw_address").alias("detail"),
+                F.col("status").alias("reason"))
+    )
+    no_chat = unresolved_chats(chats, contacts, store.chat).select(
+        "chat_key", "kind", "detail", F.lit("no chat").alias("reason")
+    )
+    return bad_member.unionByName(bad_person).unionByName(no_chat)
+
+
+def select_chats(chats: DataFrame, keys: list[str]) -> DataFrame:
+    """The definitions of ``keys``; an undefined key raises ``KeyError``
+    (as asking the reference for an unknown chat does). ``keys`` is a
+    user-given list, so the check collects at most ``len(keys)`` rows."""
+    wanted = chats.where(F.col("chat_key").isin(list(keys)))
+    found = {r.chat_key for r in wanted.select("chat_key").distinct().collect()}
+    missing = [k for k in keys if k not in found]
+    if missing:
+        raise KeyError(f"chats not defined: {missing}")
+    return wanted
+
+
+def require_resolved(store: MessageStore, chats: DataFrame, contacts: DataFrame, show: int = 20) -> None:
+    """Raise ``UnresolvedDefinitionError`` if any definition has a problem.
+    Only the first ``show`` problems travel to the driver, for the message."""
+    sample = definition_problems(store, chats, contacts).limit(show).collect()
+    if sample:
+        lines = "; ".join(f"{r.chat_key} ({r.kind}): {r.detail!r} {r.reason}" for r in sample)
+        raise UnresolvedDefinitionError(f"unresolved chat definitions: {lines}")
+
+
 def load_messages(
     store: MessageStore,
     chats: DataFrame,
@@ -110,22 +163,28 @@ def load_messages(
     marks: DataFrame | None = None,
     kinds: tuple[str, ...] = ("group", "individual"),
     ordered: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """``(chat_key, message_id, sender, text, time, type)`` of every defined chat.
 
     ``ordered=True`` sorts by ``(chat_key, time, message_id)``: a range
     partitioned sort, so one large chat is spread over many tasks.
+    ``strict=True`` first raises on unresolvable definitions (see
+    ``definition_problems``); otherwise they load no messages and are
+    reported by ``definition_problems``.
     """
+    if strict:
+        require_resolved(store, chats.where(F.col("kind").isin(list(kinds))), contacts)
     df = labelled_messages(store, chats, contacts, since, marks, kinds).select(*OUTPUT_COLUMNS)
     return df.orderBy("chat_key", "time", "message_id") if ordered else df
 
 
-def load_group(store, chats, contacts, since=None, ordered=False) -> DataFrame:
-    return load_messages(store, chats, contacts, since, kinds=("group",), ordered=ordered)
+def load_group(store, chats, contacts, since=None, ordered=False, strict=False) -> DataFrame:
+    return load_messages(store, chats, contacts, since, kinds=("group",), ordered=ordered, strict=strict)
 
 
-def load_individual(store, chats, contacts, since=None, ordered=False) -> DataFrame:
-    return load_messages(store, chats, contacts, since, kinds=("individual",), ordered=ordered)
+def load_individual(store, chats, contacts, since=None, ordered=False, strict=False) -> DataFrame:
+    return load_messages(store, chats, contacts, since, kinds=("individual",), ordered=ordered, strict=strict)
 
 
 def unknown_senders(store, chats, contacts, since=None) -> DataFrame:

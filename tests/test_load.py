@@ -124,3 +124,25 @@ def test_message_under_two_chat_ids_appears_twice(spark, store):
     chats, contacts = definitions(spark, groups=[("name", "name", [("Alice", ALICE), ("Bob", BOB)])])
     times = [r[2] for r in _rows(load.load_group(s2, chats, contacts, ordered=True))]
     assert times == [0, 10, 10, 20, 30]
+
+
+def test_strict_load_raises_like_the_reference(spark, store):
+    import pytest
+
+    ok_chats, ok_contacts = definitions(spark, groups=[("name", "name", [("Alice", ALICE), ("Bob", BOB)])],
+                                        people=[("alice", "Alice", ALICE)])
+    assert load.load_messages(store, ok_chats, ok_contacts, strict=True).count() == 8
+    cases = [
+        definitions(spark, groups=[("name", "name", [("Carol", ["(987)654-3210"])])]),  # no handle
+        definitions(spark, groups=[("x", "no such name", [("Bob", BOB)])]),  # no chat of that name
+        definitions(spark, people=[("carol", "Carol", ["(987)654-3210"])]),  # no chat identifier
+        definitions(spark, people=[("short", "Short", ["123-4567"])]),  # too short
+    ]
+    for chats, contacts in cases:
+        with pytest.raises(load.UnresolvedDefinitionError):
+            load.load_messages(store, chats, contacts, strict=True)
+        assert load.definition_problems(store, chats, contacts).count() == 1
+        load.load_messages(store, chats, contacts).count()  # lenient: no error
+    with pytest.raises(KeyError):
+        load.select_chats(ok_chats, ["name", "fake name"])
+    assert load.select_chats(ok_chats, ["alice"]).count() == 1
