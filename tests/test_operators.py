@@ -162,6 +162,18 @@ def test_incremental_ingest_is_idempotent_and_uses_marks(spark, store):
     assert sorted(r.batch_id for r in vecs) == [1, 2]
 
 
+def test_incremental_ingest_individual_chat(spark, store):
+    chats, contacts = definitions(spark, people=[("alice", "Alice", ALICE)])
+    state = scratch_path(spark, "ingest-individual")
+    early = type(store)(store.handle, store.chat, store.message.where(F.col("date") <= 12), store.chat_message_join)
+    incremental.ingest_batch(early, chats, contacts, state, 1, rules=())
+    incremental.ingest_batch(store, chats, contacts, state, 2, rules=())
+    saved = incremental.read_table(spark, state, "messages").orderBy("time").collect()
+    assert [(r.sender, r.time, r.batch_id) for r in saved] == [
+        ("You", 2, 1), ("Alice", 12, 1), ("Alice", 22, 2), ("Alice", 32, 2)
+    ]
+
+
 def test_csv_round_trip_is_lossless(spark):
     rows = [("c", 1, "s", 'a "quoted"\nline', 1, 0), ("c", 2, "s", "  padded  ", 2, 0),
             ("c", 3, "s", "", 3, 0), ("c", 4, None, "\\N-like NA", 4, 0)]
