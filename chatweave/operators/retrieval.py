@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatweave.operators.embed import embed_hashed
 from chatweave.operators.search import topk
+from chatweave.session import materialize
 
 # Documents per context, their separator, and the prompt texts.
 NUM_DOCUMENTS = 10
@@ -54,6 +55,10 @@ def retrieve(
 def generate_context(questions: DataFrame, chunk_vectors: DataFrame, k: int = NUM_DOCUMENTS, metric: str = "l2") -> DataFrame:
     """``(query_id, chat_key, query, context)``: the top-k chunk texts joined
     by the separator in rank order. A group holds at most ``k`` rows."""
+    if "embedding" not in questions.columns:
+        questions = embed_hashed(questions, "query", "embedding")
+    # the questions feed the search and the final join: computed once
+    questions = materialize(questions.select("query_id", "chat_key", "query", "embedding"))
     hits = retrieve(questions, chunk_vectors, k, metric)
     ctx = hits.groupBy("query_id").agg(
         F.array_join(

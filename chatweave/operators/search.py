@@ -118,7 +118,8 @@ def search(
     g, keys = list(index.group_cols), list(index.item_keys)
     v = normalise(vec_col) if index.metric == "cosine" else F.col(vec_col)
     q = queries.select(F.col(query_key).alias("_qid"), *g, v.alias("_qv")).where(F.col("_qv").isNotNull())
-    q = q.withColumn("_qd", _pivot_distances(F.col("_qv"), index.pivots))
+    # read by both search phases: computed once (with its upstream plan)
+    q = materialize(q.withColumn("_qd", _pivot_distances(F.col("_qv"), index.pivots)))
 
     qc = q.join(index.cells, g).select(
         "_qid", *g, "_qv", "_cell", "_n",

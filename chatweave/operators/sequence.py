@@ -32,7 +32,14 @@ from chatweave.session import materialize
 
 
 def default_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range-partition count for ``df``: never fewer than the input's own
+    partitions. An explicit count is not resized by adaptive execution, so a
+    fixed ``spark.sql.shuffle.partitions`` alone would put ever more data in
+    each partition as the input grows. The input is a checkpoint (or a scan)
+    here, whose partitions are sized by bytes (``maxPartitionBytes`` /
+    the adaptive advisory size), so the count scales with the data."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, df.rdd.getNumPartitions())
 
 
 def range_sorted(df: DataFrame, group_cols: list[str], order_cols: list[str], num_partitions: int | None = None) -> DataFrame:
