@@ -31,7 +31,7 @@ def retrieve(
     chunk_vectors: DataFrame,
     k: int = NUM_DOCUMENTS,
     metric: str = "l2",
-    n_pivots: int = 16,
+    n_pivots: int | None = None,
 ) -> DataFrame:
     """Top-k chunks of the question's chat for every question.
 

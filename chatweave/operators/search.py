@@ -12,10 +12,12 @@ Exact top-k without comparing every query with every item of its chat:
   is at most ``tau`` can hold a true neighbour, and only their items are
   compared. The result is exact (ties broken by item key).
 
-A query meets at most ``P`` cells, so the query-cell table is bounded per
-query; candidate pairs are as many as the pruning leaves, and their
-distances are computed per Arrow batch in numpy (SQL has no vector
-primitive; per-element lambdas are interpreted). Top-k per query
+``P`` grows with the data: ``sqrt`` of the largest group's size, between 16
+and 256, so the cells of one very large chat stay small. A query meets at
+most ``P`` cells, so the query-cell table is bounded per query; candidate
+pairs are as many as the pruning leaves. Pivot and pair distances are
+computed per Arrow batch in numpy (SQL has no vector primitive;
+per-element lambdas are interpreted). Top-k per query
 is a ``row_number() <= k`` window, which Spark plans with a partial
 group limit before the shuffle. Cosine search is L2 search on unit vectors.
 
@@ -24,16 +26,16 @@ group limit before the shuffle. Cosine search is L2 search on unit vectors.
 
 from __future__ import annotations
 
-import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatweave.functions.vectors import l2_distance, normalise
+from chatweave.functions.vectors import normalise
 from chatweave.session import materialize
 
 EPS = 1e-9
@@ -64,14 +66,55 @@ class VectorIndex:
     metric: str
 
 
-def _pivot_literal(pivots: list[list[float]]) -> Column:
-    """The pivots as one constant (a JSON literal, folded by the optimizer)."""
-    text = json.dumps([[float(x) for x in p] for p in pivots])
-    return F.from_json(F.lit(text), "array<array<double>>")
+# Pivot count bounds. Per query the work is about P cell bounds plus the
+# items of the cells it must open (~n/P each), least near P = sqrt(n) for a
+# group of n items; the cap keeps the pivot matrix, shipped with the task,
+# small.
+MIN_PIVOTS = 16
+MAX_PIVOTS = 256
+_BLOCK = 1 << 21  # doubles per block of the row x pivot x dim difference tensor
 
 
-def _pivot_distances(vec: Column, pivots: list[list[float]]) -> Column:
-    return F.transform(_pivot_literal(pivots), lambda p: l2_distance(vec, p))
+def _pivot_matrix_distances(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Distances of every vector to every pivot (rows x pivots), as
+    ``sqrt(sum((x - p)^2))`` in double: no cancellation, so the triangle
+    bounds built from them hold up to rounding of unit-size numbers."""
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    out = np.empty((len(x), len(pivots)), dtype=np.float64)
+    step = max(1, _BLOCK // max(1, pivots.size))
+    for i in range(0, len(x), step):
+        d = x[i:i + step, None, :] - pivots[None, :, :]
+        out[i:i + step] = np.sqrt(np.einsum("rpd,rpd->rp", d, d))
+    return out
+
+
+def _pivot_udfs(pivots: list[list[float]]):
+    """Arrow-batched helpers closed over the pivot matrix: the nearest pivot
+    and its distance (items), and the distances to all pivots (queries)."""
+    pm = np.asarray(pivots, dtype=np.float64)
+
+    @F.pandas_udf("_cell int, _r double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        if len(v) == 0:
+            return pd.DataFrame({"_cell": pd.Series([], dtype="int32"), "_r": pd.Series([], dtype="float64")})
+        d = _pivot_matrix_distances(v, pm)
+        cell = d.argmin(axis=1)
+        return pd.DataFrame({"_cell": cell.astype(np.int32), "_r": d[np.arange(len(d)), cell]})
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def all_distances(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        return pd.Series(list(_pivot_matrix_distances(v, pm)))
+
+    return nearest, all_distances
+
+
+def pivot_count(items: DataFrame, group_cols: tuple[str, ...]) -> int:
+    """``sqrt`` of the largest group's item count, within the bounds (one
+    aggregate job; partial counts are combined before the shuffle)."""
+    largest = items.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    return int(min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(math.sqrt(largest)))))
 
 
 def build_index(
@@ -79,25 +122,34 @@ def build_index(
     vec_col: str = "embedding",
     group_cols: tuple[str, ...] = ("chat_key",),
     item_keys: tuple[str, ...] = ("item_id",),
-    n_pivots: int = 16,
+    n_pivots: int | None = None,
     metric: str = "l2",
 ) -> VectorIndex:
-    """Assign items to pivot cells. The pivot sample (``n_pivots`` rows) is
-    the only data brought to the driver."""
+    """Assign items to pivot cells. The pivot sample (``n_pivots`` rows; by
+    default chosen by ``pivot_count``) is the only data brought to the
+    driver."""
     v = normalise(vec_col) if metric == "cosine" else F.col(vec_col)
     base = items.select(*group_cols, *item_keys, v.alias("_v")).where(F.col("_v").isNotNull())
+    base = materialize(base)  # read by the pivot choice, the sample and the assignment
+    if n_pivots is None:
+        n_pivots = pivot_count(base, tuple(group_cols))
     sample = (
         base.select("_v", F.xxhash64(*item_keys).alias("_h"), *item_keys)
         .orderBy("_h", *item_keys)
         .limit(n_pivots)
         .collect()
     )
-    pivots = [[float(x) for x in r["_v"]] for r in sample] or [[0.0]]
-    pd_ = _pivot_distances(F.col("_v"), pivots)
-    cells = base.withColumn("_pd", pd_).select(
-        *group_cols, *item_keys, "_v",
-        (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int").alias("_cell"),
-        F.array_min("_pd").alias("_r"),
+    pivots = [[float(x) for x in r["_v"]] for r in sample]
+    if not pivots:
+        return VectorIndex(
+            base.withColumn("_cell", F.lit(0)),
+            base.groupBy(*group_cols).agg(F.lit(0).alias("_cell"), F.count(F.lit(1)).alias("_n"),
+                                          F.lit(0.0).alias("_radius")),
+            [], tuple(group_cols), tuple(item_keys), metric,
+        )
+    nearest, _ = _pivot_udfs(pivots)
+    cells = base.withColumn("_near", nearest("_v")).select(
+        *group_cols, *item_keys, "_v", F.col("_near._cell").alias("_cell"), F.col("_near._r").alias("_r"),
     )
     cells = materialize(cells)  # read by the statistics and by both search phases
     stats = cells.groupBy(*group_cols, "_cell").agg(
@@ -118,8 +170,11 @@ def search(
     g, keys = list(index.group_cols), list(index.item_keys)
     v = normalise(vec_col) if index.metric == "cosine" else F.col(vec_col)
     q = queries.select(F.col(query_key).alias("_qid"), *g, v.alias("_qv")).where(F.col("_qv").isNotNull())
+    if not index.pivots:  # no items: no neighbours
+        return _empty_result(queries, index, query_key)
+    _, all_distances = _pivot_udfs(index.pivots)
     # read by both search phases: computed once (with its upstream plan)
-    q = materialize(q.withColumn("_qd", _pivot_distances(F.col("_qv"), index.pivots)))
+    q = materialize(q.withColumn("_qd", all_distances("_qv")))
 
     qc = q.join(index.cells, g).select(
         "_qid", *g, "_qv", "_cell", "_n",
@@ -159,6 +214,16 @@ def search(
     return out
 
 
+def _empty_result(queries: DataFrame, index: VectorIndex, query_key: str) -> DataFrame:
+    spark = queries.sparkSession
+    g, keys = list(index.group_cols), list(index.item_keys)
+    fields = [queries.schema[query_key]] + [index.items.schema[c] for c in g + keys]
+    schema = T.StructType(fields + [T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+    if index.metric == "cosine":
+        schema = schema.add("similarity", T.DoubleType())
+    return spark.createDataFrame([], schema)
+
+
 def topk(
     queries: DataFrame,
     items: DataFrame,
@@ -169,7 +234,7 @@ def topk(
     query_vec: str = "embedding",
     item_vec: str = "embedding",
     metric: str = "l2",
-    n_pivots: int = 16,
+    n_pivots: int | None = None,
 ) -> DataFrame:
     """Exact top-k (see module doc); ``metric`` is 'l2' or 'cosine'."""
     index = build_index(items, item_vec, group_cols, item_keys, n_pivots, metric)
