@@ -182,3 +182,15 @@ def test_csv_round_trip_is_lossless(spark):
     sinks.write_csv(df, path)
     back = sorted(tuple(r) for r in sinks.read_csv(spark, path).collect())
     assert back == sorted(rows)
+
+
+def test_range_partitions_grow_with_the_input(spark):
+    from chatweave.session import materialize
+
+    small = materialize(spark.range(100).repartition(2))
+    big = materialize(spark.range(100).repartition(37))
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sequence.default_partitions(small) == max(configured, 2)
+    assert sequence.default_partitions(big) == 37
+    r = sequence.range_sorted(big.withColumn("g", F.col("id") % 3), ["g"], ["id"])
+    assert r.rdd.getNumPartitions() == 37
