@@ -189,22 +189,33 @@ def search(
     items = index.items.select(*g, *keys, "_v", "_cell")
     rank_w = Window.partitionBy("_qid").orderBy("_d", *keys)
 
+    # phase 1: the first cells (by lower bound) that hold k items
     probe = qc.where(F.col("_before") < k).select("_qid", *g, "_qv", "_cell")
-    first = (
+    near = materialize(  # at most k rows per query; read twice below
         probe.join(items, [*g, "_cell"])
         .withColumn("_d", _l2_batched("_qv", "_v"))
         .withColumn("_rk", F.row_number().over(rank_w))
         .where(F.col("_rk") <= k)
-        .groupBy("_qid")
+        .select("_qid", *g, *keys, "_d")
+    )
+    tau = (
+        near.groupBy("_qid")
         .agg(F.max("_d").alias("_tau"), F.count(F.lit(1)).alias("_m"))
         .select("_qid", F.when(F.col("_m") >= k, F.col("_tau")).alias("_tau"))
     )
-    cand = qc.join(first, "_qid", "left").where(
-        F.col("_tau").isNull() | (F.col("_lb") <= F.col("_tau") + EPS)
+    # phase 2: only cells not yet opened whose bound can beat tau; a true
+    # neighbour in an opened cell is already among that cell set's top k.
+    # A null tau means the group has fewer than k items, all opened.
+    cand = qc.where(F.col("_before") >= k).join(tau, "_qid").where(
+        F.col("_tau").isNotNull() & (F.col("_lb") <= F.col("_tau") + EPS)
     ).select("_qid", *g, "_qv", "_cell")
-    scored = (
+    more = (
         cand.join(items, [*g, "_cell"])
         .withColumn("_d", _l2_batched("_qv", "_v"))
+        .select("_qid", *g, *keys, "_d")
+    )
+    scored = (
+        near.unionByName(more)
         .withColumn("rank", F.row_number().over(rank_w))
         .where(F.col("rank") <= k)
     )

@@ -194,3 +194,23 @@ def test_range_partitions_grow_with_the_input(spark):
     assert sequence.default_partitions(big) == 37
     r = sequence.range_sorted(big.withColumn("g", F.col("id") % 3), ["g"], ["id"])
     assert r.rdd.getNumPartitions() == 37
+
+
+def test_exact_topk_hot_group_ties_and_adaptive_pivots(spark):
+    rnd = np.random.default_rng(11)
+    n = 900
+    vecs = rnd.normal(size=(n, 6)).round(1).astype(np.float32)
+    vecs[100:160] = vecs[0:60]  # exact duplicates: ties broken by item key
+    groups = np.where(rnd.random(n) < 0.8, 0, rnd.integers(1, 4, size=n))  # group 0 holds ~80%
+    items = spark.createDataFrame(
+        [(int(i), int(groups[i]), [float(x) for x in vecs[i]]) for i in range(n)],
+        "item_id long, chat_key int, embedding array<float>",
+    )
+    queries = items.where(F.col("item_id") % 7 == 0).withColumnRenamed("item_id", "query_id")
+    got = search.topk(queries, items, k=10, group_cols=("chat_key",))
+    got = {(r.query_id, r.rank): r.item_id for r in got.collect()}
+    v = vecs.astype(np.float64)
+    for q in range(0, n, 7):
+        same = [i for i in range(n) if groups[i] == groups[q]]
+        want = sorted((float(np.sqrt(((v[q] - v[i]) ** 2).sum())), i) for i in same)[:10]
+        assert [got[(q, r)] for r in range(1, len(want) + 1)] == [i for _, i in want]
