@@ -19,6 +19,10 @@ from chatweave.sources.store import MessageStore
 
 OUTPUT_COLUMNS = ["chat_key", "message_id", "sender", "text", "time", "type"]
 
+# Distinct join keys given to rows that need no handle address (handle row
+# ids are never negative, so these match nothing).
+ADDRESS_JOIN_SALTS = 4096
+
 
 def _definitions(chats: DataFrame, contacts: DataFrame) -> DataFrame:
     """``(chat_key, kind, user_name, other_name)``; ``other_name`` is the
@@ -53,7 +57,8 @@ def labelled_messages(
     kinds: tuple[str, ...] = ("group", "individual"),
 ) -> DataFrame:
     """Messages with sender resolution detail: output columns plus ``kind``,
-    ``handle_id``, ``is_from_me``, ``member_name`` and ``handle_address``.
+    ``handle_id``, ``is_from_me``, ``member_name`` and ``handle_address``
+    (the latter only where it is used: group senders without a member name).
 
     ``since``: keep ``time > since`` (strict). ``marks``: per-chat cursor
     ``(chat_key, mark_time, mark_id)``; keep rows after ``(time, message_id)``.
@@ -83,7 +88,21 @@ def labelled_messages(
     if "group" in kinds:
         names = sender_map(chats, contacts, store.handle).withColumnRenamed("name", "member_name")
         addresses = store.handle.select(F.col("rowid").alias("handle_id"), F.col("id").alias("handle_address"))
-        joined = joined.join(names, ["chat_key", "handle_id"], "left").join(addresses, "handle_id", "left")
+        joined = joined.join(names, ["chat_key", "handle_id"], "left")
+        # Only group senders without a member name fall back to the handle's
+        # address. Every other row (the user's own messages -- possibly a
+        # large share of all rows under one handle id -- members, one-to-one
+        # chats) gets a spread negative key that matches no handle, so no
+        # single key gathers them in one task of the join.
+        needs_address = (F.col("kind") == "group") & (
+            F.col("member_name").isNull() | (F.col("member_name") == "")
+        )
+        salt = -1 - F.pmod(F.xxhash64("message_id"), F.lit(ADDRESS_JOIN_SALTS))
+        joined = (
+            joined.withColumn("_addr_key", F.when(needs_address, F.col("handle_id")).otherwise(salt))
+            .join(addresses.withColumnRenamed("handle_id", "_addr_key"), "_addr_key", "left")
+            .drop("_addr_key")
+        )
     else:
         joined = joined.withColumn("member_name", F.lit(None).cast("string")).withColumn(
             "handle_address", F.lit(None).cast("string")
