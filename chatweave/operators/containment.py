@@ -13,8 +13,9 @@ predicate, so the work is proportional to the candidate pairs:
    the texts' grams -- an aggregate, so hot grams such as a country code
    are avoided whenever the pattern has a rarer window;
 3. patterns join text grams on that key (a pattern with no literal
-   character uses the empty key, which every text has) and the pair is kept
-   only if the real predicate holds.
+   character uses the empty key, which every text has; that key is salted
+   so it does not gather all texts in one task) and the pair is kept only
+   if the real predicate holds.
 
 Any text containing the pattern contains each of its literal windows, so no
 match is lost. Join strategies are left to adaptive execution: it broadcasts
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from chatweave.functions.text import like_literal
 
 WILDCARDS = r"[%_]"
+# Salt values of the empty gram (used only by patterns without a literal
+# character, which are replicated over all of them).
+EMPTY_GRAM_SALTS = 64
 
 
 def _windows(s: Column, length: Column) -> Column:
@@ -41,12 +45,19 @@ def _windows(s: Column, length: Column) -> Column:
 
 
 def text_grams(texts: DataFrame, text_col: str, q: int = 3) -> DataFrame:
-    """``texts`` plus ``_t`` (lower-case text) and one row per distinct gram."""
+    """``texts`` plus ``_t`` (lower-case text), one row per distinct gram
+    ``_gram`` and ``_salt``: the empty gram, which every text has, is spread
+    over ``EMPTY_GRAM_SALTS`` values so it is not one hot join key."""
     t = F.lower(F.col(text_col))
     grams = F.array_distinct(
         F.concat(F.array(F.lit("")), *[_windows(t, F.lit(k)) for k in range(1, q + 1)])
     )
-    return texts.withColumn("_t", t).withColumn("_gram", F.explode(grams))
+    salt = F.when(F.col("_gram") == "", F.pmod(F.xxhash64("_t"), F.lit(EMPTY_GRAM_SALTS)).cast("int"))
+    return (
+        texts.withColumn("_t", t)
+        .withColumn("_gram", F.explode(grams))
+        .withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    )
 
 
 def pattern_keys(patterns: DataFrame, pattern_col: str, grams: DataFrame, q: int = 3) -> DataFrame:
@@ -82,10 +93,14 @@ def containment_join(
     keys = pattern_keys(patterns, pattern_col, grams, q)
     like = F.like(F.col("_t"), F.concat(F.lit("%"), like_literal(F.col("_p")), F.lit("%")))
     verify = F.when(F.col("_p").rlike(WILDCARDS), like).otherwise(F.instr(F.col("_t"), F.col("_p")) > 0)
+    salts = F.when(
+        F.col("_key") == "", F.sequence(F.lit(0), F.lit(EMPTY_GRAM_SALTS - 1))
+    ).otherwise(F.array(F.lit(0)))
+    keys = keys.withColumn("_ksalt", F.explode(salts))
     matched = (
-        keys.join(grams, keys["_key"] == grams["_gram"], "inner")
+        keys.join(grams, (keys["_key"] == grams["_gram"]) & (keys["_ksalt"] == grams["_salt"]), "inner")
         .where(verify)
-        .drop("_key", "_gram", "_t")
+        .drop("_key", "_gram", "_t", "_ksalt", "_salt")
     )
     pats = patterns.withColumn("_p", F.lower(F.col(pattern_col)))
     return pats.join(matched, "_p", "inner").drop("_p")
