@@ -214,3 +214,20 @@ def test_exact_topk_hot_group_ties_and_adaptive_pivots(spark):
         same = [i for i in range(n) if groups[i] == groups[q]]
         want = sorted((float(np.sqrt(((v[q] - v[i]) ** 2).sum())), i) for i in same)[:10]
         assert [got[(q, r)] for r in range(1, len(want) + 1)] == [i for _, i in want]
+
+
+def test_stream_ingest_processes_each_drop_once(spark, store):
+    chats, contacts = definitions(spark, groups=[("name", "name", [("Alice", ALICE), ("Bob", BOB)])])
+    state = scratch_path(spark, "stream-test")
+    inbox = f"{state}/inbox"
+    store.message.where(F.col("date") <= 10).write.parquet(f"{inbox}/drop=1")
+    incremental.stream_ingest(spark, inbox, store, chats, contacts, state, rules=(), index=False)
+    store.message.where(F.col("date") > 10).write.parquet(f"{inbox}/drop=2")
+    incremental.stream_ingest(spark, inbox, store, chats, contacts, state, rules=(), index=True)
+    incremental.stream_ingest(spark, inbox, store, chats, contacts, state, rules=(), index=True)  # nothing new
+    saved = incremental.read_table(spark, state, "messages").orderBy("time").collect()
+    assert [(r.sender, r.time, r.batch_id) for r in saved] == [
+        ("You", 0, 1), ("Alice", 10, 1), ("Bob", 20, 2), ("Alice", 30, 2)
+    ]
+    vecs = incremental.read_table(spark, state, "chunk_vectors").collect()
+    assert sorted({r.batch_id for r in vecs}) == [2]
