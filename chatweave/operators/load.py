@@ -35,19 +35,6 @@ def _definitions(chats: DataFrame, contacts: DataFrame) -> DataFrame:
     return chats.select("chat_key", "kind", "user_name").join(people, "chat_key", "left")
 
 
-def _since_filter(df: DataFrame, since, marks: DataFrame | None) -> DataFrame:
-    if since is not None:
-        df = df.where(F.col("time") > F.lit(since))
-    if marks is not None:
-        m = marks.select("chat_key", "mark_time", "mark_id")
-        df = df.join(m, "chat_key", "left").where(
-            F.col("mark_time").isNull()
-            | (F.col("time") > F.col("mark_time"))
-            | ((F.col("time") == F.col("mark_time")) & (F.col("message_id") > F.col("mark_id")))
-        ).drop("mark_time", "mark_id")
-    return df
-
-
 def labelled_messages(
     store: MessageStore,
     chats: DataFrame,
@@ -64,9 +51,19 @@ def labelled_messages(
     ``(chat_key, mark_time, mark_id)``; keep rows after ``(time, message_id)``.
     """
     chats = chats.where(F.col("kind").isin(list(kinds)))
-    ids = chat_ids(chats, contacts, store.chat)
-    defs = _definitions(chats, contacts)
-    links = store.chat_message_join.join(ids, "chat_id").select("chat_key", "kind", "message_id")
+    # Everything per chat (definition, cursor) rides on the small chat-id
+    # table, so the big message side is joined once on its id and never on
+    # the chat key (which one large chat would make a hot key).
+    per_chat = chat_ids(chats, contacts, store.chat).join(
+        _definitions(chats, contacts).drop("kind"), "chat_key", "left"
+    )
+    mark_cols: list[str] = []
+    if marks is not None:
+        per_chat = per_chat.join(marks.select("chat_key", "mark_time", "mark_id"), "chat_key", "left")
+        mark_cols = ["mark_time", "mark_id"]
+    links = store.chat_message_join.join(per_chat, "chat_id").select(
+        "chat_key", "kind", "message_id", "user_name", "other_name", *mark_cols
+    )
 
     msg = store.message.select(
         F.col("rowid").alias("message_id"),
@@ -82,8 +79,12 @@ def labelled_messages(
     joined = msg.join(links, "message_id").where(
         F.when(F.col("kind") == "group", F.col("handle_id").isNotNull()).otherwise(F.col("is_from_me").isNotNull())
     )
-    joined = _since_filter(joined, None, marks)
-    joined = joined.join(defs.drop("kind"), "chat_key", "left")
+    if marks is not None:
+        joined = joined.where(
+            F.col("mark_time").isNull()
+            | (F.col("time") > F.col("mark_time"))
+            | ((F.col("time") == F.col("mark_time")) & (F.col("message_id") > F.col("mark_id")))
+        ).drop("mark_time", "mark_id")
 
     if "group" in kinds:
         names = sender_map(chats, contacts, store.handle).withColumnRenamed("name", "member_name")
