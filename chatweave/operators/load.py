@@ -19,9 +19,9 @@ from chatweave.sources.store import MessageStore
 
 OUTPUT_COLUMNS = ["chat_key", "message_id", "sender", "text", "time", "type"]
 
-# Distinct join keys given to rows that need no handle address (handle row
-# ids are never negative, so these match nothing).
-ADDRESS_JOIN_SALTS = 4096
+# Distinct join keys given to rows that need no sender-map or address
+# lookup (handle row ids are never negative, so these match nothing).
+JOIN_SALTS = 4096
 
 
 def _definitions(chats: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -57,12 +57,22 @@ def labelled_messages(
     per_chat = chat_ids(chats, contacts, store.chat).join(
         _definitions(chats, contacts).drop("kind"), "chat_key", "left"
     )
+    if "group" in kinds:
+        names = sender_map(chats, contacts, store.handle).withColumnRenamed("name", "member_name")
+        # The name of handle 0 (the user, or a member mapped to it) also
+        # rides on the chat-id table: the user's own messages need no join.
+        per_chat = per_chat.join(
+            names.where(F.col("handle_id") == 0).select("chat_key", F.col("member_name").alias("_zero_name")),
+            "chat_key", "left",
+        )
+    else:
+        per_chat = per_chat.withColumn("_zero_name", F.lit(None).cast("string"))
     mark_cols: list[str] = []
     if marks is not None:
         per_chat = per_chat.join(marks.select("chat_key", "mark_time", "mark_id"), "chat_key", "left")
         mark_cols = ["mark_time", "mark_id"]
     links = store.chat_message_join.join(per_chat, "chat_id").select(
-        "chat_key", "kind", "message_id", "user_name", "other_name", *mark_cols
+        "chat_key", "kind", "message_id", "user_name", "other_name", "_zero_name", *mark_cols
     )
 
     msg = store.message.select(
@@ -87,25 +97,35 @@ def labelled_messages(
         ).drop("mark_time", "mark_id")
 
     if "group" in kinds:
-        names = sender_map(chats, contacts, store.handle).withColumnRenamed("name", "member_name")
-        addresses = store.handle.select(F.col("rowid").alias("handle_id"), F.col("id").alias("handle_address"))
-        joined = joined.join(names, ["chat_key", "handle_id"], "left")
-        # Only group senders without a member name fall back to the handle's
-        # address. Every other row (the user's own messages -- possibly a
-        # large share of all rows under one handle id -- members, one-to-one
-        # chats) gets a spread negative key that matches no handle, so no
-        # single key gathers them in one task of the join.
-        needs_address = (F.col("kind") == "group") & (
-            F.col("member_name").isNull() | (F.col("member_name") == "")
+        # Rows that need no lookup (the user's own messages -- possibly a
+        # large share of all rows under one handle id --, one-to-one chats,
+        # and for the address, members) get a spread negative key that
+        # matches no handle, so no single key gathers them in one task.
+        salt = -1 - F.pmod(F.xxhash64("message_id"), F.lit(JOIN_SALTS))
+        group = F.col("kind") == "group"
+        by_member = group & (F.col("handle_id") != 0)
+        joined = (
+            joined.withColumn("_name_key", F.when(by_member, F.col("handle_id")).otherwise(salt))
+            .join(
+                names.where(F.col("handle_id") != 0).withColumnRenamed("handle_id", "_name_key"),
+                ["chat_key", "_name_key"], "left",
+            )
+            .withColumn(
+                "member_name",
+                F.when(group & (F.col("handle_id") == 0), F.col("_zero_name")).otherwise(F.col("member_name")),
+            )
+            .drop("_name_key", "_zero_name")
         )
-        salt = -1 - F.pmod(F.xxhash64("message_id"), F.lit(ADDRESS_JOIN_SALTS))
+        # Only group senders without a member name fall back to the address.
+        needs_address = group & (F.col("member_name").isNull() | (F.col("member_name") == ""))
+        addresses = store.handle.select(F.col("rowid").alias("_addr_key"), F.col("id").alias("handle_address"))
         joined = (
             joined.withColumn("_addr_key", F.when(needs_address, F.col("handle_id")).otherwise(salt))
-            .join(addresses.withColumnRenamed("handle_id", "_addr_key"), "_addr_key", "left")
+            .join(addresses, "_addr_key", "left")
             .drop("_addr_key")
         )
     else:
-        joined = joined.withColumn("member_name", F.lit(None).cast("string")).withColumn(
+        joined = joined.drop("_zero_name").withColumn("member_name", F.lit(None).cast("string")).withColumn(
             "handle_address", F.lit(None).cast("string")
         )
 

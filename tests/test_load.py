@@ -116,6 +116,22 @@ def test_later_member_wins_and_no_fan_out(spark, store):
     assert [r[0] for r in _rows(df)] == ["You", "Al", "Bob", "Al"]
 
 
+def test_member_on_handle_zero_overrides_the_user(spark, store):
+    # a handle with row id 0 whose address belongs to a member: the member
+    # labels the user's own messages, as in the reference's name map
+    handle = store.handle.unionByName(spark.createDataFrame([(0, "+19990000000")], "rowid long, id string"))
+    s2 = type(store)(handle, store.chat, store.message, store.chat_message_join)
+    chats, contacts = definitions(
+        spark, groups=[("name", "name", [("Alice", ALICE), ("Zed", ["999-000-0000"])]),
+                       ("name2", "name2", [("Alice", ALICE)])]
+    )
+    df = load.load_group(s2, chats, contacts).orderBy("chat_key", "time").select("chat_key", "sender", "time")
+    got = [(r.chat_key, r.sender, r.time) for r in df.collect()]
+    assert got[:4] == [("name", "Zed", 0), ("name", "Alice", 10), ("name", "+11000000000", 20),
+                       ("name", "Alice", 30)]
+    assert got[4] == ("name2", "You", 1)
+
+
 def test_message_under_two_chat_ids_appears_twice(spark, store):
     links = store.chat_message_join.unionByName(
         spark.createDataFrame([(4, 2)], "chat_id long, message_id long")
