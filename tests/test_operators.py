@@ -231,3 +231,13 @@ def test_stream_ingest_processes_each_drop_once(spark, store):
     ]
     vecs = incremental.read_table(spark, state, "chunk_vectors").collect()
     assert sorted({r.batch_id for r in vecs}) == [2]
+
+
+def test_empty_index_gives_empty_context(spark):
+    from chatweave.operators import retrieval
+
+    items = spark.createDataFrame([], "chat_key string, batch_id long, chunk_no long, text string, embedding array<float>")
+    qs = spark.createDataFrame([(1, "c", "hello")], "query_id long, chat_key string, query string")
+    ctx = retrieval.generate_context(qs, items).collect()
+    assert [(r.query_id, r.context) for r in ctx] == [(1, "")]
+    assert retrieval.build_prompts(retrieval.generate_context(qs, items)).count() == 2
