@@ -237,7 +237,7 @@ def unknown_senders(store, chats, contacts, since=None) -> DataFrame:
     return (
         unknown.groupBy("chat_key", "handle_id")
         .agg(
-            F.first("sender").alias("address"),
+            F.min("sender").alias("address"),  # one value per (chat, handle)
             F.min(F.struct("time", "message_id")).alias("_first"),
             F.count(F.lit(1)).alias("n_messages"),
         )
