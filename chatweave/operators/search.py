@@ -182,8 +182,10 @@ def search(
         F.element_at("_qd", F.col("_cell") + 1).alias("_qp"),
     )
     wc = Window.partitionBy("_qid").orderBy("_lb", "_qp", "_cell")
-    qc = qc.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    qc = materialize(  # at most P rows per query; read by both phases
+        qc.withColumn(
+            "_before", F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        )
     )
 
     items = index.items.select(*g, *keys, "_v", "_cell")
