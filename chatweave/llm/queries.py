@@ -6,10 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import curriculum, language_id, ngram_join, packing, quality_rules
+from chatweave.llm import curriculum, html_templates, language_id, ngram_join, norm_topk, packing, quality_rules, url_rules
 from chatweave.llm.common import remainder, table
 
 
+#: The production rules of op6: (host and path, verdict).
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op1_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), ["doc_id"])
@@ -26,6 +34,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("ids")
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, ["page_id"])
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curriculum.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["doc_id"])
     return out.select("_doc.doc_id", "size", "source_size", "target", "taken", F.element_at(F.concat("positions", F.array(F.lit(None).cast("double"))), 1).alias("first_position"))
@@ -35,4 +48,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_language_id, op4_packing, op7_curriculum_mix, op8_ngram_join)}
+def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return norm_topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_templates, op2_quality_rules, op3_language_id, op4_packing, op6_url_rules, op7_curriculum_mix, op8_ngram_join, op10_norm_topk)
+}
