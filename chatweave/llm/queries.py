@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import curriculum, html_templates, language_id, ngram_join, norm_topk, packing, quality_rules, url_rules
-from chatweave.llm.common import remainder, table
+from chatweave.llm import curriculum, html_templates, language_id, line_crf, ngram_join, norm_topk, packing, quality_rules, token_rollups, url_rules
+from chatweave.llm.common import remainder, stored, table
+from chatweave.llm.tokens import NAME
+from chatweave.session import scratch_path
 
 
 #: The production rules of op6: (host and path, verdict).
@@ -34,6 +36,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("ids")
 
 
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents after four commits: the load, the load
+    again (no effect), the removal of exact copies of a document with a
+    smaller id, and counts revised by the id that ends a document."""
+    docs = table(spark, sf_dir, "documents").withColumn("hash", F.md5("text"))
+    counts = stored(token_rollups.token_counts(docs, ["doc_id", "source", "lang", "hash"]), "counts")
+    rows = counts.withColumn("tokenizer", F.lit(NAME))
+    firsts = counts.where("hash IS NOT NULL").groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = rows.join(firsts, "hash").where("doc_id <> first")
+    later = rows.join(copies.select("doc_id"), "doc_id", "left_anti")
+    store = token_rollups.TokenRollups(spark, scratch_path(spark, "rollups"))
+    load = rows.withColumn("op", F.lit("insert"))
+    store.commit("load", load)
+    store.commit("load", load)
+    store.commit("copies", copies.withColumn("op", F.lit("delete")))
+    store.commit("end-id", later.withColumn("op", F.lit("revise")).withColumn("n_tokens", F.col("n_tokens") + 1))
+    return store.totals()
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, ["page_id"])
@@ -48,6 +69,14 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.fit_model(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(remainder("doc_id", line_crf.MODULUS) == line_crf.HELD_OUT, F.lit(False))
+    out = line_crf.score_documents(docs, model, ["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return norm_topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -55,5 +84,8 @@ def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_templates, op2_quality_rules, op3_language_id, op4_packing, op6_url_rules, op7_curriculum_mix, op8_ngram_join, op10_norm_topk)
+    for f in (
+        op1_html_templates, op2_quality_rules, op3_language_id, op4_packing, op5_token_rollups,
+        op6_url_rules, op7_curriculum_mix, op8_ngram_join, op9_line_crf, op10_norm_topk,
+    )
 }
