@@ -31,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -153,11 +154,11 @@ def encoded(docs: DataFrame, doc_id: str, text: str, source: str, name: str) ->
     """(doc_id, queue name, part, local start, tokens, ids), written once. Part
     is the input partition; local start counts the queue's tokens before the
     document in it."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), F.col(source).cast("string").alias("queue"), F.spark_partition_id().alias("part"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), F.col(source).cast("string").alias("queue"))
     schema = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int32()), ("local", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        enc, seen = encoder(name), {}
+        enc, seen, part = encoder(name), {}, TaskContext.get().partitionId()
         end = np.array([END], dtype=enc.dtype).tobytes()
         for batch in batches:
             ids = [enc.ids(x.as_py()) + end for x in batch["_text"]]
@@ -166,7 +167,7 @@ def encoded(docs: DataFrame, doc_id: str, text: str, source: str, name: str) ->
             for q, n in zip(batch["queue"].to_pylist(), tokens):
                 local.append(seen.get(q, 0))
                 seen[q] = local[-1] + n
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["queue"], batch["part"], pa.array(local, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["queue"], pa.array([part] * len(ids), pa.int32()), pa.array(local, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return stored(rows.mapInArrow(run, "doc_id long, queue string, part int, local long, tokens long, ids binary"), "ids")
 
