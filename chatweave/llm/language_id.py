@@ -37,7 +37,7 @@ from pyspark.sql.window import Window as W
 from chatweave.llm.common import join_small, remainder, stored
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
-SAMPLE, EPOCHS, BATCH, RATE = 4000, 8, 32, 8.0
+SAMPLE, EPOCHS, STEPS, BATCH, RATE = 4000, 8, 800, 32, 8.0
 REJECT, MOST, SLICE, SEED = 0.002, 0.5, 1 << 18, 7
 MODULUS, HELD_OUT = 3, 1
 _STEP = np.uint32(2654435761)
@@ -125,8 +125,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     fit, held = [r for r, a in zip(rows, aside) if not a], [r for r, a in zip(rows, aside) if a]
     rng = np.random.default_rng(SEED)
     e, w = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(languages)))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(fit)))  # small samples are walked through more often
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(fit))
         for at in range(0, len(order), BATCH):
             batch = [fit[i] for i in order[at : at + BATCH]]
