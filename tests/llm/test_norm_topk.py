@@ -38,7 +38,7 @@ def result(df):
 def test_against_all_products(spark, block):
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(size=6) * rng.choice([0.01, 1, 30])).tolist()) for i in range(400)]
-    rows += [(1000 + i, [0.5] * 6) for i in range(60)] + [(2000, [0.0] * 6), (2001, None), (2002, [1.0, None, 1, 1, 1, 1]), (2003, [float("nan")] * 6), (2004, [float("inf")] * 6)]
+    rows += [(1000 + i, [0.5] * 6) for i in range(60)] + [(2000, [0.0] * 6), (2001, None), (2002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2003, [float("nan")] * 6), (2004, [float("inf")] * 6)]
     rows += [(3000 + i, [float(i), 1.0]) for i in range(5)] + [(4000, []), (4001, []), (None, [9.0] * 6)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS d", "3 AS norm")
     asked = {0, 100, 200, 300, 1000, 2000, 2001, 3000, 4000}

@@ -51,7 +51,7 @@ def test_against_plain_matching(spark, range_rows):
 def test_hot_url_and_empty(spark):
     pages = spark.createDataFrame([(i, "http://a.org/es/") for i in range(500)], "page_id long, url string")
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
-    assert {tuple(r) for r in U.judge_urls(pages, rules, [], range_rows=20).select("rule", "verdict").collect()} == {("org/", "allow")}
+    assert {tuple(r) for r in U.judge_urls(pages, rules, ["page_id"], range_rows=20).select("rule", "verdict").collect()} == {("org/", "allow")}
     assert U.judge_urls(pages.limit(0), rules, ["page_id"]).collect() == []
     assert {r.verdict for r in U.judge_urls(pages, rules.limit(0), ["page_id"]).collect()} == {U.DEFAULT}
 
