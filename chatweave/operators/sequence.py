@@ -6,16 +6,18 @@ single task; one chat holding a third of all messages would then be one
 third of the job on one core. Instead:
 
 1. range-partition on ``(group, order)`` -- a large group is spread over
-   many consecutive partitions -- and sort within partitions;
+   many consecutive partitions -- and sort within partitions; the sorted
+   partitions and their ids are stored (a reliable checkpoint), because a
+   range partitioner that is run again may cut elsewhere: every later step
+   reads the same stored partitions;
 2. one pass per partition (Arrow batches) computes positions and running
    sums local to the partition, carrying state across batches;
-3. per ``(partition, group)`` totals (partial aggregation, tiny) give, for
-   each group that continues from an earlier partition, the offset to add.
-   At most one group crosses each partition boundary, so the offset table
-   has at most one row per partition: a proven bound, safe to broadcast.
-
-The input is checkpointed first: the range partitioner samples it in a job
-of its own and both the per-partition pass and the totals read it.
+3. per ``(partition, group)`` totals (partial aggregation) give, for each
+   group that continues from an earlier partition, the offset to add. At most
+   one group crosses each partition boundary, so there are at most as many
+   offsets as partitions, about 60 bytes each: 48 MB at 800,000 partitions.
+   They are broadcast only up to ``BROADCAST_ROWS`` rows (0.6 MB), beyond
+   which the join shuffles.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatweave.session import materialize
+from chatweave.session import join_bounded, materialize
+
+# Offsets of at most this many partitions are broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def default_partitions(df: DataFrame) -> int:
@@ -44,10 +49,13 @@ def default_partitions(df: DataFrame) -> int:
 
 def range_sorted(df: DataFrame, group_cols: list[str], order_cols: list[str], num_partitions: int | None = None) -> DataFrame:
     """Range-partitioned on group then order keys, sorted within partitions,
-    with the partition id in ``_pid``. ``order_cols`` must make the order total."""
+    with the partition id in ``_pid``, stored: ``_pid`` is data, not a function
+    of how the partitioner happened to sample. ``order_cols`` must make the
+    order total."""
+    df = materialize(df)  # the partitioner reads its input in a job of its own
     n = num_partitions or default_partitions(df)
     keys = [*group_cols, *order_cols]
-    return (
+    return materialize(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
@@ -80,7 +88,7 @@ def with_positions(
     ``length_col`` is given, ``_offset``: the sum of ``length + 1`` over the
     earlier rows of the group (the start of the row in the group's rows joined
     by one separator character)."""
-    r = range_sorted(materialize(df), group_cols, order_cols, num_partitions)
+    r = range_sorted(df, group_cols, order_cols, num_partitions)
     out_schema = T.StructType(r.schema.fields + [T.StructField("_lpos", T.LongType())]
                               + ([T.StructField("_loff", T.LongType())] if length_col else []))
 
@@ -119,7 +127,7 @@ def with_positions(
         *([F.coalesce(F.sum("_len").over(w), F.lit(0)).alias("_off0")] if length_col else []),
     ).where(F.col("_pos0") > 0)
 
-    joined = loc.join(F.broadcast(offsets), ["_pid", *group_cols], "left")
+    joined = join_bounded(loc, materialize(offsets), ["_pid", *group_cols], max_rows=BROADCAST_ROWS)
     out = joined.withColumn("_pos", F.col("_lpos") + F.coalesce(F.col("_pos0"), F.lit(0)))
     drop = ["_lpos", "_pos0", "_pid"]
     if length_col:

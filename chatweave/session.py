@@ -90,21 +90,21 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def join_bounded(left, right, on: list[str], how: str = "left", max_rows: int = 10_000):
+    """Join with a broadcast of ``right`` only if it has at most ``max_rows``
+    rows (counted; ``right`` should be materialised), else as a shuffle join."""
+    from pyspark.sql import functions as F
+
+    small = right.limit(max_rows + 1).count() <= max_rows
+    return left.join(F.broadcast(right) if small else right, on, how)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so pure-Python helpers can list the folder."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``chatweave`` importable in Python workers.
 
