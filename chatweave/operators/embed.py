@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatweave.functions.vectors import DEFAULT_DIM, hashed_counts, let, normalise, tokens
+from chatweave.functions.vectors import DEFAULT_DIM, tokens
+
+# (df, text column, output column) -> df with the embedding column
+EmbedFn = Callable[[DataFrame, str, str], DataFrame]
 
 
 def _bucket_vectors(dim: int):
@@ -61,12 +64,6 @@ def embed_hashed(df: DataFrame, text_col: str = "text", out_col: str = "embeddin
     return df.withColumn(out_col, _bucket_vectors(dim)(tokens(F.col(text_col))))
 
 
-def embed_hashed_sql(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = DEFAULT_DIM) -> DataFrame:
-    """The same embedding with SQL higher-order functions only (no Python
-    worker); slower, as counting costs ``dim`` array scans per text."""
-    return df.withColumn(out_col, let(hashed_counts(F.col(text_col), dim), normalise))
-
-
 def embed_with_model(
     df: DataFrame,
     load_model: Callable[[], Callable[[list[str]], np.ndarray]],

@@ -66,6 +66,17 @@ MESSAGES = T.StructType(
     ]
 )
 
+# Derived tables that are written per batch (``batch_id`` is the partition).
+SAVED_MESSAGES = T.StructType([*MESSAGES.fields, T.StructField("chat_slug", T.StringType())])
+
+MARKS = T.StructType(
+    [
+        T.StructField("chat_key", T.StringType()),
+        T.StructField("mark_time", T.LongType()),
+        T.StructField("mark_id", T.LongType()),
+    ]
+)
+
 CHUNKS = T.StructType(
     [
         T.StructField("chat_key", T.StringType()),
@@ -75,6 +86,15 @@ CHUNKS = T.StructType(
     ]
 )
 
+CHUNK_VECTORS = T.StructType(
+    [
+        T.StructField("chat_key", T.StringType()),
+        T.StructField("chunk_no", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+    ]
+)
+
 STORE_TABLES = {
     "handle": HANDLE,
     "chat": CHAT,

@@ -9,10 +9,13 @@ State lives in shared storage next to the tables it describes:
   is the largest over earlier batches;
 * ``chunk_vectors``: chunks of each batch's new messages with embeddings.
 
-Each step writes its batch partition with dynamic overwrite, so a batch
-that is re-run after a failure replaces its own output. The scanned batch
-is written once and read back before the two uses (marks, cleaning), which
-cuts the lineage instead of loading the store twice.
+Each step overwrites its own batch partition, so a batch that is re-run after
+a failure replaces its own output, also by nothing. The scanned batch is
+written once to a staging folder and read back before the two uses (marks,
+cleaning), which cuts the lineage instead of loading the store twice; the
+folder is removed once the marks are written. Batch ids are the caller's in
+batch loads and ``epoch + 1`` in streams, so a state folder belongs to one of
+the two ways of loading, and the other is refused.
 
 ``stream_ingest`` is the Structured Streaming form: new message files are
 picked up by the file source, each micro-batch runs the same steps in
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from chatweave import schemas
 from chatweave.operators.chunking import chunk_greedy, format_lines
-from chatweave.operators.embed import embed_hashed
+from chatweave.operators.embed import EmbedFn, embed_hashed
 from chatweave.operators.load import load_messages
 from chatweave.operators.rules import DEFAULT_RULES, Rule, apply_rules
 from chatweave.sources import sinks
@@ -51,11 +54,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+class StateOwnerError(RuntimeError):
+    """A state folder of batch loads used for a stream, or the reverse."""
+
+
+def claim_state(spark: SparkSession, state_dir: str, way: str) -> None:
+    """Mark ``state_dir`` as belonging to ``way`` ('batch' or 'stream')."""
+    other = {"batch": "stream", "stream": "batch"}[way]
+    if _exists(spark, f"{state_dir}/owner={other}"):
+        raise StateOwnerError(f"{state_dir} holds the state of a {other} load")
+    spark.range(1).write.mode("ignore").parquet(f"{state_dir}/owner={way}")
+
+
 def current_marks(spark: SparkSession, state_dir: str, before_batch: int) -> DataFrame | None:
     path = f"{state_dir}/marks"
     if not _exists(spark, path):
         return None
-    marks = spark.read.parquet(path).where(F.col("batch_id") < before_batch)
+    marks = sinks.read_batches(spark, path, schemas.MARKS).where(F.col("batch_id") < before_batch)
     return (
         marks.groupBy("chat_key")
         .agg(F.max(F.struct("mark_time", "mark_id")).alias("_m"))
@@ -74,27 +94,36 @@ def ingest_batch(
 ) -> None:
     """Load what is new since the marks, clean it, save it as ``batch_id``
     and record the new marks."""
+    claim_state(chats.sparkSession, state_dir, "batch")
+    _ingest(store, chats, contacts, state_dir, batch_id, rules, use_marks)
+
+
+def _ingest(store, chats, contacts, state_dir, batch_id, rules, use_marks) -> None:
     spark = chats.sparkSession
     marks = current_marks(spark, state_dir, batch_id) if use_marks else None
-    scanned = load_messages(store, chats, contacts, marks=marks)
-    staging = f"{state_dir}/staging"
-    sinks.write_batch(scanned, staging, batch_id)
-    scanned = spark.read.parquet(staging).where(F.col("batch_id") == batch_id).drop("batch_id")
+    staging = f"{state_dir}/staging-{int(batch_id)}"
+    load_messages(store, chats, contacts, marks=marks).write.mode("overwrite").parquet(staging)
+    scanned = spark.read.schema(schemas.MESSAGES).parquet(staging)
     sinks.save_messages(apply_rules(scanned, *rules), f"{state_dir}/messages", batch_id)
     sinks.write_batch(high_water_mark(scanned), f"{state_dir}/marks", batch_id)
+    _remove(spark, staging)
 
 
-def index_batch(spark: SparkSession, state_dir: str, batch_id: int) -> None:
+def index_batch(spark: SparkSession, state_dir: str, batch_id: int, embed_fn: EmbedFn = embed_hashed) -> None:
     """Chunk and embed the messages of one saved batch; write its chunk
-    vectors as partition ``batch_id`` (chunks never cross batches)."""
-    msgs = spark.read.parquet(f"{state_dir}/messages").where(F.col("batch_id") == batch_id)
+    vectors as partition ``batch_id`` (chunks never cross batches).
+    ``embed_fn(df, text_col, out_col)`` adds the embedding column."""
+    msgs = read_table(spark, state_dir, "messages").where(F.col("batch_id") == batch_id)
     chunks = chunk_greedy(format_lines(msgs))
-    vectors = embed_hashed(chunks.drop("batch_id"), "text", "embedding")
+    vectors = embed_fn(chunks.drop("batch_id"), "text", "embedding")
     sinks.write_batch(vectors, f"{state_dir}/chunk_vectors", batch_id)
 
 
+TABLES = {"messages": schemas.SAVED_MESSAGES, "marks": schemas.MARKS, "chunk_vectors": schemas.CHUNK_VECTORS}
+
+
 def read_table(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
-    return sinks.read_batches(spark, f"{state_dir}/{name}")
+    return sinks.read_batches(spark, f"{state_dir}/{name}", TABLES[name])
 
 
 def stream_ingest(
@@ -106,6 +135,7 @@ def stream_ingest(
     state_dir: str,
     rules: tuple[Rule, ...] = DEFAULT_RULES,
     index: bool = True,
+    embed_fn: EmbedFn = embed_hashed,
 ) -> None:
     """Process every message file under ``message_dir`` not yet seen, as
     micro-batches (``availableNow``): load, clean, save, and index each one.
@@ -113,14 +143,15 @@ def stream_ingest(
     ``store`` supplies the dimension tables (handle, chat, links); the
     stream supplies the messages. Batch ids are ``epoch + 1``.
     """
+    claim_state(spark, state_dir, "stream")
     stream = spark.readStream.schema(schemas.MESSAGE).parquet(message_dir)
 
     def per_batch(batch_df: DataFrame, epoch_id: int) -> None:
         batch_id = int(epoch_id) + 1
         part = MessageStore(store.handle, store.chat, batch_df, store.chat_message_join)
-        ingest_batch(part, chats, contacts, state_dir, batch_id, rules, use_marks=False)
+        _ingest(part, chats, contacts, state_dir, batch_id, rules, use_marks=False)
         if index:
-            index_batch(batch_df.sparkSession, state_dir, batch_id)
+            index_batch(batch_df.sparkSession, state_dir, batch_id, embed_fn)
 
     query = (
         stream.writeStream.foreachBatch(per_batch)
