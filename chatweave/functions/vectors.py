@@ -24,37 +24,6 @@ def tokens(text) -> Column:
     return F.array_remove(F.split(F.lower(_col(text)), non_word_run()), "")
 
 
-def token_bucket(word: Column, dim: int) -> Column:
-    """Bucket of a token: first 32 bits of its MD5, modulo ``dim``."""
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-
-
-def let(value: Column, fn) -> Column:
-    """Evaluate ``value`` once per row and pass it to ``fn`` (Spark does not
-    share repeated sub-expressions inside lambdas)."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
-def hashed_counts(text, dim: int = DEFAULT_DIM) -> Column:
-    """Token counts hashed into ``dim`` buckets (double).
-
-    The bucket ids are sorted once; the count of bucket ``b`` is the
-    distance between its first and last position, found by native array
-    scans -- ``dim`` lambda calls per text instead of ``dim`` per token.
-    """
-    buckets = F.array_sort(F.transform(tokens(text), lambda w: token_bucket(w, dim)))
-
-    def counts(a):
-        def count(b):
-            first = F.array_position(a, b)
-            last = F.size(a) - F.array_position(F.reverse(a), b) + 1
-            return F.when(first > 0, last - first + 1).otherwise(F.lit(0)).cast("double")
-
-        return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), count)
-
-    return let(buckets, counts)
-
-
 def _normalise(vec: Column) -> Column:
     """Divide by the L2 norm, computed once (the fold's finish step)."""
     return F.aggregate(
@@ -85,8 +54,3 @@ def dot(a, b) -> Column:
     prods = F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
-
-def cosine_similarity(a, b) -> Column:
-    na = F.sqrt(dot(a, a))
-    nb = F.sqrt(dot(b, b))
-    return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb))

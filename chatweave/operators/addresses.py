@@ -40,14 +40,15 @@ def valid_addresses(contacts: DataFrame) -> DataFrame:
     return contact_addresses(contacts).where(F.col("status") == "ok")
 
 
-def contact_handles(contacts: DataFrame, handle: DataFrame) -> DataFrame:
+def contact_handles(contacts: DataFrame, handle: DataFrame, literal: bool = False) -> DataFrame:
     """Every handle whose id contains a contact's cleaned address
     (case-insensitive, LIKE wildcards kept): ``(chat_key, member_pos, name,
     addr_pos, address, handle_id)``. In the reference's list form the ids
-    are ordered by ``(addr_pos, handle_id)``, duplicates kept."""
+    are ordered by ``(addr_pos, handle_id)``, duplicates kept. With
+    ``literal=True`` a ``%`` or ``_`` in an address stands for itself."""
     addrs = valid_addresses(contacts).select("chat_key", "member_pos", "name", "addr_pos", "address")
     handles = handle.select(F.col("rowid").alias("handle_id"), F.col("id").alias("handle_address"))
-    pairs = containment_join(handles, "handle_address", addrs, "address")
+    pairs = containment_join(handles, "handle_address", addrs, "address", literal)
     return pairs.select("chat_key", "member_pos", "name", "addr_pos", "address", "handle_id")
 
 

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.functions.text import chat_slug
 from chatweave.operators.addresses import valid_addresses
 from chatweave.operators.containment import containment_join
 
 
+# Chats without a display name (every one-to-one chat) are spread over this
+# many join keys; a definition with an empty name meets all of them.
+UNNAMED_SALTS = 64
+
+
 def chat_ids_group(chats: DataFrame, chat: DataFrame) -> DataFrame:
     """``(chat_key, chat_id)``: chats whose display name equals the group's
     name (exact, case-sensitive); one name may have several ids."""
     groups = chats.where(F.col("kind") == "group").select("chat_key", "display_name")
-    ids = chat.select(F.col("rowid").alias("chat_id"), F.col("display_name").alias("_dn"))
-    return groups.join(ids, groups["display_name"] == ids["_dn"], "inner").select("chat_key", "chat_id")
+    unnamed = F.col("display_name") == ""
+    ids = chat.select(
+        F.col("rowid").alias("chat_id"), "display_name",
+        F.when(unnamed, F.pmod(F.xxhash64("rowid"), F.lit(UNNAMED_SALTS)).cast("int")).otherwise(F.lit(0)).alias("_salt"),
+    )
+    salts = F.when(unnamed, F.sequence(F.lit(0), F.lit(UNNAMED_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return groups.withColumn("_salt", F.explode(salts)).join(ids, ["display_name", "_salt"]).select("chat_key", "chat_id")
 
 
 def chat_ids_individual(chats: DataFrame, contacts: DataFrame, chat: DataFrame) -> DataFrame:
@@ -53,7 +62,3 @@ def unresolved_chats(chats: DataFrame, contacts: DataFrame, chat: DataFrame) ->
     )
     return no_group.unionByName(no_person)
 
-
-def with_slug(chats: DataFrame, name_col: str = "chat_key") -> DataFrame:
-    """Add ``chat_slug``: the folder-safe name used as a partition value."""
-    return chats.withColumn("chat_slug", chat_slug(name_col))

@@ -5,17 +5,18 @@ becomes a broadcast nested-loop join costing |texts| x |patterns|. Here it
 is an equi-join on one literal gram per pattern followed by the exact
 predicate, so the work is proportional to the candidate pairs:
 
-1. every text emits its distinct lower-case substrings of length 1..q plus
-   the empty string (q=3 by default; texts are short handle ids or chat
-   identifiers);
-2. every distinct pattern picks, among its literal windows (no ``%``/``_``)
-   of length ``min(q, longest literal run)``, the one that is rarest among
-   the texts' grams -- an aggregate, so hot grams such as a country code
-   are avoided whenever the pattern has a rarer window;
-3. patterns join text grams on that key (a pattern with no literal
-   character uses the empty key, which every text has; that key is salted
-   so it does not gather all texts in one task) and the pair is kept only
-   if the real predicate holds.
+1. every distinct pattern lists its literal windows (no ``%``/``_``) of one
+   width: the longest of ``LADDER`` that its longest literal run holds. A full
+   phone number has at least ten digits, so it is looked up by 10-grams, which
+   are selective where the thousand digit trigrams are not; shorter widths are
+   for patterns that are too short;
+2. texts emit their distinct substrings of just the widths some pattern uses,
+   and only those that are a window of some pattern are kept (semi-join), so
+   a gram that nobody looks for never reaches the verification;
+3. every pattern picks the window that is rarest among the kept grams, joins
+   the texts on it, and a pair stays only if the real predicate holds.
+   Patterns without a literal character use the empty gram, which every text
+   has; it is emitted only if there are such patterns, and is salted.
 
 Any text containing the pattern contains each of its literal windows, so no
 match is lost. Join strategies are left to adaptive execution: it broadcasts
@@ -28,8 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatweave.functions.text import like_literal
+from chatweave.session import materialize
 
 WILDCARDS = r"[%_]"
+# Window widths, widest first.
+LADDER = (10, 6, 4, 3, 2, 1)
 # Salt values of the empty gram (used only by patterns without a literal
 # character, which are replicated over all of them).
 EMPTY_GRAM_SALTS = 64
@@ -44,61 +48,68 @@ def _windows(s: Column, length: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def text_grams(texts: DataFrame, text_col: str, q: int = 3) -> DataFrame:
-    """``texts`` plus ``_t`` (lower-case text), one row per distinct gram
-    ``_gram`` and ``_salt``: the empty gram, which every text has, is spread
-    over ``EMPTY_GRAM_SALTS`` values so it is not one hot join key."""
-    t = F.lower(F.col(text_col))
-    grams = F.array_distinct(
-        F.concat(F.array(F.lit("")), *[_windows(t, F.lit(k)) for k in range(1, q + 1)])
-    )
-    salt = F.when(F.col("_gram") == "", F.pmod(F.xxhash64("_t"), F.lit(EMPTY_GRAM_SALTS)).cast("int"))
-    return (
-        texts.withColumn("_t", t)
-        .withColumn("_gram", F.explode(grams))
-        .withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    )
-
-
-def pattern_keys(patterns: DataFrame, pattern_col: str, grams: DataFrame, q: int = 3) -> DataFrame:
-    """Distinct lower-case patterns ``_p`` with their rarest literal window ``_key``."""
+def pattern_windows(patterns: DataFrame, pattern_col: str, literal: bool) -> DataFrame:
+    """``(_p, _width, _key)``: the candidate windows of every distinct
+    lower-case pattern; width 0 and an empty key without a literal character."""
     p = F.lower(F.col(pattern_col))
     distinct = patterns.select(p.alias("_p")).where(F.col("_p").isNotNull()).distinct()
-    longest_run = F.aggregate(
-        F.split(F.col("_p"), WILDCARDS), F.lit(0), lambda acc, s: F.greatest(acc, F.length(s))
-    )
-    width = F.least(F.lit(q), longest_run)
-    cands = F.when(width == 0, F.array(F.lit(""))).otherwise(
-        F.filter(_windows(F.col("_p"), width), lambda w: ~w.rlike(WILDCARDS))
-    )
-    exploded = distinct.select("_p", F.explode(F.array_distinct(cands)).alias("_key"))
-    freq = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        exploded.join(freq, exploded["_key"] == freq["_gram"], "left")
-        .groupBy("_p")
-        .agg(F.min(F.struct(F.coalesce(F.col("_n"), F.lit(0)).alias("n"), F.col("_key").alias("k"))).alias("_best"))
-        .select("_p", F.col("_best.k").alias("_key"))
-    )
+    runs = F.array(F.col("_p")) if literal else F.split(F.col("_p"), WILDCARDS)
+    longest_run = F.aggregate(runs, F.lit(0), lambda acc, s: F.greatest(acc, F.length(s)))
+    width = F.lit(0)
+    for w in reversed(LADDER):
+        width = F.when(longest_run >= w, F.lit(w)).otherwise(width)
+    windows = _windows(F.col("_p"), F.col("_width"))
+    if not literal:
+        windows = F.filter(windows, lambda w: ~w.rlike(WILDCARDS))
+    keys = F.when(F.col("_width") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(windows))
+    return distinct.withColumn("_width", width).select("_p", "_width", F.explode(keys).alias("_key"))
+
+
+def text_grams(texts: DataFrame, text_col: str, widths: list[int]) -> DataFrame:
+    """``texts`` plus ``_t`` (lower-case text) and one row per distinct gram
+    ``_gram`` of the given widths."""
+    t = F.lower(F.col(text_col))
+    grams = F.array_distinct(F.concat(
+        F.array(F.lit("")) if 0 in widths else F.array().cast("array<string>"),
+        *[_windows(t, F.lit(w)) for w in widths if w],
+    ))
+    return texts.withColumn("_t", t).withColumn("_gram", F.explode(grams))
 
 
 def containment_join(
-    texts: DataFrame, text_col: str, patterns: DataFrame, pattern_col: str, q: int = 3
+    texts: DataFrame, text_col: str, patterns: DataFrame, pattern_col: str, literal: bool = False
 ) -> DataFrame:
     """All pairs (texts row, patterns row) with ``text ILIKE '%pattern%'``.
 
-    ``%`` and ``_`` inside a pattern stay wildcards; a backslash is an
-    ordinary character. Columns of both inputs are kept (names must differ).
+    ``%`` and ``_`` inside a pattern stay wildcards (with ``literal=True`` they
+    are ordinary characters); a backslash is an ordinary character. Columns of
+    both inputs are kept (names must differ).
     """
-    grams = text_grams(texts, text_col, q)
-    keys = pattern_keys(patterns, pattern_col, grams, q)
-    like = F.like(F.col("_t"), F.concat(F.lit("%"), like_literal(F.col("_p")), F.lit("%")))
-    verify = F.when(F.col("_p").rlike(WILDCARDS), like).otherwise(F.instr(F.col("_t"), F.col("_p")) > 0)
+    windows = materialize(pattern_windows(patterns, pattern_col, literal))
+    widths = sorted(r["_width"] for r in windows.select("_width").distinct().collect())  # at most len(LADDER) + 1
+    wanted = windows.select(F.col("_key").alias("_gram")).distinct()
+    grams = text_grams(texts, text_col, widths).join(wanted, "_gram", "left_semi")
+    freq = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keys = (
+        windows.join(freq, windows["_key"] == freq["_gram"], "left")
+        .groupBy("_p")
+        .agg(F.min(F.struct(F.coalesce(F.col("_n"), F.lit(0)).alias("n"), F.col("_key").alias("k"))).alias("_best"))
+        .select("_p", F.col("_best.k").alias("_key"))
+    )
+    inside = F.instr(F.col("_t"), F.col("_p")) > 0
+    if literal:
+        verify = inside
+    else:
+        like = F.like(F.col("_t"), F.concat(F.lit("%"), like_literal(F.col("_p")), F.lit("%")))
+        verify = F.when(F.col("_p").rlike(WILDCARDS), like).otherwise(inside)
+    salt = F.when(F.col("_gram") == "", F.pmod(F.xxhash64("_t"), F.lit(EMPTY_GRAM_SALTS)).cast("int"))
+    salted = grams.withColumn("_salt", F.coalesce(salt, F.lit(0)))
     salts = F.when(
         F.col("_key") == "", F.sequence(F.lit(0), F.lit(EMPTY_GRAM_SALTS - 1))
     ).otherwise(F.array(F.lit(0)))
     keys = keys.withColumn("_ksalt", F.explode(salts))
     matched = (
-        keys.join(grams, (keys["_key"] == grams["_gram"]) & (keys["_ksalt"] == grams["_salt"]), "inner")
+        keys.join(salted, (keys["_key"] == salted["_gram"]) & (keys["_ksalt"] == salted["_salt"]), "inner")
         .where(verify)
         .drop("_key", "_gram", "_t", "_ksalt", "_salt")
     )

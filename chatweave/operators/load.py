@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chatweave.operators.addresses import contact_addresses, sender_map, unresolved_addresses
 from chatweave.operators.chats import chat_ids, unresolved_chats
+from chatweave.session import materialize
 from chatweave.sources.store import MessageStore
 
 OUTPUT_COLUMNS = ["chat_key", "message_id", "sender", "text", "time", "type"]
@@ -49,6 +50,8 @@ def labelled_messages(
 
     ``since``: keep ``time > since`` (strict). ``marks``: per-chat cursor
     ``(chat_key, mark_time, mark_id)``; keep rows after ``(time, message_id)``.
+    The earliest mark is a literal lower bound of the message scan; chats
+    without a mark are scanned whole in a branch of their own.
     """
     chats = chats.where(F.col("kind").isin(list(kinds)))
     # Everything per chat (definition, cursor) rides on the small chat-id
@@ -58,7 +61,8 @@ def labelled_messages(
         _definitions(chats, contacts).drop("kind"), "chat_key", "left"
     )
     if "group" in kinds:
-        names = sender_map(chats, contacts, store.handle).withColumnRenamed("name", "member_name")
+        # read twice (handle 0, the others): computed once, a row per member
+        names = materialize(sender_map(chats, contacts, store.handle).withColumnRenamed("name", "member_name"))
         # The name of handle 0 (the user, or a member mapped to it) also
         # rides on the chat-id table: the user's own messages need no join.
         per_chat = per_chat.join(
@@ -67,14 +71,6 @@ def labelled_messages(
         )
     else:
         per_chat = per_chat.withColumn("_zero_name", F.lit(None).cast("string"))
-    mark_cols: list[str] = []
-    if marks is not None:
-        per_chat = per_chat.join(marks.select("chat_key", "mark_time", "mark_id"), "chat_key", "left")
-        mark_cols = ["mark_time", "mark_id"]
-    links = store.chat_message_join.join(per_chat, "chat_id").select(
-        "chat_key", "kind", "message_id", "user_name", "other_name", "_zero_name", *mark_cols
-    )
-
     msg = store.message.select(
         F.col("rowid").alias("message_id"),
         "handle_id",
@@ -86,15 +82,30 @@ def labelled_messages(
     if since is not None:
         msg = msg.where(F.col("time") > F.lit(since))
 
-    joined = msg.join(links, "message_id").where(
-        F.when(F.col("kind") == "group", F.col("handle_id").isNotNull()).otherwise(F.col("is_from_me").isNotNull())
-    )
-    if marks is not None:
-        joined = joined.where(
-            F.col("mark_time").isNull()
-            | (F.col("time") > F.col("mark_time"))
-            | ((F.col("time") == F.col("mark_time")) & (F.col("message_id") > F.col("mark_id")))
-        ).drop("mark_time", "mark_id")
+    def linked(messages: DataFrame, definitions: DataFrame, *more: str) -> DataFrame:
+        links = store.chat_message_join.join(definitions, "chat_id").select(
+            "chat_key", "kind", "message_id", "user_name", "other_name", "_zero_name", *more
+        )
+        return messages.join(links, "message_id").where(
+            F.when(F.col("kind") == "group", F.col("handle_id").isNotNull()).otherwise(F.col("is_from_me").isNotNull())
+        )
+
+    if marks is None:
+        joined = linked(msg, per_chat)
+    else:
+        per_chat = materialize(per_chat.join(marks.select("chat_key", "mark_time", "mark_id"), "chat_key", "left"))
+        marked = per_chat.where(F.col("mark_time").isNotNull())
+        fresh = per_chat.where(F.col("mark_time").isNull()).drop("mark_time", "mark_id")
+        earliest = marked.agg(F.min("mark_time")).first()[0]
+        parts = []
+        if earliest is not None:
+            parts.append(linked(msg.where(F.col("time") >= F.lit(earliest)), marked, "mark_time", "mark_id").where(
+                (F.col("time") > F.col("mark_time"))
+                | ((F.col("time") == F.col("mark_time")) & (F.col("message_id") > F.col("mark_id")))
+            ).drop("mark_time", "mark_id"))
+        if earliest is None or fresh.limit(1).count():
+            parts.append(linked(msg, fresh))
+        joined = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     if "group" in kinds:
         # Rows that need no lookup (the user's own messages -- possibly a
@@ -204,6 +215,7 @@ def load_messages(
     kinds: tuple[str, ...] = ("group", "individual"),
     ordered: bool = False,
     strict: bool = False,
+    dedupe: bool = False,
 ) -> DataFrame:
     """``(chat_key, message_id, sender, text, time, type)`` of every defined chat.
 
@@ -211,11 +223,14 @@ def load_messages(
     partitioned sort, so one large chat is spread over many tasks.
     ``strict=True`` first raises on unresolvable definitions (see
     ``definition_problems``); otherwise they load no messages and are
-    reported by ``definition_problems``.
+    reported by ``definition_problems``. ``dedupe=True`` keeps a message
+    that is linked to several chat ids of one definition once.
     """
     if strict:
         require_resolved(store, chats.where(F.col("kind").isin(list(kinds))), contacts)
     df = labelled_messages(store, chats, contacts, since, marks, kinds).select(*OUTPUT_COLUMNS)
+    if dedupe:
+        df = df.dropDuplicates(["chat_key", "message_id"])
     return df.orderBy("chat_key", "time", "message_id") if ordered else df
 
 

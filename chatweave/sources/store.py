@@ -53,10 +53,27 @@ def read_store(spark: SparkSession, path: str, fmt: str = "parquet") -> MessageS
     return MessageStore(**frames)
 
 
-def read_store_jdbc(spark: SparkSession, url: str, properties: dict | None = None) -> MessageStore:
+def jdbc_options(url: str, query: str, properties: dict | None, bounds: tuple[int, int] | None, partitions: int) -> dict:
+    """Options of one JDBC read. With ``bounds`` (lowest and highest row id)
+    it is split into ``partitions`` ranges of the row id, one task each."""
+    options = {"url": url, **(properties or {})}
+    if bounds is None:
+        return options | {"query": query}
+    return options | {
+        "dbtable": f"({query}) t", "partitionColumn": "rowid", "lowerBound": str(bounds[0]),
+        "upperBound": str(bounds[1]), "numPartitions": str(partitions),
+    }
+
+
+def read_store_jdbc(
+    spark: SparkSession, url: str, properties: dict | None = None,
+    message_bounds: tuple[int, int] | None = None, partitions: int = 32,
+) -> MessageStore:
     """Read the store tables over JDBC (needs the user's driver on the
-    classpath; none ships with Spark). ``ROWID`` is selected explicitly."""
-    props = dict(properties or {})
+    classpath; none ships with Spark). ``ROWID`` is selected explicitly.
+    ``message_bounds``, the lowest and highest message row id, splits the
+    message table and its links into ``partitions`` reads; without it each
+    table is one task."""
     queries = {
         "handle": "SELECT ROWID AS rowid, id FROM handle",
         "chat": "SELECT ROWID AS rowid, display_name, chat_identifier FROM chat",
@@ -64,10 +81,11 @@ def read_store_jdbc(spark: SparkSession, url: str, properties: dict | None = Non
             "SELECT ROWID AS rowid, handle_id, is_from_me, text, date, "
             "associated_message_type FROM message"
         ),
-        "chat_message_join": "SELECT chat_id, message_id FROM chat_message_join",
+        "chat_message_join": "SELECT chat_id, message_id, message_id AS rowid FROM chat_message_join",
     }
     frames = {
-        name: spark.read.format("jdbc").option("url", url).option("query", q).options(**props).load()
+        name: spark.read.format("jdbc").options(**jdbc_options(
+            url, q, properties, message_bounds if name in ("message", "chat_message_join") else None, partitions)).load()
         for name, q in queries.items()
     }
     return store_from_frames(**frames)

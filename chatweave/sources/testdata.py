@@ -192,6 +192,3 @@ def _bound_result(frames):
     )
     return store, frames["chats"], frames["contacts"]
 
-
-def bind_store(spark: SparkSession, sf_dir: str) -> MessageStore:
-    return bind(spark, sf_dir)[0]
