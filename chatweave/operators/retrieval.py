@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.operators.embed import embed_hashed
+from chatweave.operators.embed import EmbedFn, embed_hashed
 from chatweave.operators.search import topk
 from chatweave.session import materialize
 
@@ -21,8 +21,8 @@ SYSTEM_PROMPT = (
 )
 USER_PROMPT_PREFIX = "Context:\n"
 USER_PROMPT_QUESTION = "\n\nQuestion: "
-# Completion settings of the reference, carried with each prompt row for a
-# downstream scorer (no model is called here).
+# Completion settings, carried with each prompt row for a downstream scorer
+# (no model is called here).
 COMPLETION_SETTINGS = {"temperature": 0.7, "frequency_penalty": 0.3, "max_tokens": 500}
 
 
@@ -31,20 +31,20 @@ def retrieve(
     chunk_vectors: DataFrame,
     k: int = NUM_DOCUMENTS,
     metric: str = "l2",
-    n_pivots: int | None = None,
+    embed_fn: EmbedFn = embed_hashed,
 ) -> DataFrame:
     """Top-k chunks of the question's chat for every question.
 
-    ``questions``: ``(query_id, chat_key, query)``, embedded here with the
-    built-in hashed embedding unless an ``embedding`` column is present.
+    ``questions``: ``(query_id, chat_key, query)``, embedded here by
+    ``embed_fn`` unless an ``embedding`` column is present.
     ``chunk_vectors``: ``(chat_key, batch_id, chunk_no, text, embedding)``.
     Returns ``(query_id, chat_key, batch_id, chunk_no, rank, distance, text)``.
     """
     if "embedding" not in questions.columns:
-        questions = embed_hashed(questions, "query", "embedding")
+        questions = embed_fn(questions, "query", "embedding")
     hits = topk(
         questions, chunk_vectors, k=k, group_cols=("chat_key",), item_keys=("batch_id", "chunk_no"),
-        query_key="query_id", metric=metric, n_pivots=n_pivots,
+        query_key="query_id", metric=metric,
     )
     texts = chunk_vectors.select("chat_key", "batch_id", "chunk_no", "text")
     return hits.join(texts, ["chat_key", "batch_id", "chunk_no"]).select(
@@ -52,15 +52,18 @@ def retrieve(
     )
 
 
-def generate_context(questions: DataFrame, chunk_vectors: DataFrame, k: int = NUM_DOCUMENTS, metric: str = "l2") -> DataFrame:
+def generate_context(
+    questions: DataFrame, chunk_vectors: DataFrame, k: int = NUM_DOCUMENTS, metric: str = "l2", embed_fn: EmbedFn = embed_hashed
+) -> DataFrame:
     """``(query_id, chat_key, query, context)``: the top-k chunk texts joined
-    by the separator in rank order. A group holds at most ``k`` rows."""
+    by the separator in rank order. A group holds at most ``k`` rows; one
+    query id may ask several chats."""
     if "embedding" not in questions.columns:
-        questions = embed_hashed(questions, "query", "embedding")
+        questions = embed_fn(questions, "query", "embedding")
     # the questions feed the search and the final join: computed once
     questions = materialize(questions.select("query_id", "chat_key", "query", "embedding"))
     hits = retrieve(questions, chunk_vectors, k, metric)
-    ctx = hits.groupBy("query_id").agg(
+    ctx = hits.groupBy("query_id", "chat_key").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]),
             CONTEXT_SEPARATOR,
@@ -68,22 +71,23 @@ def generate_context(questions: DataFrame, chunk_vectors: DataFrame, k: int = NU
     )
     return (
         questions.select("query_id", "chat_key", "query")
-        .join(ctx, "query_id", "left")
+        .join(ctx, ["query_id", "chat_key"], "left")
         .withColumn("context", F.coalesce("context", F.lit("")))
     )
 
 
 def build_prompts(contexts: DataFrame) -> DataFrame:
-    """Chat messages per question, one row per message:
-    ``(query_id, msg_pos, role, content)`` -- the system instruction, then
-    the context and the question."""
+    """Chat messages per question, one row per message: ``(query_id, chat_key,
+    msg_pos, role, content)`` -- the system instruction, then the context and
+    the question -- and the completion settings."""
     user = F.concat(F.lit(USER_PROMPT_PREFIX), F.col("context"), F.lit(USER_PROMPT_QUESTION), F.col("query"))
     msgs = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content")),
     )
-    return contexts.select("query_id", F.posexplode(msgs).alias("msg_pos", "m")).select(
-        "query_id", F.col("msg_pos").cast("int").alias("msg_pos"), "m.role", "m.content"
+    settings = [F.lit(v).alias(name) for name, v in COMPLETION_SETTINGS.items()]
+    return contexts.select("query_id", "chat_key", F.posexplode(msgs).alias("msg_pos", "m")).select(
+        "query_id", "chat_key", F.col("msg_pos").cast("int").alias("msg_pos"), "m.role", "m.content", *settings
     )
 
 

@@ -1,120 +1,65 @@
 """Nearest-neighbour search of query vectors among item vectors.
 
-Exact top-k without comparing every query with every item of its chat:
-
-* index: ``P`` pivot vectors (a deterministic sample: the items with the
-  smallest hash, a bounded set of ``P`` rows) split items into cells
-  ``(group, nearest pivot)``; per cell the count and the radius (largest
-  item-to-pivot distance) are kept;
-* per query, cells are ranked by the triangle-inequality lower bound
-  ``max(0, d(q, pivot) - radius)``; the first cells holding ``k`` items give a
-  bound ``tau`` (the k-th distance among them); only cells whose lower bound
-  is at most ``tau`` can hold a true neighbour, and only their items are
-  compared. The result is exact (ties broken by item key).
-
-``P`` grows with the data: ``sqrt`` of the largest group's size, between 16
-and 256, so the cells of one very large chat stay small. A query meets at
-most ``P`` cells, so the query-cell table is bounded per query; candidate
-pairs are as many as the pruning leaves. Pivot and pair distances are
-computed per Arrow batch in numpy (SQL has no vector primitive;
-per-element lambdas are interpreted). Top-k per query
-is a ``row_number() <= k`` window, which Spark plans with a partial
-group limit before the shuffle. Cosine search is L2 search on unit vectors.
-
-``lsh_topk`` is the approximate option (MLlib random-projection LSH).
+Exact top-k, blocked: the items of a group (a chat) are cut by hash into
+blocks of about ``BLOCK_ITEMS``, its queries into buckets of about
+``BUCKET_QUERIES``. Every (group, block, bucket) is one cogroup: a numpy block
+product finds the items within rounding of the k nearest, whose distances are
+then computed again term by term, and k rows per query leave the task. So a
+query costs one row per block and k rows back, never a row per item, no task
+holds more than a block and a bucket however large a chat is, and the result is
+exact: sums run left to right in double, as a SQL fold does, and ties go to
+the smaller item key. ``row_number() <= k`` per query and group merges the
+blocks (with a partial group limit before the shuffle).
+
+Metrics: ``l2``, and ``cosine`` on unit vectors, where a zero vector has
+similarity 0 to everything; distance is then ``1 - similarity``. Only vectors
+of one length are compared.
+
+``lsh_topk`` is the approximate option: random projections cut into intervals;
+a query is compared with the items that share an interval with it, by the same
+blocked search within ``(group, projection, interval)``.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatweave.functions.vectors import normalise
-from chatweave.session import materialize
+from chatweave.session import join_bounded, materialize
 
-EPS = 1e-9
-
-
-@F.pandas_udf(T.DoubleType())
-def _l2_batched(a: pd.Series, b: pd.Series) -> pd.Series:
-    """L2 distance of many vector pairs per Arrow batch. The squares are
-    summed left to right (``cumsum``), the same order as the SQL fold, so
-    the result is bit-identical to ``l2_distance``."""
-    if len(a) == 0:
-        return pd.Series([], dtype="float64")
-    x = np.stack(a.to_numpy()).astype(np.float64)
-    y = np.stack(b.to_numpy()).astype(np.float64)
-    d = x - y
-    return pd.Series(np.sqrt(np.cumsum(d * d, axis=1)[:, -1]))
+BLOCK_ITEMS, BUCKET_QUERIES = 4096, 1024
+_PAIR_VALUES = 1 << 22  # vector components of finalists held at once
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Items with their cell, per-cell statistics and the pivot vectors."""
+    """Items with their block, and the number of blocks per group."""
 
-    items: DataFrame  # group cols, item keys, _v, _cell
-    cells: DataFrame  # group cols, _cell, _n, _radius
-    pivots: list[list[float]]
+    items: DataFrame  # group cols, _dim, item keys, _v, _block
+    groups: DataFrame  # group cols, _dim, _blocks
     group_cols: tuple[str, ...]
     item_keys: tuple[str, ...]
     metric: str
 
 
-# Pivot count bounds. Per query the work is about P cell bounds plus the
-# items of the cells it must open (~n/P each), least near P = sqrt(n) for a
-# group of n items; the cap keeps the pivot matrix, shipped with the task,
-# small.
-MIN_PIVOTS = 16
-MAX_PIVOTS = 256
-_BLOCK = 1 << 21  # doubles per block of the row x pivot x dim difference tensor
-
-
-def _pivot_matrix_distances(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
-    """Distances of every vector to every pivot (rows x pivots), as
-    ``sqrt(sum((x - p)^2))`` in double: no cancellation, so the triangle
-    bounds built from them hold up to rounding of unit-size numbers."""
-    x = np.stack(vectors.to_numpy()).astype(np.float64)
-    out = np.empty((len(x), len(pivots)), dtype=np.float64)
-    step = max(1, _BLOCK // max(1, pivots.size))
-    for i in range(0, len(x), step):
-        d = x[i:i + step, None, :] - pivots[None, :, :]
-        out[i:i + step] = np.sqrt(np.einsum("rpd,rpd->rp", d, d))
-    return out
-
-
-def _pivot_udfs(pivots: list[list[float]]):
-    """Arrow-batched helpers closed over the pivot matrix: the nearest pivot
-    and its distance (items), and the distances to all pivots (queries)."""
-    pm = np.asarray(pivots, dtype=np.float64)
-
-    @F.pandas_udf("_cell int, _r double")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        if len(v) == 0:
-            return pd.DataFrame({"_cell": pd.Series([], dtype="int32"), "_r": pd.Series([], dtype="float64")})
-        d = _pivot_matrix_distances(v, pm)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"_cell": cell.astype(np.int32), "_r": d[np.arange(len(d)), cell]})
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def all_distances(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(_pivot_matrix_distances(v, pm)))
-
-    return nearest, all_distances
+def _prepared(df: DataFrame, vec_col: str, metric: str, *keep: str) -> DataFrame:
+    v = normalise(vec_col) if metric == "cosine" else F.col(vec_col)
+    out = df.select(*keep, v.cast("array<double>").alias("_v")).where(F.col("_v").isNotNull())
+    stored = materialize(out.withColumn("_dim", F.size("_v")))
+    # aliases, so that queries and items may come from one table
+    return stored.select(*[F.col(c).alias(c) for c in stored.columns])
 
 
-def pivot_count(items: DataFrame, group_cols: tuple[str, ...]) -> int:
-    """``sqrt`` of the largest group's item count, within the bounds (one
-    aggregate job; partial counts are combined before the shuffle)."""
-    largest = items.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    return int(min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(math.sqrt(largest)))))
+def _parts(df: DataFrame, by: list[str], size: int, name: str) -> DataFrame:
+    """Per group, into how many parts of about ``size`` rows it is cut."""
+    return materialize(df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name)))
 
 
 def build_index(
@@ -122,40 +67,65 @@ def build_index(
     vec_col: str = "embedding",
     group_cols: tuple[str, ...] = ("chat_key",),
     item_keys: tuple[str, ...] = ("item_id",),
-    n_pivots: int | None = None,
     metric: str = "l2",
+    block_items: int = BLOCK_ITEMS,
 ) -> VectorIndex:
-    """Assign items to pivot cells. The pivot sample (``n_pivots`` rows; by
-    default chosen by ``pivot_count``) is the only data brought to the
-    driver."""
-    v = normalise(vec_col) if metric == "cosine" else F.col(vec_col)
-    base = items.select(*group_cols, *item_keys, v.alias("_v")).where(F.col("_v").isNotNull())
-    base = materialize(base)  # read by the pivot choice, the sample and the assignment
-    if n_pivots is None:
-        n_pivots = pivot_count(base, tuple(group_cols))
-    sample = (
-        base.select("_v", F.xxhash64(*item_keys).alias("_h"), *item_keys)
-        .orderBy("_h", *item_keys)
-        .limit(n_pivots)
-        .collect()
-    )
-    pivots = [[float(x) for x in r["_v"]] for r in sample]
-    if not pivots:
-        return VectorIndex(
-            base.withColumn("_cell", F.lit(0)),
-            base.groupBy(*group_cols).agg(F.lit(0).alias("_cell"), F.count(F.lit(1)).alias("_n"),
-                                          F.lit(0.0).alias("_radius")),
-            [], tuple(group_cols), tuple(item_keys), metric,
-        )
-    nearest, _ = _pivot_udfs(pivots)
-    cells = base.withColumn("_near", nearest("_v")).select(
-        *group_cols, *item_keys, "_v", F.col("_near._cell").alias("_cell"), F.col("_near._r").alias("_r"),
-    )
-    cells = materialize(cells)  # read by the statistics and by both search phases
-    stats = cells.groupBy(*group_cols, "_cell").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_r").alias("_radius")
-    )
-    return VectorIndex(cells, stats, pivots, tuple(group_cols), tuple(item_keys), metric)
+    by = [*group_cols, "_dim"]
+    base = _prepared(items, vec_col, metric, *group_cols, *item_keys)
+    groups = _parts(base, by, block_items, "_blocks")
+    cut = join_bounded(base, groups, by, "inner")
+    cut = cut.withColumn("_block", F.pmod(F.xxhash64(*item_keys), F.col("_blocks")).cast("int")).drop("_blocks")
+    return VectorIndex(cut, groups, tuple(group_cols), tuple(item_keys), metric)
+
+
+def _nearest(k: int, metric: str, query_key: str, keys: list[str], out: list[str]):
+    """Cogroup function: the k nearest items of each query in one block."""
+
+    def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if not q.shape[1]:
+            return np.zeros(len(q))
+        if metric == "cosine":
+            return 1.0 - np.cumsum(q * x, axis=1)[:, -1]
+        d = q - x
+        return np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+
+    def rough(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A monotone stand-in for the distance and its rounding error."""
+        if metric == "cosine":
+            return 1.0 - q @ x.T, np.full(len(q), 1e-9)
+        qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
+        return qq[:, None] + xx[None, :] - 2 * (q @ x.T), 1e-9 * (qq + xx.max()) + 1e-300
+
+    def nearest(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if items.empty or queries.empty:
+            return pd.DataFrame(columns=out)
+        items = items.sort_values(keys, kind="stable").reset_index(drop=True)
+        x, q = np.stack(items["_v"].to_numpy()), np.stack(queries["_v"].to_numpy())
+        rows, cols, dist = [], [], []
+        step = max(1, _PAIR_VALUES // (len(x) * max(1, x.shape[1])))
+        for at in range(0, len(q), step):
+            part = q[at:at + step]
+            near, slack = rough(part, x)
+            if len(x) > k:
+                edge = np.partition(near, k - 1, axis=1)[:, k - 1]
+                r, c = np.nonzero(near <= (edge + 2 * slack)[:, None])
+            else:
+                r, c = (i.ravel() for i in np.indices(near.shape))
+            d = exact(part[r], x[c])
+            order = np.lexsort((c, d, r))
+            r, c, d = r[order], c[order], d[order]
+            first = np.searchsorted(r, np.arange(len(part)))
+            keep = np.arange(len(r)) - first[r] < k
+            rows.append(r[keep] + at)
+            cols.append(c[keep])
+            dist.append(d[keep])
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        found = items.iloc[cols].reset_index(drop=True)
+        found[query_key] = queries[query_key].to_numpy()[rows]
+        found["distance"] = np.concatenate(dist)
+        return found[out]
+
+    return nearest
 
 
 def search(
@@ -164,77 +134,30 @@ def search(
     k: int = 10,
     vec_col: str = "embedding",
     query_key: str = "query_id",
+    bucket_queries: int = BUCKET_QUERIES,
 ) -> DataFrame:
     """Top-k items per query within its group: ``(query_key, group cols,
-    item keys, rank, distance)``; for cosine also ``similarity``."""
+    item keys, rank, distance)``; for cosine also ``similarity``. Queries are
+    told apart by ``(query_key, group cols)``."""
     g, keys = list(index.group_cols), list(index.item_keys)
-    v = normalise(vec_col) if index.metric == "cosine" else F.col(vec_col)
-    q = queries.select(F.col(query_key).alias("_qid"), *g, v.alias("_qv")).where(F.col("_qv").isNotNull())
-    if not index.pivots:  # no items: no neighbours
-        return _empty_result(queries, index, query_key)
-    _, all_distances = _pivot_udfs(index.pivots)
-    # read by both search phases: computed once (with its upstream plan)
-    q = materialize(q.withColumn("_qd", all_distances("_qv")))
-
-    qc = q.join(index.cells, g).select(
-        "_qid", *g, "_qv", "_cell", "_n",
-        F.greatest(F.lit(0.0), F.element_at("_qd", F.col("_cell") + 1) - F.col("_radius")).alias("_lb"),
-        F.element_at("_qd", F.col("_cell") + 1).alias("_qp"),
-    )
-    wc = Window.partitionBy("_qid").orderBy("_lb", "_qp", "_cell")
-    qc = materialize(  # at most P rows per query; read by both phases
-        qc.withColumn(
-            "_before", F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        )
-    )
-
-    items = index.items.select(*g, *keys, "_v", "_cell")
-    rank_w = Window.partitionBy("_qid").orderBy("_d", *keys)
-
-    # phase 1: the first cells (by lower bound) that hold k items
-    probe = qc.where(F.col("_before") < k).select("_qid", *g, "_qv", "_cell")
-    near = materialize(  # at most k rows per query; read twice below
-        probe.join(items, [*g, "_cell"])
-        .withColumn("_d", _l2_batched("_qv", "_v"))
-        .withColumn("_rk", F.row_number().over(rank_w))
-        .where(F.col("_rk") <= k)
-        .select("_qid", *g, *keys, "_d")
-    )
-    tau = (
-        near.groupBy("_qid")
-        .agg(F.max("_d").alias("_tau"), F.count(F.lit(1)).alias("_m"))
-        .select("_qid", F.when(F.col("_m") >= k, F.col("_tau")).alias("_tau"))
+    by = [*g, "_dim"]
+    q = _prepared(queries.dropDuplicates([query_key, *g]), vec_col, index.metric, query_key, *g)
+    counts = _parts(q, by, bucket_queries, "_buckets")
+    buckets = join_bounded(q, counts, by, "inner")
+    asked = buckets.withColumn("_bucket", F.pmod(F.xxhash64(query_key), F.col("_buckets")).cast("int")).drop("_buckets")
+    sent = join_bounded(asked, index.groups, by, "inner").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    held = join_bounded(index.items, counts, by, "inner").withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1)))
+    item_fields = [index.items.schema[c] for c in [*g, *keys]]
+    schema = T.StructType([T.StructField(query_key, q.schema[query_key].dataType), *item_fields, T.StructField("distance", T.DoubleType())])
+    at = [*by, "_block", "_bucket"]
+    found = (
+        held.select(*at, *keys, "_v").groupBy(*at)
+        .cogroup(sent.select(*at, query_key, "_v").groupBy(*at))
+        .applyInPandas(_nearest(k, index.metric, query_key, keys, schema.names), schema)
     )
-    # phase 2: only cells not yet opened whose bound can beat tau; a true
-    # neighbour in an opened cell is already among that cell set's top k.
-    # A null tau means the group has fewer than k items, all opened.
-    cand = qc.where(F.col("_before") >= k).join(tau, "_qid").where(
-        F.col("_tau").isNotNull() & (F.col("_lb") <= F.col("_tau") + EPS)
-    ).select("_qid", *g, "_qv", "_cell")
-    more = (
-        cand.join(items, [*g, "_cell"])
-        .withColumn("_d", _l2_batched("_qv", "_v"))
-        .select("_qid", *g, *keys, "_d")
-    )
-    scored = (
-        near.unionByName(more)
-        .withColumn("rank", F.row_number().over(rank_w))
-        .where(F.col("rank") <= k)
-    )
-    out = scored.select(F.col("_qid").alias(query_key), *g, *keys, "rank", F.col("_d").alias("distance"))
-    if index.metric == "cosine":
-        out = out.withColumn("similarity", 1.0 - F.col("distance") * F.col("distance") / 2.0)
-    return out
-
-
-def _empty_result(queries: DataFrame, index: VectorIndex, query_key: str) -> DataFrame:
-    spark = queries.sparkSession
-    g, keys = list(index.group_cols), list(index.item_keys)
-    fields = [queries.schema[query_key]] + [index.items.schema[c] for c in g + keys]
-    schema = T.StructType(fields + [T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-    if index.metric == "cosine":
-        schema = schema.add("similarity", T.DoubleType())
-    return spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy(query_key, *g).orderBy("distance", *keys))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k).select(query_key, *g, *keys, "rank", "distance")
+    return best.withColumn("similarity", 1.0 - F.col("distance")) if index.metric == "cosine" else best
 
 
 def topk(
@@ -247,52 +170,54 @@ def topk(
     query_vec: str = "embedding",
     item_vec: str = "embedding",
     metric: str = "l2",
-    n_pivots: int | None = None,
+    block_items: int = BLOCK_ITEMS,
+    bucket_queries: int = BUCKET_QUERIES,
 ) -> DataFrame:
     """Exact top-k (see module doc); ``metric`` is 'l2' or 'cosine'."""
-    index = build_index(items, item_vec, group_cols, item_keys, n_pivots, metric)
-    return search(index, queries, k, query_vec, query_key)
+    index = build_index(items, item_vec, group_cols, item_keys, metric, block_items)
+    return search(index, queries, k, query_vec, query_key, bucket_queries)
+
+
+# Random projections of the approximate search and their interval length.
+PROJECTIONS, INTERVAL = 8, 0.5
+
+
+def projection(table: int, dim: int) -> list[float]:
+    """Coefficients in [-1, 1), from the MD5 of ``table:component``."""
+    return [int(hashlib.md5(f"{table}:{j}".encode()).hexdigest()[:8], 16) / 2.0**31 - 1.0 for j in range(dim)]
+
+
+def intervals(vec: Column, dim: int) -> Column:
+    """``(_t, _b)`` per projection: its number and the vector's interval."""
+
+    def one(t: int) -> Column:
+        line = F.array(*[F.lit(c) for c in projection(t, dim)])
+        terms = F.zip_with(vec, line, lambda x, c: x.cast("double") * c)
+        total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+        return F.struct(F.lit(t).alias("_t"), F.floor(total / INTERVAL).alias("_b"))
+
+    return F.array(*[one(t) for t in range(PROJECTIONS)])
 
 
 def lsh_topk(
     queries: DataFrame,
     items: DataFrame,
+    dim: int,
     k: int = 10,
     group_cols: tuple[str, ...] = ("chat_key",),
     item_keys: tuple[str, ...] = ("item_id",),
     query_key: str = "query_id",
     vec_col: str = "embedding",
-    bucket_length: float = 0.5,
-    num_tables: int = 4,
-    threshold: float = 2.0,
-    seed: int = 7,
 ) -> DataFrame:
-    """Approximate top-k with MLlib ``BucketedRandomProjectionLSH``: only
-    pairs that share a bucket in some hash table and lie within
-    ``threshold`` are compared. Same output as ``topk``; recall below 1."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
+    """Approximate top-k among items that share an interval with the query on
+    some projection. Same output as ``topk``; recall below 1."""
     g, keys = list(group_cols), list(item_keys)
-    it = items.select(*g, *keys, array_to_vector(F.col(vec_col)).alias("_vec"))
-    qs = queries.select(F.col(query_key).alias("_qid"), *[F.col(c).alias(f"_q_{c}") for c in g],
-                        array_to_vector(F.col(vec_col)).alias("_vec"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="_vec", outputCol="_hashes", bucketLength=bucket_length, numHashTables=num_tables, seed=seed
-    ).fit(it)
-    pairs = model.approxSimilarityJoin(qs, it, threshold, distCol="distance")
-    flat = pairs.select(
-        F.col("datasetA._qid").alias("_qid"),
-        *[F.col(f"datasetA._q_{c}").alias(f"_q_{c}") for c in g],
-        *[F.col(f"datasetB.{c}").alias(c) for c in g],
-        *[F.col(f"datasetB.{c}").alias(c) for c in keys],
-        "distance",
-    )
-    for c in g:
-        flat = flat.where(F.col(c) == F.col(f"_q_{c}"))
-    w = Window.partitionBy("_qid").orderBy("distance", *keys)
-    return (
-        flat.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(F.col("_qid").alias(query_key), *g, *keys, "rank", "distance")
-    )
+
+    def filed(df: DataFrame, *keep: str) -> DataFrame:
+        return df.select(*keep, vec_col, F.explode(intervals(F.col(vec_col), dim)).alias("_x")).select(*keep, vec_col, "_x.*")
+
+    near = topk(
+        filed(queries, query_key, *g), filed(items, *g, *keys), k, (*g, "_t", "_b"), tuple(keys), query_key, vec_col, vec_col)
+    once = near.drop("_t", "_b", "rank").dropDuplicates([query_key, *g, *keys])
+    rank = F.row_number().over(Window.partitionBy(query_key, *g).orderBy("distance", *keys))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select(query_key, *g, *keys, "rank", "distance")

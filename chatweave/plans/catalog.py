@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatweave import schemas
 from chatweave.functions.text import chat_slug as slug_expr
 from chatweave.operators import addresses, chats as chat_ops, load, rules
 from chatweave.operators.chunking import chunk_greedy, chunk_grid, format_lines, line_offsets
@@ -28,6 +29,7 @@ from chatweave.streaming import incremental
 SINCE = 5000
 SPLIT_TIME = 5000
 TOP_K = 10
+VECTOR_DIM = 64
 RULE_MEMBER = "You"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,16 +168,23 @@ def rule_remove_member(spark, sf):
     return rules.remove_member(_loaded(spark, sf), RULE_MEMBER)
 
 
+def _with_rank(ordered: DataFrame) -> DataFrame:
+    """The place of each row in the order its rule gave it: partitions of a
+    global sort are consecutive, so ids that grow along them show the order."""
+    marked = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return with_positions(marked.withColumn("_all", F.lit(0)), ["_all"], ["_at"]).withColumn("rank", F.col("_pos") + 1).drop("_all", "_at", "_pos")
+
+
 def rule_reverse_order(spark, sf):
-    return rules.reverse_order(_loaded(spark, sf))
+    return _with_rank(rules.reverse_order(_loaded(spark, sf)))
 
 
 def apply_rules(spark, sf):
-    return rules.apply_rules(
+    return _with_rank(rules.apply_rules(
         _loaded(spark, sf),
         rules.Rule(rules.remove_member, {"member": RULE_MEMBER}),
         rules.Rule(rules.reverse_order),
-    )
+    ))
 
 
 def default_clean(spark, sf):
@@ -225,7 +234,7 @@ def similarity_topk_cosine(spark, sf):
 
 def similarity_lsh(spark, sf):
     e = _embeddings(spark, sf)
-    return lsh_topk(e.withColumnRenamed("vec_id", "query_id"), e, k=TOP_K, group_cols=("label",),
+    return lsh_topk(e.withColumnRenamed("vec_id", "query_id"), e, dim=VECTOR_DIM, k=TOP_K, group_cols=("label",),
                     item_keys=("vec_id",), query_key="query_id")
 
 
@@ -238,7 +247,7 @@ def index_build(spark, sf):
     """Chunk, embed and write the index; the result is the table read back."""
     path = scratch_path(spark, "chunk_vectors")
     sinks.write_batch(_chunk_vectors(spark, sf).drop("batch_id"), path, 0)
-    return sinks.read_batches(spark, path).select("chat_key", "batch_id", "chunk_no", "text", "embedding")
+    return sinks.read_batches(spark, path, schemas.CHUNK_VECTORS).select("chat_key", "batch_id", "chunk_no", "text", "embedding")
 
 
 def _questions(spark, sf) -> DataFrame:
@@ -254,7 +263,7 @@ def _questions(spark, sf) -> DataFrame:
 def _contexts(spark, sf) -> DataFrame:
     path = scratch_path(spark, "chunk_vectors")
     sinks.write_batch(_chunk_vectors(spark, sf).drop("batch_id"), path, 0)
-    return generate_context(_questions(spark, sf), sinks.read_batches(spark, path), k=TOP_K)
+    return generate_context(_questions(spark, sf), sinks.read_batches(spark, path, schemas.CHUNK_VECTORS), k=TOP_K)
 
 
 def generate_context_q(spark, sf):
@@ -317,12 +326,23 @@ def incremental_stream(spark, sf):
     state = scratch_path(spark, "stream")
     inbox = f"{state}/inbox"
     store.message.where(F.col("date") <= SPLIT_TIME).write.parquet(f"{inbox}/drop=1")
-    incremental.stream_ingest(spark, inbox, store, chats, contacts, state, index=False)
+    incremental.stream_ingest(spark, inbox, store, chats, contacts, state)
     store.message.where(F.col("date") > SPLIT_TIME).write.parquet(f"{inbox}/drop=2")
-    incremental.stream_ingest(spark, inbox, store, chats, contacts, state, index=False)
+    incremental.stream_ingest(spark, inbox, store, chats, contacts, state)
     return incremental.read_table(spark, state, "messages")
 
 
+def stream_index(spark, sf):
+    """The chunk vectors that the stream of ``incremental_stream`` indexed."""
+    store, chats, contacts = _bind(spark, sf)
+    state = scratch_path(spark, "stream")
+    inbox = f"{state}/inbox"
+    for n, drop in ((1, F.col("date") <= SPLIT_TIME), (2, F.col("date") > SPLIT_TIME)):
+        store.message.where(drop).write.parquet(f"{inbox}/drop={n}")
+        incremental.stream_ingest(spark, inbox, store, chats, contacts, state)
+    return incremental.read_table(spark, state, "chunk_vectors").select("chat_key", "batch_id", "chunk_no", "text", "embedding")
+
+
 def csv_roundtrip(spark, sf):
     path = scratch_path(spark, "messages_csv")
     sinks.write_csv(_cleaned(spark, sf), path)
@@ -370,5 +390,6 @@ QUERIES: dict[str, Query] = {
     "incremental_ingest": incremental_ingest,
     "index_append": index_append,
     "incremental_stream": incremental_stream,
+    "stream_index": stream_index,
     "csv_roundtrip": csv_roundtrip,
 }

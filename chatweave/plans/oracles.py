@@ -6,17 +6,20 @@ are shared text; the operator logic is written again in SQL).
 from __future__ import annotations
 
 from chatweave.functions.text import (
-    LINK_PATTERN,
     digit_class,
     portable_non_word_run,
     portable_word_char,
     whitespace_class,
 )
+from chatweave.operators.search import INTERVAL, PROJECTIONS, projection
 from chatweave.plans import catalog as C
 from chatweave.sources.testdata import binding_ctes
 
 BIND = binding_ctes()
 DIGITS = digit_class()
+# Fixed value: the rule for links, stated from its parts: a scheme, then letters, digits,
+# the listed signs, or percent escapes (a percent sign is one of "$" to "_").
+LINK_PATTERN = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_]|[!]|[ ]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 WS = whitespace_class()
 WORD = portable_word_char()
 NON_WORD = portable_non_word_run()
@@ -173,26 +176,47 @@ questions AS (SELECT DISTINCT message_id AS query_id, chat_key, text AS query FR
 {_embed('questions', 'query_id, chat_key, query', 'query', 'qvec')},
 hits AS (
   SELECT q.query_id, cv.text,
-         row_number() OVER (PARTITION BY q.query_id ORDER BY {_dist('q.embedding', 'cv.embedding')}, cv.batch_id, cv.chunk_no) AS rk
+         q.chat_key, row_number() OVER (PARTITION BY q.query_id, q.chat_key ORDER BY {_dist('q.embedding', 'cv.embedding')}, cv.batch_id, cv.chunk_no) AS rk
   FROM qvec q JOIN chunk_vectors cv ON cv.chat_key = q.chat_key
   QUALIFY rk <= {C.TOP_K}),
 contexts AS (
   SELECT q.query_id, q.chat_key, q.query,
          coalesce((SELECT string_agg(h.text, chr(10) || '###' || chr(10) ORDER BY h.rk) FROM hits h
-                   WHERE h.query_id = q.query_id), '') AS context
+                   WHERE h.query_id = q.query_id AND h.chat_key = q.chat_key), '') AS context
   FROM questions q)"""
 
 
+def _dot(a: str, b: str) -> str:
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE), lambda s, v: s + v, 0.0::DOUBLE)"
+
+
 def _topk(metric: str) -> str:
-    vec = "embedding" if metric == "l2" else "nv"
-    extra = ", 1.0 - distance * distance / 2.0 AS similarity" if metric == "cosine" else ""
+    if metric == "l2":
+        distance, extra = _dist("q.embedding", "i.embedding"), ""
+    else:  # a zero vector stays zero, so its similarity is 0
+        distance, extra = f"1.0 - {_dot('q.nv', 'i.nv')}", ", 1.0 - distance AS similarity"
     return f"""
 WITH e AS (SELECT vec_id, label, embedding, {_norm('embedding')} AS nv FROM embeddings),
 pairs AS (
-  SELECT q.vec_id AS query_id, q.label, i.vec_id, {_dist('q.' + vec, 'i.' + vec)} AS distance
+  SELECT q.vec_id AS query_id, q.label, i.vec_id, {distance} AS distance
   FROM e q JOIN e i ON q.label = i.label)
 SELECT query_id, label, vec_id, rank, distance{extra} FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+  SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS rank FROM pairs)
+WHERE rank <= {C.TOP_K}"""
+
+
+def _lsh() -> str:
+    """Pairs that share an interval on some projection, then the nearest."""
+    lines = ", ".join("[" + ", ".join(f"{c!r}::DOUBLE" for c in projection(t, C.VECTOR_DIM)) + "]" for t in range(PROJECTIONS))
+    return f"""
+WITH e AS (
+  SELECT vec_id, label, embedding, list_transform([{lines}], lambda l: CAST(floor({_dot('embedding', 'l')} / {INTERVAL}) AS BIGINT)) AS b
+  FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, q.label, i.vec_id, {_dist('q.embedding', 'i.embedding')} AS distance
+  FROM e q JOIN e i ON q.label = i.label AND ({' OR '.join(f'q.b[{t + 1}] = i.b[{t + 1}]' for t in range(PROJECTIONS))}))
+SELECT query_id, label, vec_id, rank, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS rank FROM pairs)
 WHERE rank <= {C.TOP_K}"""
 
 
@@ -215,6 +239,8 @@ SLUG_COL = (
     f"ELSE regexp_replace(regexp_replace(chat_key, '[{WS}]+', '_', 'g'), '{NON_WORD}', '', 'g') END"
 )
 
+NEWEST_FIRST = "CAST(row_number() OVER (ORDER BY time DESC, message_id DESC) AS BIGINT) AS rank"
+
 ORACLES: dict[str, str] = {
     "scan_messages": f"""WITH {BIND}
 SELECT rowid AS message_id, handle_id, is_from_me, text, date AS time, associated_message_type AS type FROM message""",
@@ -261,8 +287,8 @@ WHERE regexp_matches(text, '{WORD}')""",
     "rule_remove_links": f"""
 SELECT page_id, regexp_replace('see ' || url || ' ok' || chr(10) || html, '{LINK_PATTERN}', '', 'g') AS text FROM pages""",
     "rule_remove_member": f"{LOADED} SELECT {OUT} FROM loaded WHERE sender <> '{C.RULE_MEMBER}'",
-    "rule_reverse_order": f"{LOADED} SELECT {OUT} FROM loaded",
-    "apply_rules": f"{LOADED} SELECT {OUT} FROM loaded WHERE sender <> '{C.RULE_MEMBER}'",
+    "rule_reverse_order": f"{LOADED} SELECT {OUT}, {NEWEST_FIRST} FROM loaded",
+    "apply_rules": f"{LOADED} SELECT {OUT}, {NEWEST_FIRST} FROM loaded WHERE sender <> '{C.RULE_MEMBER}'",
     "default_clean": f"{LOADED},{CLEAN} SELECT {OUT} FROM cleaned",
     "format_lines": f"{LOADED},{CLEAN},{LINES} SELECT chat_key, batch_id, time, message_id, line FROM lines",
     "join_texts": f"""{LOADED},{CLEAN},{LINES}
@@ -285,6 +311,7 @@ WHERE text <> ''""",
     "embed_hashed": f"WITH {_embed('documents', 'doc_id', 'text', 'emb')} SELECT doc_id, embedding FROM emb",
     "similarity_topk": _topk("l2"),
     "similarity_topk_cosine": _topk("cosine"),
+    "similarity_lsh": _lsh(),
     "index_build": f"{LOADED},{CHUNK_VECTORS} SELECT chat_key, batch_id, chunk_no, text, embedding FROM chunk_vectors",
     "generate_context": f"{LOADED},{CHUNK_VECTORS},{CONTEXTS} SELECT query_id, chat_key, query, context FROM contexts",
     "retrieval_log": f"{LOADED},{CHUNK_VECTORS},{CONTEXTS} SELECT query_id, chat_key, query, context FROM contexts",
@@ -314,8 +341,10 @@ def _system_literal() -> str:
     return SYSTEM_PROMPT.replace("'", "''")
 
 
+SETTINGS = "0.7::DOUBLE AS temperature, 0.3::DOUBLE AS frequency_penalty, 500 AS max_tokens"
 ORACLES["build_prompts"] = f"""{LOADED},{CHUNK_VECTORS},{CONTEXTS}
-SELECT query_id, 0 AS msg_pos, 'system' AS role, '{_system_literal()}' AS content FROM contexts
+SELECT query_id, chat_key, 0 AS msg_pos, 'system' AS role, '{_system_literal()}' AS content, {SETTINGS} FROM contexts
 UNION ALL
-SELECT query_id, 1 AS msg_pos, 'user' AS role,
-       'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS content FROM contexts"""
+SELECT query_id, chat_key, 1 AS msg_pos, 'user' AS role,
+       'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS content, {SETTINGS} FROM contexts"""
+ORACLES["stream_index"] = ORACLES["index_append"]
