@@ -55,8 +55,8 @@ certified AS (
     OVER (PARTITION BY stratum, rule ORDER BY step) AS failed
   FROM tested),
 cuts AS (
-  SELECT stratum, rule, cutoff FROM certified WHERE failed = 0 AND caught > 0
-  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught DESC, step) = 1),
+  SELECT stratum, rule, cutoff FROM certified WHERE failed = 0 AND caught - {quality_rules.FALSE_COST} * k > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - {quality_rules.FALSE_COST} * k DESC, step) = 1),
 hits AS (
   SELECT DISTINCT b.doc_id FROM based b JOIN cuts c ON c.stratum = b.stratum AND {value} > c.cutoff WHERE NOT b.base_failed)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -12,8 +12,9 @@ delta / (strata * rules) (Bonferroni), and within it the cutoffs are tested
 from lenient to strict up to the first failure (fixed sequence, which needs no
 further correction). So with probability 1 - ``delta`` no stratum loses more
 than ``alpha`` of its good documents to the rules. Of the certified cutoffs
-the one that catches most bad holdout documents is taken, the most lenient of
-equals; a rule that catches none is not used.
+the one that gains most is taken (bad holdout documents it catches, less
+``FALSE_COST`` for each good one), the most lenient of equals; a rule without a
+gain is not used.
 
 Defined results: null or empty text has no words and fails the base rules;
 null language is a stratum of its own; a stratum without enough labels keeps
@@ -39,6 +40,8 @@ STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 #: Accepted false rejections among good documents of a stratum, and the
 #: probability that any stratum exceeds it.
 ALPHA, DELTA = 0.02, 0.05
+#: How many caught documents a false rejection outweighs.
+FALSE_COST = 10
 
 #: rule -> (value, cutoffs from lenient to strict); rejected if value > cutoff.
 RULES: dict[str, tuple[str, list[float]]] = {
@@ -150,9 +153,10 @@ def select_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", a
         counts.withColumn("_level", delta / (F.size(F.collect_set("_stratum").over(families)) * len(RULES)))
         .withColumn("_p", binomial_cdf(F.col("false_hits"), F.col("n_good"), alpha / len(RULES)))
         .withColumn("_failed", F.max((F.col("_p") > F.col("_level")).cast("int")).over(sequence))
-        .where("_failed = 0 AND caught > 0")
+        .withColumn("gain", F.col("caught") - FALSE_COST * F.col("false_hits"))
+        .where("_failed = 0 AND gain > 0")
     )
-    best = tested.groupBy("_stratum", "rule").agg(F.max_by("cutoff", F.struct("caught", -F.col("step"))).alias("cutoff"))
+    best = tested.groupBy("_stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", -F.col("step"))).alias("cutoff"))
     return best.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
 
 
