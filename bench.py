@@ -7,6 +7,8 @@ is the one-time write of the message store derived from the test tables.
 Before timing, every headline query runs once on the smallest test scale
 (untimed) so JIT compilation and Python worker start-up are not charged to
 whichever query happens to run first; ``warmup_sec`` reports that pass.
+``*_1m`` are positions and greedy chunks of a million messages (the
+conversations repeated, a third of them in one chat).
 """
 
 from __future__ import annotations
@@ -19,9 +21,14 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from chatweave.operators.chunking import chunk_greedy  # noqa: E402
+from chatweave.operators.sequence import with_positions  # noqa: E402
 from chatweave.plans import catalog  # noqa: E402
 from chatweave.session import get_session  # noqa: E402
 from chatweave.sources import testdata  # noqa: E402
+from tools.scale_check import repeated_lines  # noqa: E402
 
 HEADLINE = [
     "load_messages",
@@ -66,6 +73,16 @@ def main() -> None:
         t = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t, 3)
+    # the same distributed folds on a million messages, a third in one chat
+    lines = repeated_lines(spark, sf_dir, 1_000_000, os.path.join(scratch, "lines"))
+    scaled = {
+        "positions_1m": lambda: with_positions(lines.withColumn("_len", F.length("line")), ["chat_key", "batch_id"], ["time", "message_id"], "_len"),
+        "chunk_greedy_1m": lambda: chunk_greedy(lines),
+    }
+    for name, query in scaled.items():
+        t = time.time()
+        query().write.format("noop").mode("overwrite").save()
+        times[name] = round(time.time() - t, 3)
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({
