@@ -16,14 +16,24 @@ accident). Subsets without a rare shingle (empty, or made of shingles common
 in a bounded sample) are skipped up to the slack e; a set that would have to
 skip more skips none, so no linked pair is lost. The sample only steers cost.
 
+Allocation by record. Each set also leaves out its most frequent keys as far
+as its slack goes (a prefix filter over keys in one global order of
+frequency: a linked pair agrees in more segments than either may leave out,
+and the rarest of these survives in both). So passages and lines that many
+documents share cost few candidates.
+
 Candidates. Equal sets are one class first, so copies are never paired. Per
-key a running window links each class to the first and to the previous one
-(linear in the group, also for groups of thousands); these pairs are verified
-on the full sets. Pairs of one key whose classes are still in different
-components are then verified too, except those the triangle inequality of the
-Jaccard distance rules out by the two distances to the first class; so every
-link of the graph is either verified or already implied by verified ones.
-Components come from large-star / small-star rounds, all in stored tables.
+key a running window pairs each class with the hub, the member that has most
+keys in common with others, and with its predecessor: linear in the group,
+also for groups of thousands. These pairs are verified on the full sets.
+What may be left are links of classes in different components that share a
+hub. For hubs of at most ``FEW`` members these pairs are verified too. For
+larger ones, let D be a member's symmetric difference to the hub: members x, y
+can only link if D_x and D_y share (|D_x| + |D_y| - H) / 2 elements, so only
+members that meet in a prefix of their differences, rarest element first, are
+verified. So every link is either verified or implied by verified ones, without
+all pairs of a group. Components come from large-star / small-star rounds over
+stored tables.
 
 Defined results: null, empty or white-space texts have an empty set and link
 with nothing; with fewer than four words the whole sequence is the one
@@ -47,10 +57,19 @@ from chatweave.llm.common import stored
 
 WORDS, PERCENT = 4, 85
 BAND = 1.3
-CACHE = 1 << 20  #: word hashes kept per worker
+CACHE = 1 << 18  #: word hashes kept per worker
 SAMPLE, HOT_SHARE, HOT_LEAST, HOT_MOST = 2000, 0.005, 5, 1 << 15
 #: cost model: classes that share half of a set, and cost of a set beyond the slack
 HALF_SHARED, BEYOND = 64.0, 4000.0
+#: beyond this need all segments are narrow, with this share of it as slack
+WIDE_NEED, SLACK = 8, 0.25
+#: copies, and members of candidate pairs, of which there are at most so many
+#: are found by a broadcast of their ids (and hashes: at most 32 bytes each)
+FEW_IDS = 500_000
+#: pairs whose differences are held at once
+SLICE = 500
+#: members of a hub up to which all its open pairs are verified
+FEW = 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -109,8 +128,9 @@ def plan(band: int) -> tuple[int, int, int]:
     low, high = int(band_starts()[band]), int(band_starts()[band + 1]) - 1
     need = max(hamming(t) for t in range(max(2, 2 * high - 2 * 100 // PERCENT - 10), 2 * high + 1)) + 1
     best = None
-    for e in sorted({0, 1, 2, 3, 4, 6, 8, math.ceil(need * 0.06), math.ceil(need * 0.12), math.ceil(need * 0.2)}):
-        for share in (0.0, 0.25, 0.5, 0.75, 1.0):
+    slacks = (0, 1, 2, 3, 4) if need <= WIDE_NEED else (math.ceil(need * SLACK),)
+    for e in slacks:
+        for share in (0.0, 0.5, 1.0) if need <= WIDE_NEED else (0.0,):
             wide = math.ceil((need + e) / 2) if share == 1.0 else int(share * (need + e) / 2)
             m = wide + max(0, need + e - 2 * wide)
             size = low / m
@@ -129,10 +149,12 @@ def _edges(m: int) -> np.ndarray:
     return np.array([-(-(i << 64) // m) for i in range(1, m)], dtype=np.uint64)
 
 
-def signatures(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Keys of a sorted set under its own and the next band."""
+def signatures(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Keys of a sorted set under its own and the next band; the lowest bit of
+    a key is its band's. Also how many more keys may be left out, by that bit."""
+    spare = [0, 0]
     if not len(s):
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), spare
     starts, n = band_starts(), len(s)
     own = int(np.searchsorted(starts, n, "right")) - 1
     bands = [own] + [own + 1] * (100 * n >= PERCENT * int(starts[own + 1]))
@@ -152,12 +174,15 @@ def signatures(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
         is_wide = np.arange(m) < wide
         skipped = int((rare[~is_wide] == 0).sum() + 2 * (rare[is_wide] <= 2).sum())
         keep = (rare > is_wide) if skipped <= e else np.ones(m, dtype=bool)
-        out.append(mix(content[keep] ^ salt[keep]))
+        keys = [mix(content[keep] ^ salt[keep])]
         if wide:
             seg = np.repeat(np.arange(m), np.diff(cut))
             out_of = is_wide[seg] & keep[seg]
-            out.append(mix((content[seg[out_of]] - weight[out_of]) ^ salt[seg[out_of]]))
-    return np.unique(np.concatenate(out)).view(np.int64)
+            keys.append(mix((content[seg[out_of]] - weight[out_of]) ^ salt[seg[out_of]]))
+        elif skipped <= e:
+            spare[band & 1] = e - skipped
+        out.append((np.concatenate(keys) & ~np.uint64(1)) | np.uint64(band & 1))
+    return np.unique(np.concatenate(out)).view(np.int64), spare
 
 
 def _texts(batch, *others):
@@ -182,9 +207,9 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def signed_sets(docs: DataFrame) -> DataFrame:
-    """(_id, n, f1, f2, keys) of every row of (_id, _text)."""
+    """(_id, n, f1, f2, keys, spare0, spare1) of every row of (_id, _text)."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
-    schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("spare0", pa.int32()), ("spare1", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -192,30 +217,62 @@ def signed_sets(docs: DataFrame) -> DataFrame:
             for i, text in _texts(batch, "_id"):
                 s = shingle_set(text)
                 f1, f2 = mix(s).sum(dtype=np.uint64), mix(s ^ _B).sum(dtype=np.uint64)
-                for c, v in zip(rows, (i, len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), signatures(s, hot.value))):
+                keys, spare = signatures(s, hot.value)
+                for c, v in zip(rows, (i, len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), keys, *spare)):
                     rows[c].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return docs.mapInArrow(run, "_id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(run, "_id long, n long, f1 long, f2 long, keys array<long>, spare0 int, spare1 int")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d): Jaccard distance, and ok, of each pair of ids."""
+def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a")
+    return both.select("a", "b", "sa", "sb")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, d, ok): symmetric difference, and whether they link, of each pair."""
 
     def run(batches):
         for batch in batches:
             rows = {"a": batch["a"], "b": batch["b"], "d": [], "ok": []}
             for x, y in zip(batch["sa"], batch["sb"]):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 if len(x) > len(y):
                     x, y = y, x
                 k = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                rows["d"].append(1 - k / (len(x) + len(y) - k))
+                rows["d"].append(len(x) + len(y) - 2 * k)
                 rows["ok"].append(linked(k, len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([rows["a"], rows["b"], pa.array(rows["d"], pa.float64()), pa.array(rows["ok"], pa.bool_())], names=list(rows))
+            yield pa.RecordBatch.from_arrays([rows["a"], rows["b"], pa.array(rows["d"], pa.int64()), pa.array(rows["ok"], pa.bool_())], names=list(rows))
+
+    return _paired(pairs, sets).mapInArrow(run, "a long, b long, d long, ok boolean")
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d double, ok boolean")
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, _id, x, short, long): a row per element of the symmetric
+    difference of hub and member, with the prefix lengths of the member as the
+    nearer and as the farther of a pair (0: it links to the hub itself)."""
+
+    def run(batches):
+        for big in batches:
+            for at in range(0, big.num_rows, SLICE):
+                batch = big.slice(at, SLICE)
+                both, short, far = [], [], []
+                for h, y in zip(batch["sa"], batch["sb"]):
+                    h, y = np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                    x = np.setxor1d(h, y, assume_unique=True)
+                    d, most = len(x), hamming(len(y) + 100 * len(y) // PERCENT)
+                    # a partner lies beyond the hub's own reach, so they share at least this much
+                    share = max(1, -(-(1 + d - max(0, len(y) - len(h))) // 2))
+                    both.append(x.view(np.int64))
+                    short.append(d - share + 1)
+                    far.append(0 if linked((len(h) + len(y) - d) // 2, len(h), len(y)) else min(d, d - max(1, d - most) + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["a"], batch["b"], pa.array(both, pa.list_(pa.int64())), pa.array(short, pa.int64()), pa.array(far, pa.int64())],
+                    names=["hub", "_id", "xs", "short", "long"])
+
+    made = _paired(pairs, sets).mapInArrow(run, "hub long, _id long, xs array<long>, short long, long long")
+    return made.select("hub", "_id", F.explode("xs").alias("x"), "short", "long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,6 +302,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """With a broadcast hint if there are at most ``FEW_IDS`` rows."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
@@ -254,12 +316,26 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     # all but one row of each class leave before the keys are dealt out
     shared = classes.where("_size > 1").select("n", "f1", "f2", "rep")
     extra = stored(full.select("_id", "n", "f1", "f2").join(shared, ["n", "f1", "f2"]).select("_id", "n", "f1", "f2", "rep").distinct(), "copies")
-    keyed = full.join(extra.where("_id <> rep").select("_id", "n", "f1", "f2"), ["_id", "n", "f1", "f2"], "left_anti")
+    keyed = full.join(_few(extra.where("_id <> rep").select("_id", "n", "f1", "f2")), ["_id", "n", "f1", "f2"], "left_anti")
     keys = keyed.select("_id", F.explode("keys").alias("key"))
     group = W.partitionBy("key").orderBy("_id")
-    met = keys.withColumns({"hub": F.first("_id").over(group.rowsBetween(W.unboundedPreceding, 0)), "prev": F.lag("_id").over(group)})
-    met = stored(met.where("prev IS NOT NULL AND _id <> hub"), "met")
-    star = met.select(F.col("hub").alias("a"), F.col("_id").alias("b")).unionByName(met.where("prev <> hub AND prev <> _id").select(F.col("prev").alias("a"), F.col("_id").alias("b"))).distinct()
+    near = keys.withColumns({"_before": F.lag("_id").over(group), "_after": F.lead("_id").over(group)})
+    near = stored(near.where("(_before IS NOT NULL OR _after IS NOT NULL) AND NOT (_before <=> _id)").select("_id", "key"), "near")
+    counted = near.join(near.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "key")
+    # the most frequent keys are left out as far as the slack goes; one shuffle
+    # by id serves the join and both windows
+    spare = keyed.groupBy("_id").agg(F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+    bit = F.pmod("key", F.lit(2))
+    nth = F.row_number().over(W.partitionBy("_id", "bit").orderBy(F.desc("f"), "key"))
+    ranked = counted.join(spare, "_id").withColumn("bit", bit).withColumn("_nth", nth)
+    kept = ranked.where(F.col("_nth") > F.when(F.col("bit") == 0, F.col("spare0")).otherwise(F.col("spare1")))
+    kept = kept.select("_id", "key", F.sum("f").over(W.partitionBy("_id")).alias("score"))
+    by_score = W.partitionBy("key").orderBy(F.desc("score"), "_id")
+    met = kept.withColumns({"hub": F.first("_id").over(by_score.rowsBetween(W.unboundedPreceding, 0)), "prev": F.lag("_id").over(by_score)})
+    met = stored(met.where("prev IS NOT NULL").groupBy("hub", "_id").agg(F.collect_set("prev").alias("prevs")), "met")
+    hubs = met.select(F.col("hub").alias("a"), F.col("_id").alias("b"))
+    chain = met.select("hub", F.explode("prevs").alias("a"), F.col("_id").alias("b")).where("a <> hub").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    star = hubs.unionByName(chain).distinct()
     members = met.select("_id").unionByName(met.select(F.col("hub").alias("_id"))).distinct()
 
     def sets_of(batches):
@@ -270,7 +346,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 sets.append(shingle_set(t).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["_id", "s"])
 
-    sets = stored(rows.join(members, "_id", "left_semi").mapInArrow(sets_of, "_id long, s binary").distinct(), "sets")
+    sets = stored(rows.join(_few(stored(members, "members")), "_id", "left_semi").mapInArrow(sets_of, "_id long, s binary").distinct(), "sets")
     tested = stored(verified(star, sets), "tested")
     # rows that share an id are one document
     same_id = extra.groupBy("_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).select("u", "v")
@@ -279,21 +355,27 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     first_links = tested.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(implied)
     roots = stored(components(first_links), "roots")
 
-    distance = tested.groupBy("a", "b").agg(F.min("d").alias("d")).select(F.col("a").alias("hub"), F.col("b").alias("_id"), "d")
     placed = (
-        met.select("key", "hub", "_id").join(distance, ["hub", "_id"])
-        .join(roots.withColumnRenamed("node", "_id"), "_id", "left")
-        .select("key", "_id", "d", F.coalesce("root", "_id").alias("root"))
+        tested.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("ok").alias("ok")).withColumnRenamed("a", "hub").withColumnRenamed("b", "_id")
+        .join(met.select("hub", "_id"), ["hub", "_id"])
+        .join(roots.withColumnRenamed("node", "_id"), "_id", "left").withColumn("root", F.coalesce("root", "_id"))
     )
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = stored(placed.join(mixed, "key", "left_semi"), "open")
-    counts = open_.groupBy("key", "root").agg(F.count("*").alias("c"))
-    major = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
-    minor = open_.join(major, "key").where("root <> major").select("key", F.col("_id").alias("a"), F.col("d").alias("da"), F.col("root").alias("ra"), "major")
-    other = open_.select("key", F.col("_id").alias("b"), F.col("d").alias("db"), F.col("root").alias("rb"))
-    reach = (100 - PERCENT) / 100 + 1e-9
-    rest = minor.join(other, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))) & (F.abs(F.col("da") - F.col("db")) <= reach))
-    rest = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    per_hub = placed.groupBy("hub").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub", "c")
+    open_ = stored(placed.join(per_hub, "hub").select("hub", "_id", "ok", "root", "c"), "open")
+
+    def pairs_of(far: DataFrame, near: DataFrame, on: list[str]) -> DataFrame:
+        x = far.select(*on, F.col("_id").alias("a"), F.col("root").alias("ra"))
+        y = near.select(*on, F.col("_id").alias("b"), F.col("root").alias("rb"))
+        return x.join(y, on).where("a <> b AND ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    few = open_.where(f"c <= {FEW}")
+    many = open_.where(f"c > {FEW}")
+    parts = stored(differences(many.select(F.col("hub").alias("a"), F.col("_id").alias("b")), sets), "differences")
+    rare = W.partitionBy("hub", "_id").orderBy("f", "x")
+    parts = parts.join(parts.groupBy("hub", "x").agg(F.count("*").alias("f")).where("f > 1"), ["hub", "x"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    parts = stored(parts.withColumn("_nth", F.row_number().over(rare)).where("f > 1 AND _nth <= greatest(short, long)").join(many.select("hub", "_id", "root"), ["hub", "_id"]).select("hub", "x", "_id", "root", (F.col("_nth") <= F.col("long")).alias("far"), (F.col("_nth") <= F.col("short")).alias("near")), "prefixes")
+    rest = pairs_of(few.where("NOT ok"), few, ["hub"]).unionByName(pairs_of(parts.where("far"), parts.where("near"), ["hub", "x"]))
+    rest = stored(rest.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         more = verified(rest, sets).where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
