@@ -315,7 +315,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("_id").alias("rep"), F.count("*").alias("_size")), "classes")
     # all but one row of each class leave before the keys are dealt out
     shared = classes.where("_size > 1").select("n", "f1", "f2", "rep")
-    extra = stored(full.select("_id", "n", "f1", "f2").join(shared, ["n", "f1", "f2"]).select("_id", "n", "f1", "f2", "rep").distinct(), "copies")
+    extra = stored(full.select("_id", "n", "f1", "f2").join(_few(shared), ["n", "f1", "f2"]).select("_id", "n", "f1", "f2", "rep").distinct(), "copies")
     keyed = full.join(_few(extra.where("_id <> rep").select("_id", "n", "f1", "f2")), ["_id", "n", "f1", "f2"], "left_anti")
     keys = keyed.select("_id", F.explode("keys").alias("key"))
     group = W.partitionBy("key").orderBy("_id")
