@@ -115,7 +115,8 @@ class Model:
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """rows: (language, buckets, counts) of whole texts, in a fixed order."""
+    """rows: (language, buckets, counts or shares) of whole texts, in a fixed
+    order."""
     rows = [r for r in rows if len(r[1])]
     languages = sorted({r[0] for r in rows})
     if not languages:
@@ -163,7 +164,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 
 
 def sample_rows(docs: DataFrame) -> DataFrame:
-    """At most ``SAMPLE`` learnable documents as (lang, key, buckets, counts):
+    """At most ``SAMPLE`` learnable documents as (lang, key, buckets, shares):
     per language the rows with the smallest hashes, cut by language counts so
     that no language passes one task whole."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", MODULUS) != HELD_OUT))
@@ -179,7 +180,7 @@ def sample_rows(docs: DataFrame) -> DataFrame:
             for lang, k, d, text in zip(*(batch[c].to_pylist() for c in ("lang", "_key", "doc_id", "text"))):
                 n = bucket_counts(text)
                 b = np.flatnonzero(n)
-                for c, v in zip(out, (lang, k, d, b.astype("<i4").tobytes(), n[b].astype("<i4").tobytes())):
+                for c, v in zip(out, (lang, k, d, b.astype("<i4").tobytes(), (n[b] / max(1, n.sum())).astype("<f4").tobytes())):
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("key", pa.float64()), ("doc_id", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())]))
 
@@ -192,7 +193,7 @@ def fit_model(docs: DataFrame) -> Model:
     """Learns from rows of ``docs`` (doc_id, text, lang) that are not held out."""
     got = sample_rows(docs).collect()  # at most SAMPLE rows of at most BUCKETS entries
     got.sort(key=lambda r: (r["key"], r["doc_id"], r["lang"], r["buckets"]))
-    return train([(r["lang"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4").astype(np.float64)) for r in got])
+    return train([(r["lang"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in got])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

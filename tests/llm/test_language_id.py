@@ -4,7 +4,6 @@ import zlib
 
 import numpy as np
 import pandas as pd
-import pytest
 
 from chatweave.llm import language_id as L
 from chatweave.llm.queries import op3_language_id

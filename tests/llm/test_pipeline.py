@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 
 import corpus_pipeline as P
 from chatweave.llm.common import stored
