@@ -9,7 +9,6 @@ batches, so it scales with the executors like any other map.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatweave.sources.store import MessageStore, contacts_from_rows, store_from_frames
+from chatweave.sources.store import contacts_from_rows, store_from_frames
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
