@@ -261,8 +261,10 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 for h, y in zip(batch["sa"], batch["sb"]):
                     h, y = np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                     x = np.setxor1d(h, y, assume_unique=True)
-                    d, most = len(x), hamming(len(y) + 100 * len(y) // PERCENT)
-                    # a partner lies beyond the hub's own reach, so they share at least this much
+                    # hamming() moves by one per step, never down twice in a row
+                    d, most = len(x), hamming(len(y) + 100 * len(y) // PERCENT) + 1
+                    # a partner lies beyond the hub's own reach (by two, as differences
+                    # and reach have one parity), so they share at least this much
                     share = max(1, -(-(1 + d - max(0, len(y) - len(h))) // 2))
                     both.append(x.view(np.int64))
                     short.append(d - share + 1)

@@ -47,6 +47,12 @@ def test_hamming_is_the_largest_difference_of_linked_sets():
                 assert most <= J.hamming(a + b)
 
 
+def test_bounds_used_for_prefixes_of_differences():
+    for t in range(2, 5000):
+        assert (J.hamming(t) - t) % 2 == 0 and abs(J.hamming(t + 1) - J.hamming(t)) == 1
+        assert max(J.hamming(s) for s in range(max(1, t - 12), t + 1)) <= J.hamming(t) + 1
+
+
 def test_bands_meet_all_partners():
     starts = J.band_starts()
     for n in [*range(1, 3000), 10**6]:
