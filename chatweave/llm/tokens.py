@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 NAME = "byte_bpe_50k"
-CACHE = 700_000  #: chunks kept per worker
+CACHE = 300_000  #: chunks kept per worker (about 150 MB)
 _RUN = re.compile(r"\s (?!\S)")
 
 
