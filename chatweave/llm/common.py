@@ -14,14 +14,27 @@ SPACE = r"[\x20\x09-\x0D]"
 SMALL_ROWS = 10_000
 
 
+#: Arrow batches of whole texts, if the session leaves Spark's defaults
+#: (10,000 rows, 64 MB): they bound what a Python worker and its JVM hold.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared checkpoint folder and read back:
     cuts lineage, survives lost executors, and is compressed."""
+    bound_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
