@@ -1,7 +1,7 @@
 """Positions and greedy chunks of at least a million messages, a third of
 them in one chat: seconds, and agreement with the window and fold forms.
 
-    python tools/scale_check.py [cpus] [rows]
+    python tools/scale_check.py [cpus] [rows] [--compare]
 
 The messages are the ``conversations`` table, repeated.
 """
@@ -57,7 +57,7 @@ def main(argv):
         return sequence.with_positions(lines.withColumn("_len", F.length("line")), ["chat_key", "batch_id"], ["time", "message_id"], "_len")
 
     out["positions_s"], out["chunk_greedy_s"] = run(positions), run(lambda: chunking.chunk_greedy(lines))
-    if cpus >= 8:
+    if "--compare" in argv:
         w = Window.partitionBy("chat_key", "batch_id").orderBy("time", "message_id")
         start = F.coalesce(F.sum(F.col("_len") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         out["positions_wrong"] = positions().withColumns({"p": F.row_number().over(w) - 1, "o": start}).where("p <> _pos OR o <> _offset").count()
