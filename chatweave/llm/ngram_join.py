@@ -1,8 +1,8 @@
 """Operator 8: exact n-gram Jaccard self-join by universe-partition pigeonhole.
 
-A document's set is its distinct 4-word shingles (64-bit hashes). Two sets
-link when 100 * |both| >= 85 * |either|. Linked sets of sizes a and b differ in
-at most H(a + b) shingles.
+A document's set is its distinct shingles of ``words`` words (64-bit hashes).
+Two sets link when 100 * |both| >= percent * |either|; the caller gives both
+numbers. Linked sets of sizes a and b differ in at most H(a + b) shingles.
 
 Signatures. Sizes are cut into bands; a set is filed under its own band and,
 if a partner can lie there, under the next. In a band the hash universe is cut
@@ -36,8 +36,8 @@ all pairs of a group. Components come from large-star / small-star rounds over
 stored tables.
 
 Defined results: null, empty or white-space texts have an empty set and link
-with nothing; with fewer than four words the whole sequence is the one
-shingle; a row without id gets no component; rows that share an id are one
+with nothing; with fewer words than a shingle has the whole sequence is the
+one shingle; a row without id gets no component; rows that share an id are one
 document; repeated rows share a component; an empty table gives an empty table.
 """
 
@@ -55,7 +55,9 @@ from pyspark.sql.window import Window as W
 
 from chatweave.llm.common import stored
 
+#: a shingle's words and the least similarity, unless the caller says otherwise
 WORDS, PERCENT = 4, 85
+#: ratio of band starts; larger where 100 / percent is
 BAND = 1.3
 CACHE = 1 << 18  #: word hashes kept per worker
 SAMPLE, HOT_SHARE, HOT_LEAST, HOT_MOST = 2000, 0.005, 5, 1 << 15
@@ -90,43 +92,45 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(WORDS, len(words))
-    k = len(words) - width + 1
+    h = np.fromiter(map(_words.__getitem__, found), dtype=np.uint64, count=len(found))
+    width = min(words, len(found))
+    k = len(found) - width + 1
     s = mix(h[:k] + np.uint64(width))
     for i in range(1, width):
         s = mix(s + h[i : k + i])
     return np.unique(s)
 
 
-def linked(inter: int, a: int, b: int) -> bool:
-    return inter > 0 and 100 * inter >= PERCENT * (a + b - inter)
+def linked(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
+    return inter > 0 and 100 * inter >= percent * (a + b - inter)
 
 
-def hamming(total: int) -> int:
+def hamming(total: int, percent: int = PERCENT) -> int:
     """Most shingles in which linked sets of this total size can differ."""
-    return total - 2 * -(-PERCENT * total // (100 + PERCENT))
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
-@lru_cache(maxsize=1)
-def band_starts() -> np.ndarray:
+@lru_cache(maxsize=None)
+def band_starts(percent: int = PERCENT) -> np.ndarray:
+    """A set's partners lie at most one band on."""
     starts, at = [], 1
     while at < 1 << 40:
         starts.append(at)
-        at = max(at, int(at * BAND)) + 1
+        at = max(at, int(at * BAND), 100 * at // percent) + 1
     return np.array(starts, dtype=np.int64)
 
 
 @lru_cache(maxsize=None)
-def plan(band: int) -> tuple[int, int, int]:
+def plan(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
     """(segments, of these the first so many with allowance 1, slack e)."""
-    low, high = int(band_starts()[band]), int(band_starts()[band + 1]) - 1
-    need = max(hamming(t) for t in range(max(2, 2 * high - 2 * 100 // PERCENT - 10), 2 * high + 1)) + 1
+    starts = band_starts(percent)
+    low, high = int(starts[band]), int(starts[band + 1]) - 1
+    need = max(hamming(t, percent) for t in range(max(2, 2 * high - 2 * 100 // percent - 10), 2 * high + 1)) + 1
     best = None
     slacks = (0, 1, 2, 3, 4) if need <= WIDE_NEED else (math.ceil(need * SLACK),)
     for e in slacks:
@@ -149,15 +153,15 @@ def _edges(m: int) -> np.ndarray:
     return np.array([-(-(i << 64) // m) for i in range(1, m)], dtype=np.uint64)
 
 
-def signatures(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, list[int]]:
+def signatures(s: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
     """Keys of a sorted set under its own and the next band; the lowest bit of
     a key is its band's. Also how many more keys may be left out, by that bit."""
     spare = [0, 0]
     if not len(s):
         return np.zeros(0, dtype=np.int64), spare
-    starts, n = band_starts(), len(s)
+    starts, n = band_starts(percent), len(s)
     own = int(np.searchsorted(starts, n, "right")) - 1
-    bands = [own] + [own + 1] * (100 * n >= PERCENT * int(starts[own + 1]))
+    bands = [own] + [own + 1] * (100 * n >= percent * int(starts[own + 1]))
     weight = mix(s ^ _A)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weight, dtype=np.uint64)])
     common = np.zeros(n, dtype=bool)
@@ -167,7 +171,7 @@ def signatures(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, list[int]]:
     rares = np.concatenate([[0], np.cumsum(~common)])
     out = []
     for band in bands:
-        m, wide, e = plan(band)
+        m, wide, e = plan(band, percent)
         cut = np.concatenate([[0], np.searchsorted(s, _edges(m)), [n]])
         content, rare = sums[cut[1:]] - sums[cut[:-1]], rares[cut[1:]] - rares[cut[:-1]]
         salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
@@ -189,14 +193,14 @@ def _texts(batch, *others):
     return zip(*(batch[c].to_pylist() for c in others), (x.as_py() for x in batch["_text"]))
 
 
-def hot_shingles(docs: DataFrame) -> np.ndarray:
+def hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles common in a sample of about ``SAMPLE`` documents (cost only)."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64(F.lit(8), "_id"), F.lit(1 << 30)) < share * (1 << 30)).select("_text")
 
     def sets(batches):
         for batch in batches:
-            got = [shingle_set(x.as_py()) for x in batch["_text"]]
+            got = [shingle_set(x.as_py(), words) for x in batch["_text"]]
             got = [g for g in got if len(g)]
             yield pa.RecordBatch.from_pydict({"f": pa.array([int(mix(g).sum(dtype=np.uint64).view(np.int64)) for g in got], pa.int64()), "s": pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64()))})
 
@@ -206,18 +210,18 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["s"] for r in top.collect()], dtype=np.int64).view(np.uint64))
 
 
-def signed_sets(docs: DataFrame) -> DataFrame:
+def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(_id, n, f1, f2, keys, spare0, spare1) of every row of (_id, _text)."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, words))
     schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("spare0", pa.int32()), ("spare1", pa.int32())])
 
     def run(batches):
         for batch in batches:
             rows = {c: [] for c in schema.names}
             for i, text in _texts(batch, "_id"):
-                s = shingle_set(text)
+                s = shingle_set(text, words)
                 f1, f2 = mix(s).sum(dtype=np.uint64), mix(s ^ _B).sum(dtype=np.uint64)
-                keys, spare = signatures(s, hot.value)
+                keys, spare = signatures(s, hot.value, percent)
                 for c, v in zip(rows, (i, len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), keys, *spare)):
                     rows[c].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
@@ -230,7 +234,7 @@ def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, d, ok): symmetric difference, and whether they link, of each pair."""
 
     def run(batches):
@@ -242,13 +246,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     x, y = y, x
                 k = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 rows["d"].append(len(x) + len(y) - 2 * k)
-                rows["ok"].append(linked(k, len(x), len(y)))
+                rows["ok"].append(linked(k, len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([rows["a"], rows["b"], pa.array(rows["d"], pa.int64()), pa.array(rows["ok"], pa.bool_())], names=list(rows))
 
     return _paired(pairs, sets).mapInArrow(run, "a long, b long, d long, ok boolean")
 
 
-def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(hub, _id, x, short, long): a row per element of the symmetric
     difference of hub and member, with the prefix lengths of the member as the
     nearer and as the farther of a pair (0: it links to the hub itself)."""
@@ -262,13 +266,13 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     h, y = np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                     x = np.setxor1d(h, y, assume_unique=True)
                     # hamming() moves by one per step, never down twice in a row
-                    d, most = len(x), hamming(len(y) + 100 * len(y) // PERCENT) + 1
+                    d, most = len(x), hamming(len(y) + 100 * len(y) // percent, percent) + 1
                     # a partner lies beyond the hub's own reach (by two, as differences
                     # and reach have one parity), so they share at least this much
                     share = max(1, -(-(1 + d - max(0, len(y) - len(h))) // 2))
                     both.append(x.view(np.int64))
                     short.append(d - share + 1)
-                    far.append(0 if linked((len(h) + len(y) - d) // 2, len(h), len(y)) else min(d, d - max(1, d - most) + 1))
+                    far.append(0 if linked((len(h) + len(y) - d) // 2, len(h), len(y), percent) else min(d, d - max(1, d - most) + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch["a"], batch["b"], pa.array(both, pa.list_(pa.int64())), pa.array(short, pa.int64()), pa.array(far, pa.int64())],
                     names=["hub", "_id", "xs", "short", "long"])
@@ -309,10 +313,12 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    if words < 1 or not 1 <= percent <= 100:
+        raise ValueError("words must be at least 1, percent 1 to 100")
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    signed = stored(signed_sets(rows), "signed")
+    signed = stored(signed_sets(rows, words, percent), "signed")
     full = signed.where("_id IS NOT NULL AND n > 0")
     classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("_id").alias("rep"), F.count("*").alias("_size")), "classes")
     # all but one row of each class leave before the keys are dealt out
@@ -345,11 +351,11 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             ids, sets = [], []
             for i, t in _texts(batch, "_id"):
                 ids.append(i)
-                sets.append(shingle_set(t).astype("<u8").tobytes())
+                sets.append(shingle_set(t, words).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["_id", "s"])
 
     sets = stored(rows.join(_few(stored(members, "members")), "_id", "left_semi").mapInArrow(sets_of, "_id long, s binary").distinct(), "sets")
-    tested = stored(verified(star, sets), "tested")
+    tested = stored(verified(star, sets, percent), "tested")
     # rows that share an id are one document
     same_id = extra.groupBy("_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).select("u", "v")
     own_id = extra.select(F.col("_id").alias("u"), F.col("rep").alias("v")).join(keyed.select(F.col("_id").alias("u")).distinct(), "u", "left_semi")
@@ -372,14 +378,14 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     few = open_.where(f"c <= {FEW}")
     many = open_.where(f"c > {FEW}")
-    parts = stored(differences(many.select(F.col("hub").alias("a"), F.col("_id").alias("b")), sets), "differences")
+    parts = stored(differences(many.select(F.col("hub").alias("a"), F.col("_id").alias("b")), sets, percent), "differences")
     rare = W.partitionBy("hub", "_id").orderBy("f", "x")
     parts = parts.join(parts.groupBy("hub", "x").agg(F.count("*").alias("f")).where("f > 1"), ["hub", "x"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
     parts = stored(parts.withColumn("_nth", F.row_number().over(rare)).where("f > 1 AND _nth <= greatest(short, long)").join(many.select("hub", "_id", "root"), ["hub", "_id"]).select("hub", "x", "_id", "root", (F.col("_nth") <= F.col("long")).alias("far"), (F.col("_nth") <= F.col("short")).alias("near")), "prefixes")
     rest = pairs_of(few.where("NOT ok"), few, ["hub"]).unionByName(pairs_of(parts.where("far"), parts.where("near"), ["hub", "x"]))
     rest = stored(rest.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        more = verified(rest, sets).where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = verified(rest, sets, percent).where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
 
     light = signed.select("_id", "n", "f1", "f2")

@@ -66,7 +66,7 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
 
 def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ from chatweave.llm.common import stored, table
 #: Some stages (a trained classifier, an id-level join on hashes) have no SQL form.
 ORACLE_SQL = None
 
+#: Near copies: shingles of so many words, and the least Jaccard similarity of them.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs."""
@@ -35,7 +38,7 @@ def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one whose id names the
     group. Rows without id are kept."""
-    groups = stored(ngram_join.ngram_join(docs.select("doc_id", "text")), "groups")
+    groups = stored(ngram_join.ngram_join(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT), "groups")
     ids = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

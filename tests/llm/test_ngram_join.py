@@ -125,3 +125,66 @@ def test_query_against_all_pairs(spark):
     docs = pd.read_parquet(f"{SF_CHECK}/documents.parquet")
     got = sorted(tuple(r) for r in op8_ngram_join(spark, SF_CHECK).collect())
     assert got == sorted(plain_components(list(zip(docs.doc_id, docs.text))))
+
+
+def plain_components_of(rows, size, percent):
+    """As ``plain_components`` for shingles of any size and any threshold."""
+    sets, parent = [], {i: i for i, _ in rows}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append((i, {tuple(w)} if 0 < len(w) < size else set(zip(*(w[k:] for k in range(size))))))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[n + 1 :]:
+            if a & b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [(i, len(s), find(i)) for i, s in sets]
+
+
+OTHERS = [(5, 80), (3, 60), (1, 100)]
+
+
+@pytest.mark.parametrize("percent", [80, 60, 50, 100])
+def test_bounds_at_other_thresholds(percent):
+    starts, most = J.band_starts(percent), 0
+    for n in [*range(1, 3000), 10**6]:
+        band = np.searchsorted(starts, n, "right") - 1
+        assert 100 * n // percent < starts[band + 2]
+    highs = {2 * int(x) - 2: k for k, x in enumerate(starts[1:])}
+    for t in range(2, 5000):
+        most = max(most, J.hamming(t, percent))
+        assert most <= J.hamming(t, percent) + 1
+        if t in highs:  # the segments of a band allow for its largest difference
+            m, wide, e = J.plan(highs[t], percent)
+            assert m + wide >= most + 1 + e
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_linked_sets_share_a_key_at_80_percent(seed):
+    rng = np.random.default_rng(seed)
+    hot = np.zeros(0, np.uint64)
+    for _ in range(400):
+        n = int(rng.integers(1, 15)) if rng.random() < 0.5 else int(rng.integers(15, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        drop, add = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 4 + 1))
+        b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
+        if J.linked(len(np.intersect1d(a, b)), len(a), len(b), 80):
+            (ka, sa), (kb, sb) = J.signatures(a, hot, 80), J.signatures(b, hot, 80)
+            both = np.intersect1d(ka, kb)
+            assert any((both & 1 == bit).sum() > max(sa[bit], sb[bit]) for bit in (0, 1))
+
+
+@pytest.mark.parametrize("few", [J.FEW, 0])
+@pytest.mark.parametrize("words, percent", OTHERS)
+def test_other_shingles_and_thresholds_against_all_pairs(spark, words, percent, few, monkeypatch):
+    monkeypatch.setattr(J, "FEW", few)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(tuple(r) for r in J.ngram_join(docs, words=words, percent=percent).collect())
+    assert got == sorted(plain_components_of(rows, words, percent))

@@ -6,7 +6,7 @@ import re
 import corpus_pipeline as P
 from chatweave.llm.common import stored
 from tests.conftest import SF_SMALL
-from tests.llm.test_ngram_join import plain_components
+from tests.llm.test_ngram_join import corpus, plain_components, plain_components_of
 from tests.llm.test_packing import check
 from tests.llm.test_quality_rules import plain
 
@@ -46,3 +46,18 @@ def test_empty_and_null_rows(spark):
 
 def test_run(spark):
     assert set(P.run(spark, SF_SMALL).columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
+
+
+def test_near_copies_of_the_stage_are_five_words_at_80_percent(spark):
+    words = [f"w{i}" for i in range(1000)]
+    text = " ".join(words)
+    cut, more = " ".join(words[:830]), text + " " + " ".join(f"m{i}" for i in range(220))  # 5-word Jaccard 0.829, 0.819
+    singly = " ".join(f"x{i}" if i % 48 == 24 else w for i, w in enumerate(words))  # 21 of 1,000 words: 0.809
+    rows = [(i, t) for i, t in corpus() if t] + [(10_001, text), (10_002, cut), (10_003, singly), (10_004, more)]
+    other = [f"o{w}" for w in words]
+    rows += [(20_001, " ".join(other)), (20_002, " ".join(other[:790]))]
+    schema = spark.read.parquet(f"{SF_SMALL}/documents.parquet").schema
+    docs = spark.createDataFrame([tuple({"doc_id": i, "text": t}.get(c) for c in schema.names) for i, t in rows], schema)
+    got = sorted(r["doc_id"] for r in P.keep_one_of_copies(spark, docs, SF_SMALL).collect())
+    assert got == sorted({c for _, _, c in plain_components_of(rows, 5, 80)})
+    assert 10_001 in got and not {10_002, 10_003, 10_004} & set(got) and {20_001, 20_002} <= set(got)
