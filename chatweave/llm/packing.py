@@ -18,7 +18,13 @@ pieces without talking to any other task. Queue positions come from per
 (input partition, source) totals, summed over partitions, so no source passes
 one task and no document is shuffled. Ids are written once and read twice.
 
-Sources beyond ``MOST_QUEUES`` share queues by hash, which bounds the state.
+With more than ``MOST_QUEUES`` sources, only small ones share queues, which
+bounds the state: every source with a given weight and the largest of the
+others (by bytes of text) keep a queue of their own, and the tail is hashed
+into ``MOST_QUEUES // 4`` queues. A tail queue weighs what its members weigh
+together, and has their documents in input order. A tail source is smaller
+than each source with a queue of its own and no given weight. Weights are
+never dropped.
 
 Defined results: null and empty texts are one END token; a null source is a
 source of its own; repeated rows are packed as often as they occur; an empty
@@ -150,24 +156,48 @@ class Deal:
         return [np.concatenate(x) for x in zip(*parts)]
 
 
-def encoded(docs: DataFrame, doc_id: str, text: str, source: str, name: str) -> DataFrame:
-    """(doc_id, queue name, part, local start, tokens, ids), written once. Part
+def _key(source: str | None) -> str:
+    """The queue of a source of its own; tail queues are "#0", "#1", ..."""
+    return "" if source is None else "=" + source
+
+
+def own_queues(docs: DataFrame, text: str, source: str, weights: dict[str | None, float] | None) -> set[str] | None:
+    """Keys of the sources that keep a queue of their own (None: all do)."""
+    key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    if docs.select(key.alias("queue")).distinct().limit(MOST_QUEUES + 1).count() <= MOST_QUEUES:
+        return None
+    sizes = stored(docs.groupBy(key.alias("queue")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("n")), "sizes")
+    given = docs.sparkSession.createDataFrame([(_key(s),) for s in weights or ()], "queue string")
+    own = {r["queue"] for r in sizes.join(given, "queue", "left_semi").select("queue").collect()}
+    room = max(0, MOST_QUEUES - _tail_queues() - len(own))
+    return own | {r["queue"] for r in sizes.join(given, "queue", "left_anti").orderBy(F.desc("n"), "queue").limit(room).collect()}
+
+
+def _tail_queues() -> int:
+    return max(1, MOST_QUEUES // 4)
+
+
+def encoded(docs: DataFrame, doc_id: str, text: str, source: str, name: str, own: set[str] | None = None) -> DataFrame:
+    """(doc_id, queue key, part, local start, tokens, ids), written once. Part
     is the input partition; local start counts the queue's tokens before the
-    document in it."""
+    document in it. Sources not in ``own`` share the tail queues."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), F.col(source).cast("string").alias("queue"))
+    held, tail = docs.sparkSession.sparkContext.broadcast(own), _tail_queues()
     schema = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int32()), ("local", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        enc, seen, part = encoder(name), {}, TaskContext.get().partitionId()
+        enc, seen, part, own = encoder(name), {}, TaskContext.get().partitionId(), held.value
         end = np.array([END], dtype=enc.dtype).tobytes()
         for batch in batches:
             ids = [enc.ids(x.as_py()) + end for x in batch["_text"]]
             tokens = [len(x) // enc.dtype.itemsize for x in ids]
-            local = []
-            for q, n in zip(batch["queue"].to_pylist(), tokens):
+            local, queues = [], [_key(q) for q in batch["queue"].to_pylist()]
+            if own is not None:
+                queues = [q if q in own else f"#{zlib.crc32(q.encode('utf-8', 'surrogatepass')) % tail}" for q in queues]
+            for q, n in zip(queues, tokens):
                 local.append(seen.get(q, 0))
                 seen[q] = local[-1] + n
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["queue"], pa.array([part] * len(ids), pa.int32()), pa.array(local, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(queues, pa.string()), pa.array([part] * len(ids), pa.int32()), pa.array(local, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return stored(rows.mapInArrow(run, "doc_id long, queue string, part int, local long, tokens long, ids binary"), "ids")
 
@@ -175,29 +205,27 @@ def encoded(docs: DataFrame, doc_id: str, text: str, source: str, name: str) ->
 def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", name: str = NAME, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and ids (the piece's ids, 2 or 4 bytes each)."""
-    found = docs.select(F.col(source).cast("string").alias("queue")).distinct()
-    if found.limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
-        docs = docs.withColumn(source, F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(MOST_QUEUES)).cast("string")))
-        weights = None
-    ids = encoded(docs, doc_id, text, source, name)
+    ids = encoded(docs, doc_id, text, source, name, own_queues(docs, text, source, weights))
     totals = stored(ids.groupBy("part", "queue").agg(F.sum("tokens").alias("n")), "totals")
-    queues = sorted(totals.groupBy("queue").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["queue"] is None, r["queue"] or ""))
+    queues = sorted(totals.groupBy("queue").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["queue"] == "", r["queue"]))
     number = {r["queue"]: i for i, r in enumerate(queues)}
     tokens = np.array([r["n"] for r in queues], dtype=np.int64)
-    shares = tokens if weights is None else np.array([weights.get(r["queue"], 0.0) for r in queues])
+    given = None if weights is None else {_key(s): w for s, w in weights.items()}
+    # a shared queue has only sources without a given weight
+    shares = tokens if given is None else np.array([given.get(r["queue"], 0.0) for r in queues])
     deal = Deal(tokens, shares, window, quantum)
-    key = F.coalesce(F.concat(F.lit("="), "queue"), F.lit(""))
     before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = stored(totals.select("part", key.alias("_key"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
-    placed = ids.withColumn("_key", key).join(bases, ["part", "_key"])
+    bases = stored(totals.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    placed = ids.join(bases, ["part", "queue"])
     held = docs.sparkSession.sparkContext.broadcast((deal, number))
+    step = max(1, 2000 * MOST_QUEUES // max(MOST_QUEUES, len(queues)))  # documents by queues held at once
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         deal, number = held.value
         for big in batches:
-            for at in range(0, big.num_rows, 2000):
-                batch = big.slice(at, 2000)
+            for at in range(0, big.num_rows, step):
+                batch = big.slice(at, step)
                 queue = np.array([number[q] for q in batch["queue"].to_pylist()], dtype=np.int64)
                 start = batch["base"].to_numpy() + batch["local"].to_numpy()
                 tokens = batch["tokens"].to_numpy()

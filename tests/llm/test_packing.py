@@ -111,3 +111,23 @@ def test_given_weights_and_many_sources(spark, monkeypatch):
     monkeypatch.setattr(P, "MOST_QUEUES", 3)
     many = spark.createDataFrame([(i, "word " * 20, f"s{i}") for i in range(50)], "doc_id long, text string, source string")
     check(P.pack(many).toPandas(), [(i, "word " * 20) for i in range(50)])
+
+
+@pytest.mark.parametrize("weights", [None, {"hot": 3, "s1": 1}])
+def test_large_and_weighted_sources_keep_their_queues_among_many(spark, monkeypatch, weights):
+    monkeypatch.setattr(P, "MOST_QUEUES", 8)
+    names = ["hot"] * 300 + ["#0", None] * 60 + ["s1"] * 30 + [f"s{i % 60}" for i in range(2, 150)]  # "#0" is no tail queue
+    rows = [(i, "word " * 200, s) for i, s in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").orderBy("source").coalesce(3)
+    got = P.pack(docs, weights).toPandas()
+    check(got, [r[:2] for r in rows])
+    got["source"] = [names[i] or "null" for i in got.doc_id]
+    if weights:
+        assert got[got.sequence_id == 0].groupby("source").length.sum().to_dict() == {"hot": 1536, "s1": 512}
+        return
+    got["source"] = got.source.where(got.source.isin(["hot", "#0", "null"]), "others")
+    share = got.groupby("source").length.sum() / got.length.sum()
+    per = got[got.sequence_id < got.sequence_id.max() - 1].pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+    for source in ("hot", "#0", "null"):
+        assert (abs(per[source] - P.WINDOW * share[source]) <= 2 * P.QUANTUM).all()
+    assert (abs(per["others"] - P.WINDOW * share["others"]) <= 2 * P.MOST_QUEUES * P.QUANTUM).all() and (per["others"] > 0).all()
