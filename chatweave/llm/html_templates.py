@@ -8,8 +8,11 @@ text a subtree occurs; a subtree on at least ``MIN_PAGES`` of them and
 on that host. Copies of one page count once, so a copied article is no
 template; paragraphs and headings directly in an article are never
 candidates, so quotations stay. What a host shows too rarely to be counted is
-recognised by its role (tag, class, id or role attribute). The text that
-remains in the article (else main, else the body) is the result.
+recognised by its role (tag, role attribute, or a whole class or id). A role
+does not count for elements that hold the main article: a form that holds an
+article or main, and, if a page shows no article or main without roles and its
+other text is shorter than the one inside them, the elements around that. The
+text that remains in the article (else main, else the body) is the result.
 
 The second pass parses again and gets the template keys as a sorted array if
 there are at most ``MOST_KEYS`` (8 bytes each); beyond that each page gets its
@@ -84,20 +87,39 @@ def _is_role(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False
     if attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    return bool(BOILERPLATE_WORDS & set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))
+    words = set(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
+    return bool((BOILERPLATE_WORDS - {"header"} if in_article else BOILERPLATE_WORDS) & words)
+
+
+def _holders(blocks, roots) -> set[int]:
+    """The elements whose role does not count, as they hold the main article.
+    blocks: (text, (zone, role ancestors, roots around)); roots: {number:
+    (zone, role ancestors)}."""
+    shown = [(zone, len(text)) for text, (zone, roles, _) in blocks if not roles]
+    if any(zone for zone, _ in shown):  # others are comments or teasers
+        return set()
+    inner = dict.fromkeys(roots, 0)
+    for text, (_, roles, around) in blocks:
+        for k in around:
+            if roots[k][1] == roles:
+                inner[k] += len(text)
+    hidden = [(len(roles), -inner[k], k) for k, (_, roles) in roots.items() if roles and inner[k]]
+    if not hidden or -min(hidden)[1] <= sum(n for _, n in shown):
+        return set()
+    return set(roots[min(hidden)[2]][1])
 
 
 def parse(page: str | None):
     """Blocks of a page: (text, path), and the candidate subtrees {number:
     hash}. A path is (zone, role, numbers of the candidate ancestors); zone 2 is
     an article, 1 main, 0 other text."""
-    blocks, marks, stack, words = [], {}, [], []
+    blocks, marks, stack, words, roots, free = [], {}, [], [], {}, set()
     page = page or ""
     counter = at = 0
 
     def path():
         zone = max((2 if n.tag == "article" else 1 if n.tag == "main" else 0 for n in stack), default=0)
-        return zone, any(n.role for n in stack), tuple(n.number for n in stack)
+        return zone, tuple(n.number for n in stack if n.role), tuple(n.number for n in stack)
 
     def flush():
         if words:
@@ -114,6 +136,8 @@ def parse(page: str | None):
             stack[-1].holds_root |= n.holds_root or n.tag in ("article", "main")
         if n.tag not in ROOTS and n.tag != "head" and not n.holds_root and n.tag in BLOCK | BOILERPLATE and not (n.in_article and n.tag in PROSE):
             marks[n.number] = digest
+        if n.tag == "form" and n.holds_root:
+            free.add(n.number)
 
     def text(raw: str):
         if raw:
@@ -160,6 +184,9 @@ def parse(page: str | None):
         in_article = any(n.tag in ("article", "main") for n in stack)
         counter += 1
         stack.append(_Node(tag, f"<{tag} {attrs.get('class', '')}>", _is_role(tag, attrs, in_article), in_article, counter))
+        if tag in ("article", "main"):
+            zone, roles, _ = path()
+            roots[counter] = zone, roles
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             raw = page[at : end.start() if end else len(page)]
@@ -168,7 +195,14 @@ def parse(page: str | None):
     flush()
     while stack:
         close()
-    return blocks, marks
+
+    def counted(roles):
+        return tuple(k for k in roles if k not in free)
+
+    if roots:
+        inside = {k: (zone, counted(roles)) for k, (zone, roles) in roots.items()}
+        free |= _holders([(t, (zone, counted(roles), [k for k in around if k in inside])) for t, (zone, roles, around) in blocks], inside)
+    return [(t, (zone, bool(counted(roles)), around)) for t, (zone, roles, around) in blocks], marks
 
 
 def main_text(blocks, marks, is_template) -> tuple[str, int]:

@@ -66,3 +66,26 @@ def test_query_against_plain_reading(spark):
         article = re.search("<article>(.*?)</article>", page, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", article)]
         assert got.text[i] == "\n".join(x for x in blocks if x)
+
+
+LONG = "the article has more text than what surrounds it"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='content with-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div id='page' class='has-sidebar'><nav>menu</nav><article><p>{LONG}</p></article></div>", LONG),
+    (f"<body><form id='aspnet'><nav>menu</nav><article><p>{LONG}</p></article><div class='ad'>buy</div></form></body>", LONG),
+    (f"<form><article><p>x</p></article></form><p>{LONG}</p>", "x"),
+    ("<form><main><p>a</p></main><div class='comments'><article>a first comment, longer</article></div></form>", "a"),
+    (f"<div class='banner'><article><p>{LONG}</p></article></div><p>stray</p>", LONG),
+    (f"<div class='modal'><div class='widget'><main><p>{LONG}</p><div class='share'>s</div></main></div></div>", LONG),
+    ("<article><div class='article-header'><h1>Title</h1></div><div class='notice-text'>n</div><div class='social-policy'><p>s</p></div></article>", "Title\nn\ns"),
+    ("<article><div class='header'><h1>Title</h1></div><p>x</p></article>", "Title\nx"),
+    # articles that are not the main one stay where they are
+    ("<article><p>a</p></article><div class='comments'><article>a longer comment</article></div>", "a"),
+    (f"<div class='sidebar'><article>teaser</article></div><div><p>{LONG}</p></div>", LONG),
+    (f"<main><p>{LONG}</p><div class='comments'><article>first!</article></div></main>", LONG),
+    (f"<p>{LONG}</p><form><input><p>mail</p></form>", LONG),
+])
+def test_roles_of_elements_that_hold_the_article_do_not_count(page, want):
+    assert text_of(page) == want
