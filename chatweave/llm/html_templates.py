@@ -3,9 +3,9 @@
 Pages are parsed into an element tree (implied end tags, raw text elements,
 open elements at the end). Each candidate subtree is hashed over its tags,
 classes and text. Spark counts per host on how many pages with different main
-text a subtree occurs; a subtree on at least ``MIN_PAGES`` of them and
-``MIN_SHARE`` of the host's is a template, and is deleted wherever it occurs
-on that host. Copies of one page count once, so a copied article is no
+text a subtree occurs; a subtree on at least ``MIN_PAGES`` of them that are
+also ``MIN_SHARE`` of the host's, or ``ENOUGH`` whatever the host's size, is a
+template, and is deleted wherever it occurs on that host. Copies of one page count once, so a copied article is no
 template; paragraphs and headings directly in an article are never
 candidates, so quotations stay. What a host shows too rarely to be counted is
 recognised by its role (tag, role attribute, or a whole class or id). A role
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from chatweave.llm.common import join_small, stored
 
-MIN_PAGES, MIN_SHARE, MOST_KEYS = 5, 0.01, 2_000_000
+MIN_PAGES, MIN_SHARE, ENOUGH, MOST_KEYS = 5, 0.01, 50, 2_000_000
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -249,11 +249,11 @@ def marked(pages: DataFrame, url: str, page: str) -> DataFrame:
     return rows.mapInArrow(run, "host string, key long, main long")
 
 
-def find_templates(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def find_templates(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH) -> DataFrame:
     """(host, key, n): subtrees that recur on a host."""
     seen = stored(marked(pages, url, page).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("key").isNull() | (F.col("n") >= min_pages)), "subtrees")
     hosts = seen.where("key IS NULL").select("host", F.col("n").alias("pages"))
-    return join_small(seen.where("key IS NOT NULL"), hosts, ["host"], "inner").where(F.col("n") >= min_share * F.col("pages")).select("host", "key", "n")
+    return join_small(seen.where("key IS NOT NULL"), hosts, ["host"], "inner").where((F.col("n") >= enough) | (F.col("n") >= min_share * F.col("pages"))).select("host", "key", "n")
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html", most_keys: int = MOST_KEYS, **limits) -> DataFrame:

@@ -89,3 +89,12 @@ LONG = "the article has more text than what surrounds it"
 ])
 def test_roles_of_elements_that_hold_the_article_do_not_count(page, want):
     assert text_of(page) == want
+
+
+def test_section_template_of_a_large_host(spark):
+    page = "<body><div>{block}</div><section><p>text number {i}</p></section></body>"
+    block = lambda i: "Section news, weekly" if i < 60 else f"seldom {i // 10}" if i < 100 else f"own {i}"
+    rows = [(i, f"https://large.org/{i}", page.format(block=block(i), i=i)) for i in range(6500)]  # 60 pages are below 1 %
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).toPandas().set_index("page_id")
+    assert all(got.text[i] == f"text number {i}" for i in range(60))
+    assert all(got.text[i] == f"{block(i)}\ntext number {i}" for i in range(60, 6500))
