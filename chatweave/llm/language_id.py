@@ -47,7 +47,7 @@ _STEP = np.uint32(2654435761)
 def letter_table() -> np.ndarray:
     """Code point -> its lower-case letter, or 0 where it is no letter."""
     out = np.zeros(0x110000, dtype=np.uint32)
-    for c in range(0x30000):
+    for c in range(len(out)):
         s = chr(c)
         if s.isalpha():
             low = s.lower()

@@ -64,3 +64,8 @@ def test_predictions_use_no_label(spark):
     a = L.identify(docs, model, ["doc_id"]).toPandas()
     b = L.identify(docs.selectExpr("doc_id + 7 AS doc_id", "text", "'zz' AS lang"), model, ["doc_id"]).toPandas()
     assert (a.lang_pred == b.lang_pred).all() and (a.score == b.score).all()
+
+
+def test_letters_of_all_planes_count():
+    assert all(L.letter_table()[ord(c)] == ord(c) for c in "\U00020000\U00030000\U00031350")
+    assert L.bucket_counts("\U00030000\U00031350").sum() > 0
