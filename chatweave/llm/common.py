@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.session import scratch_path, ship_package
+from chatweave.session import remove_path, scratch_path, ship_package
 
 #: White space between words: space, tab, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]"
 
 #: A table joined to documents is broadcast only if it has at most this many rows.
 SMALL_ROWS = 10_000
+#: Ids are broadcast up to so many.
+FEW_IDS = 500_000
 
 
 #: Arrow batches of whole texts, if the session leaves Spark's defaults
@@ -36,8 +41,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     cuts lineage, survives lost executors, and is compressed."""
     bound_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
+    for group in _groups:
+        group.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of ``stored`` tables that no later plan reads."""
+    for t in tables:
+        remove_path(t.sparkSession, t._stored_at)
+
+
+#: open groups of ``scratch_group``
+_groups: list[list[str]] = []
+
+
+@contextmanager
+def scratch_group() -> Iterator[list[str]]:
+    """The folders of all tables that are stored within the block, so that they
+    can be removed once nothing reads them."""
+    paths: list[str] = []
+    _groups.append(paths)
+    try:
+        yield paths
+    finally:
+        _groups.remove(paths)
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
 The others are tested against brute force or held-out labels: op1 (a tree of
-elements), op3 and op9 (trained models), op4 and op5 (byte-pair merges).
+elements), op3 and op9 (trained models), op4, op5 and op11 (byte-pair merges).
 """
 
 from __future__ import annotations
@@ -147,10 +147,65 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 WHERE rank <= 10"""
 
+OP12 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\n\\x0b\\x0c\\r]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM pieces),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+runs AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+  WHERE i + k - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, k, phrase, f, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head, array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM runs WHERE k > 1)),
+scored AS (
+  SELECT lang, k, phrase, cuts.f AS a, c, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * cuts.f * n.n::HUGEINT) // (l.f * r.f) AS score
+  FROM cuts JOIN n USING (lang) JOIN (SELECT lang, phrase AS head, f FROM runs) l USING (lang, head) JOIN (SELECT lang, phrase AS tail, f FROM runs) r USING (lang, tail)),
+worst AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM scored) s
+  WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM runs g WHERE g.lang = s.lang AND g.k > s.k AND g.f >= s.a AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+WHERE rank <= 2000"""
+
+
+
+def _op13() -> str:
+    """Ten rounds, each a step of its own."""
+
+    def assigned(centroids: str) -> str:
+        square = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"SELECT * FROM (SELECT r, vec_id, v.x, c, {square} AS d FROM v, {centroids} c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1"
+
+    steps = []
+    for i in range(10):
+        steps.append(f"a{i} AS MATERIALIZED ({assigned(f'c{i}')})")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN (
+    SELECT c, list(CASE WHEN s < 0 THEN -((-s + n - 1) // n) ELSE s // n END ORDER BY i) AS x
+    FROM (SELECT c, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c) m USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 8)),
+{', '.join(steps)},
+last AS MATERIALIZED ({assigned('c10')})
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM last JOIN c10 k USING (c)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _op2(),
     "op6_url_rules": _op6(),
     "op7_curriculum_mix": _op7(),
     "op8_ngram_join": OP8,
     "op10_norm_topk": OP10,
+    "op12_phrases": OP12,
+    "op13_centroid_clusters": _op13(),
 }

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import curriculum, html_templates, language_id, line_crf, ngram_join, norm_topk, packing, quality_rules, token_index, token_rollups, url_rules
+from chatweave.llm import centroid_clusters, curriculum, html_templates, language_id, line_crf, ngram_join, norm_topk, packing, phrases, quality_rules, token_index, token_rollups, url_rules
 from chatweave.llm.common import remainder, stored, table
 from chatweave.llm.tokens import NAME
 from chatweave.session import scratch_path
@@ -89,10 +89,19 @@ def op11_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_templates, op2_quality_rules, op3_language_id, op4_packing, op5_token_rollups,
         op6_url_rules, op7_curriculum_mix, op8_ngram_join, op9_line_crf, op10_norm_topk, op11_token_index,
+        op12_phrases, op13_centroid_clusters,
     )
 }
