@@ -31,7 +31,10 @@ hub. For hubs of at most ``FEW`` members these pairs are verified too. For
 larger ones, let D be a member's symmetric difference to the hub: members x, y
 can only link if D_x and D_y share (|D_x| + |D_y| - H) / 2 elements, so only
 members that meet in a prefix of their differences, rarest element first, are
-verified. So every link is either verified or implied by verified ones, without
+verified. How long a prefix must be depends on both members: they are filed
+under bands of |D| less their part of H, and each has a prefix per band of
+partners. So near copies that share no more than the hub's text do not meet, and
+every link is either verified or implied by verified ones, without
 all pairs of a group. Components come from large-star / small-star rounds over
 stored tables.
 
@@ -53,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chatweave.llm.common import stored
+from chatweave.llm.common import discard, join_small, stored
 
 #: a shingle's words and the least similarity, unless the caller says otherwise
 WORDS, PERCENT = 4, 85
@@ -72,6 +75,8 @@ FEW_IDS = 500_000
 SLICE = 500
 #: members of a hub up to which all its open pairs are verified
 FEW = 16
+#: bands of differences per reach of a hub
+BANDS = 4
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -253,32 +258,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(hub, _id, x, short, long): a row per element of the symmetric
-    difference of hub and member, with the prefix lengths of the member as the
-    nearer and as the farther of a pair (0: it links to the hub itself)."""
+    """(hub, _id, x, d, n, e, w, least, far): a row per element x of the symmetric
+    difference of hub and member, its size d, the member's size n, and
+
+    * ``e``: d less the member's part of the reach, times 100 + percent. Members
+      x, y that link share at least (e_x + e_y) / (2 * (100 + percent)) elements,
+      as H(a + b) is at most (a + b) * (100 - percent) / (100 + percent);
+    * ``w``: the width of the hub's bands of e;
+    * ``least``: what it shares at least with a member that does not link to the hub;
+    * ``far``: that it does not link to the hub itself."""
 
     def run(batches):
+        names = ["hub", "_id", "xs", "d", "n", "e", "w", "least", "far"]
         for big in batches:
             for at in range(0, big.num_rows, SLICE):
                 batch = big.slice(at, SLICE)
-                both, short, far = [], [], []
+                both, rows = [], []
                 for h, y in zip(batch["sa"], batch["sb"]):
                     h, y = np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                     x = np.setxor1d(h, y, assume_unique=True)
-                    # hamming() moves by one per step, never down twice in a row
-                    d, most = len(x), hamming(len(y) + 100 * len(y) // percent, percent) + 1
-                    # a partner lies beyond the hub's own reach (by two, as differences
-                    # and reach have one parity), so they share at least this much
-                    share = max(1, -(-(1 + d - max(0, len(y) - len(h))) // 2))
+                    d, n = len(x), len(y)
+                    # a partner lies beyond the hub's own reach, which moves by one
+                    # per step and never down twice in a row, so they share this much
+                    least = max(1, -(-(1 + d - max(0, n - len(h))) // 2))
                     both.append(x.view(np.int64))
-                    short.append(d - share + 1)
-                    far.append(0 if linked((len(h) + len(y) - d) // 2, len(h), len(y), percent) else min(d, d - max(1, d - most) + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["a"], batch["b"], pa.array(both, pa.list_(pa.int64())), pa.array(short, pa.int64()), pa.array(far, pa.int64())],
-                    names=["hub", "_id", "xs", "short", "long"])
+                    rows.append((d, n, d * (100 + percent) - n * (100 - percent), max(1, (100 - percent) * len(h) // BANDS), least, not linked((len(h) + n - d) // 2, len(h), n, percent)))
+                cols = [pa.array(c, pa.bool_() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows))]
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(both, pa.list_(pa.int64())), *cols], names=names)
+
+    made = _paired(pairs, sets).mapInArrow(run, "hub long, _id long, xs array<long>, d long, n long, e long, w long, least long, far boolean")
+    return made.select("hub", "_id", F.explode("xs").alias("x"), "d", "n", "e", "w", "least", "far")
+
 
-    made = _paired(pairs, sets).mapInArrow(run, "hub long, _id long, xs array<long>, short long, long long")
-    return made.select("hub", "_id", F.explode("xs").alias("x"), "short", "long")
+def banded(prefixes: DataFrame, far: bool, percent: int) -> DataFrame:
+    """Prefix elements of far members, or of all as near ones, once per band of
+    partners: (hub, x, far_band, near_band, _id, root). An element of rank
+    ``nth`` belongs to the prefix for partners with so small an ``e`` that it may
+    be the first one shared."""
+    p, own, other = percent, ("far_band", "near_band")[not far], ("far_band", "near_band")[far]
+    most = f"floor((2 * {100 + p} * (d - nth + 1) - e) / w)"
+    # sizes and differences of linked members lie in each other's reach
+    low = f"floor(greatest(e - 2 * {100 - p} * n * 100 / {p}, -{100 - p} * n * 100 / {p}) / w) - 1"
+    high = f"least({most}, floor((e + 2 * {100 - p} * n) / w) + 1)"
+    rows = prefixes.where("far" if far else "nth <= d - least + 1")
+    bands = F.expr(f"filter({'bands' if far else 'far_bands'}, b -> b >= {low} AND b <= {high})")
+    return rows.select("hub", "x", F.floor(F.col("e") / F.col("w")).alias(own), F.explode(bands).alias(other), "_id", "root")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,22 +337,27 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, report: dict | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row. ``report`` gets the
+    numbers of verified pairs."""
     if words < 1 or not 1 <= percent <= 100:
         raise ValueError("words must be at least 1, percent 1 to 100")
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     signed = stored(signed_sets(rows, words, percent), "signed")
-    full = signed.where("_id IS NOT NULL AND n > 0")
+    light = stored(signed.drop("keys"), "light")
+    some = "_id IS NOT NULL AND n > 0"
+    full = light.where(some)
     classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("_id").alias("rep"), F.count("*").alias("_size")), "classes")
     # all but one row of each class leave before the keys are dealt out
     shared = classes.where("_size > 1").select("n", "f1", "f2", "rep")
     extra = stored(full.select("_id", "n", "f1", "f2").join(_few(shared), ["n", "f1", "f2"]).select("_id", "n", "f1", "f2", "rep").distinct(), "copies")
-    keyed = full.join(_few(extra.where("_id <> rep").select("_id", "n", "f1", "f2")), ["_id", "n", "f1", "f2"], "left_anti")
-    keys = keyed.select("_id", F.explode("keys").alias("key"))
+    others = _few(extra.where("_id <> rep").select("_id", "n", "f1", "f2"))
+    keyed, with_keys = (x.join(others, ["_id", "n", "f1", "f2"], "left_anti") for x in (full, signed.where(some)))
+    keys = with_keys.select("_id", F.explode("keys").alias("key"))
     group = W.partitionBy("key").orderBy("_id")
     near = keys.withColumns({"_before": F.lag("_id").over(group), "_after": F.lead("_id").over(group)})
     near = stored(near.where("(_before IS NOT NULL OR _after IS NOT NULL) AND NOT (_before <=> _id)").select("_id", "key"), "near")
+    discard(signed)
     counted = near.join(near.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "key")
     # the most frequent keys are left out as far as the slack goes; one shuffle
     # by id serves the join and both windows
@@ -341,6 +370,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     by_score = W.partitionBy("key").orderBy(F.desc("score"), "_id")
     met = kept.withColumns({"hub": F.first("_id").over(by_score.rowsBetween(W.unboundedPreceding, 0)), "prev": F.lag("_id").over(by_score)})
     met = stored(met.where("prev IS NOT NULL").groupBy("hub", "_id").agg(F.collect_set("prev").alias("prevs")), "met")
+    discard(near)
     hubs = met.select(F.col("hub").alias("a"), F.col("_id").alias("b"))
     chain = met.select("hub", F.explode("prevs").alias("a"), F.col("_id").alias("b")).where("a <> hub").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     star = hubs.unionByName(chain).distinct()
@@ -379,16 +409,24 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     few = open_.where(f"c <= {FEW}")
     many = open_.where(f"c > {FEW}")
     parts = stored(differences(many.select(F.col("hub").alias("a"), F.col("_id").alias("b")), sets, percent), "differences")
+    # rarest elements first; those of one member only have a rank, but no partner
     rare = W.partitionBy("hub", "_id").orderBy("f", "x")
-    parts = parts.join(parts.groupBy("hub", "x").agg(F.count("*").alias("f")).where("f > 1"), ["hub", "x"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    parts = stored(parts.withColumn("_nth", F.row_number().over(rare)).where("f > 1 AND _nth <= greatest(short, long)").join(many.select("hub", "_id", "root"), ["hub", "_id"]).select("hub", "x", "_id", "root", (F.col("_nth") <= F.col("long")).alias("far"), (F.col("_nth") <= F.col("short")).alias("near")), "prefixes")
-    rest = pairs_of(few.where("NOT ok"), few, ["hub"]).unionByName(pairs_of(parts.where("far"), parts.where("near"), ["hub", "x"]))
+    counted = parts.join(parts.groupBy("hub", "x").agg(F.count("*").alias("f")).where("f > 1"), ["hub", "x"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    ranked = counted.withColumn("nth", F.row_number().over(rare)).where("f > 1").drop("f")
+    band = F.floor(F.col("e") / F.col("w"))
+    ranked = stored(ranked.join(many.select("hub", "_id", "root"), ["hub", "_id"]), "prefixes")
+    of_hub = ranked.groupBy("hub").agg(F.collect_set(band).alias("bands"), F.collect_set(F.when(F.col("far"), band)).alias("far_bands"))
+    prefixes = join_small(ranked, stored(of_hub, "bands"), ["hub"], "inner")
+    on = ["hub", "x", "far_band", "near_band"]
+    rest = pairs_of(few.where("NOT ok"), few, ["hub"]).unionByName(pairs_of(banded(prefixes, True, percent), banded(prefixes, False, percent), on))
     rest = stored(rest.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "rest")
+    discard(parts, ranked)
+    if report is not None:
+        report.update(star=tested.count(), rest=rest.count())
     if rest.limit(1).count():
         more = verified(rest, sets, percent).where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
 
-    light = signed.select("_id", "n", "f1", "f2")
-    out = light.join(extra.select("_id", "n", "f1", "f2", "rep"), ["_id", "n", "f1", "f2"], "left").withColumn("node", F.coalesce("rep", "_id"))
+    out = light.select("_id", "n", "f1", "f2").join(extra.select("_id", "n", "f1", "f2", "rep"), ["_id", "n", "f1", "f2"], "left").withColumn("node", F.coalesce("rep", "_id"))
     out = out.join(roots, "node", "left")
     return out.select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "node")).alias("component_id"))

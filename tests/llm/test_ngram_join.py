@@ -188,3 +188,53 @@ def test_other_shingles_and_thresholds_against_all_pairs(spark, words, percent,
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted(tuple(r) for r in J.ngram_join(docs, words=words, percent=percent).collect())
     assert got == sorted(plain_components_of(rows, words, percent))
+
+
+def family_tree(seed, words, families, members, apart, own):
+    """Families of near copies around one text: members of a family differ by
+    few words, families by so many that they only meet through the text."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(words)]
+    texts = [" ".join(base)]
+
+    def changed(w, n):
+        w = list(w)
+        for at in rng.choice(len(w), n, replace=False):
+            w[at] = f"n{rng.integers(0, 10**9)}"
+        return w
+
+    for _ in range(families):
+        head = changed(base, int(rng.integers(1, apart + 1)))
+        head = head[: int(len(head) * rng.uniform(0.85, 1))] + [f"t{rng.integers(0, 10**9)}" for _ in range(int(rng.integers(0, words // 8)))]
+        texts += [" ".join(changed(head, int(rng.integers(0, own + 1)))) for _ in range(members)]
+    return texts
+
+
+@pytest.mark.parametrize("size, percent, seed", [(4, 85, 1), (4, 85, 2), (5, 80, 3), (5, 80, 4), (2, 70, 5), (3, 50, 6)])
+def test_families_that_meet_in_one_text(spark, size, percent, seed, monkeypatch):
+    monkeypatch.setattr(J, "FEW", 2)
+    rng = np.random.default_rng(seed)
+    texts = family_tree(seed, 120, 14, 9, 9, 3) + family_tree(seed + 50, 40, 8, 8, 4, 2) + family_tree(seed + 90, 300, 5, 12, 20, 6)
+    rows = [(int(i), texts[k]) for k, i in enumerate(rng.permutation(len(texts)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in J.ngram_join(docs, words=size, percent=percent).collect())
+    assert got == sorted(plain_components_of(rows, size, percent))
+
+
+@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80)])
+def test_pairs_grow_with_the_group_not_its_square(spark, size, percent):
+    """Near copies of a text with eight own changes each: none links to another."""
+    rng, base, per_row = np.random.default_rng(9), [f"b{i}" for i in range(300)], []
+    for n in (500, 1000, 2000):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for at in rng.choice(300, 8, replace=False):
+                w[at] = f"n{i}-{at}"
+            rows.append((i, " ".join(w)))
+        report = {}
+        out = J.ngram_join(spark.createDataFrame([(n, " ".join(base)), *rows], "doc_id long, text string").repartition(4), words=size, percent=percent, report=report)
+        assert out.where("component_id = doc_id").count() > 0.9 * n
+        per_row.append(((report["star"]) / n, report["rest"] / n))
+    assert all(star < 80 and rest < 10 for star, rest in per_row), per_row
+    assert per_row[2][1] < 2 * per_row[0][1] + 2, per_row
