@@ -1,7 +1,7 @@
 """Operator 11: token ids in binary shards with a minimal perfect hash index.
 
-Shards. Documents are encoded once, range-sorted by key and written as raw
-little-endian ids, 16 bytes of header before them, a new file after at most
+Shards. Documents are range-sorted by key, encoded in that order and written as
+raw little-endian ids, 16 bytes of header before them, a new file after at most
 ``SHARD_IDS`` ids. A task writes files of names of its own; the stored table of
 entries names those of the tasks that ended well, so a lost or repeated task
 leaves unused files only.
@@ -25,8 +25,7 @@ Files are opened with ``pyarrow.fs`` below the shared folder of
 
 Defined results: a null or empty text is the end id alone; rows without key
 sort first and are found by the key None; rows that share a key have
-occurrence 0, 1, ... in the order of their ids' hash, and equal rows are told
-apart by it too; an empty table gives no files and finds nothing; any other
+occurrence 0, 1, ... in the order of their texts' hash, equal rows included; an empty table gives no files and finds nothing; any other
 columns are left alone.
 """
 
@@ -157,34 +156,23 @@ def find_in(content: bytes, keys: list[str], occurrences) -> tuple[np.ndarray, n
     return records, records["print"] == (first >> np.uint64(32)).astype(np.uint32)
 
 
-def encoded(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
-    """(key, ids, n, _row): ids of every text with the end id."""
+def _write_shards(rows: DataFrame, key: str, folder: str, vocabulary: str, shard_ids: int) -> DataFrame:
+    """(file, part, seq, key, at, offset, n) of rows of (key, _text) in order,
+    whose texts are encoded and appended to this task's files."""
 
     def run(batches):
         enc = word_tokens.encoder(vocabulary)
-        end = np.array([END], dtype=enc.dtype).tobytes()
-        for batch in batches:
-            ids = [enc.ids(t.as_py()) + end for t in batch["_text"]]
-            n = [len(x) // enc.dtype.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(ids, pa.binary()), pa.array(n, pa.int64()), batch["_row"]], names=[key, "ids", "n", "_row"])
-
-    rows = docs.select(F.col(key), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary, n long, _row long")
-
-
-def _write_shards(rows: DataFrame, key: str, folder: str, width: int, shard_ids: int) -> DataFrame:
-    """(file, part, seq, key, at, offset, n) of rows sorted by key, whose ids
-    are appended to this task's files."""
-
-    def run(batches):
+        width, end = enc.dtype.itemsize, np.array([END], dtype=enc.dtype).tobytes()
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         part, name, out = TaskContext.get().partitionId(), uuid.uuid4().hex, None
         seq = written = at = 0
         try:
             for batch in batches:
-                cols = {c: [] for c in ("file", "seq", "at", "offset")}
-                for n, ids in zip(batch["n"].to_pylist(), batch["ids"]):
+                cols = {c: [] for c in ("file", "seq", "at", "offset", "n")}
+                for text in batch["_text"]:
+                    ids = enc.ids(text.as_py()) + end
+                    n = len(ids) // width
                     if out is not None and written + n > shard_ids:
                         out.close()
                         out, seq = None, seq + 1
@@ -192,12 +180,13 @@ def _write_shards(rows: DataFrame, key: str, folder: str, width: int, shard_ids:
                         file, written, at = f"{part}-{seq}-{name}.ids", 0, 0
                         out = fs.open_output_stream(f"{base}/{file}", compression=None)
                         out.write(struct.pack(SHARD_HEAD, SHARD_MAGIC, width, 0))
-                    out.write(ids.as_buffer())
-                    for c, v in zip(cols, (file, seq, at, written)):
+                    out.write(ids)
+                    for c, v in zip(cols, (file, seq, at, written, n)):
                         cols[c].append(v)
                     written, at = written + n, at + 1
+                longs = {c: pa.array(cols[c], pa.int64()) for c in ("seq", "at", "offset", "n")}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols["file"], pa.string()), pa.array([part] * len(cols["at"]), pa.int64()), pa.array(cols["seq"], pa.int64()), batch[key], pa.array(cols["at"], pa.int64()), pa.array(cols["offset"], pa.int64()), batch["n"]],
+                    [pa.array(cols["file"], pa.string()), pa.array([part] * batch.num_rows, pa.int64()), longs["seq"], batch[key], longs["at"], longs["offset"], longs["n"]],
                     names=["file", "part", "seq", key, "at", "offset", "n"])
         finally:
             if out is not None:
@@ -345,10 +334,10 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     spark = docs.sparkSession
     folder = scratch_path(spark, "tokens")
     width = word_tokens.encoder(vocabulary).dtype.itemsize
-    coded = stored(encoded(docs, key, text, vocabulary), "encoded")
+    rows = docs.select(F.col(key), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
     order = [F.col(key).asc_nulls_first(), "_hash", "_row"]
-    ranged = coded.withColumn("_hash", F.xxhash64("ids")).repartitionByRange(default_partitions(coded), *order).sortWithinPartitions(*order)
-    entries = stored(_write_shards(ranged.select(key, "ids", "n"), key, f"{folder}/shards", width, shard_ids), "entries")
+    ranged = rows.repartitionByRange(default_partitions(docs), *order).sortWithinPartitions(*order)
+    entries = stored(_write_shards(ranged.select(key, "_text"), key, f"{folder}/shards", vocabulary, shard_ids), "entries")
     # a row per file: bases of ids and of documents
     sizes = entries.groupBy("part", "seq", "file").agg(F.sum("n").alias("ids"), F.count(F.lit(1)).alias("docs"))
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
