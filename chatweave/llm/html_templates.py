@@ -8,11 +8,15 @@ also ``MIN_SHARE`` of the host's, or ``ENOUGH`` whatever the host's size, is a
 template, and is deleted wherever it occurs on that host. Copies of one page count once, so a copied article is no
 template; paragraphs and headings directly in an article are never
 candidates, so quotations stay. What a host shows too rarely to be counted is
-recognised by its role (tag, role attribute, or a whole class or id). A role
+recognised by its role: tag, role attribute, a whole class or id, or one made of
+such a word and another that does not speak of the text itself. Comments and
+teasers are roles of articles, adverts and notices of any element. A role
 does not count for elements that hold the main article: a form that holds an
 article or main, and, if a page shows no article or main without roles and its
 other text is shorter than the one inside them, the elements around that. The
-text that remains in the article (else main, else the body) is the result.
+text that remains in the article (else main, else the body) is the result; main
+itself if its other text is longer than all its articles, and with the headline
+of main if the article has none.
 
 The second pass parses again and gets the template keys as a sorted array if
 there are at most ``MOST_KEYS`` (8 bytes each); beyond that each page gets its
@@ -57,20 +61,32 @@ BOILERPLATE_WORDS = set(
     "breadcrumb breadcrumbs footer header notice notices cookie cookies consent comment comments disqus share social related "
     "newsletter subscribe popup modal widget toolbar".split()
 )
+#: of an article, or of a single line of text
+COMMENT_WORDS = set("comment reply teaser related promo sponsored advert advertisement".split())
+LINE_WORDS = set("ad ads advert adverts advertisement advertising sponsored promo notice notices cookie cookies breadcrumb breadcrumbs newsletter".split())
+#: compound classes: such a word before or after another one that is not of the text or its layout
+COMPOUND = re.compile(
+    r"(?:comments?|ads?|adverts?|advertisement|cookies?|related|newsletter|disqus|breadcrumbs?|promo|sponsor|sponsored|popup|modal|sidebar|nav|navbar)[-_](?!free|content|text|title|article|body-text)[a-z0-9_-]+"
+    r"|(?!with|has|no|without|article|post|entry|content|main|page|site|is)[a-z0-9]+[-_](?:comments|ads?|adverts?|sidebar|nav|navbar|menu|breadcrumbs?|cookies|newsletter|popup|modal)"
+)
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search alert dialog form menu".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 pre blockquote td th tr tbody thead tfoot li dt dd br hr figcaption".split())
 ROOTS = set("html body article main".split())
+LINES = set("h1 h2 h3 h4 h5 h6 p a b i em strong span code".split())
+ARTICLE_WORDS = BOILERPLATE_WORDS - {"header"}
+MARKED = BLOCK | BOILERPLATE
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# a quote opens a value only after an equals sign
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?][^>]*>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class _Node:
-    __slots__ = ("tag", "role", "in_article", "holds_root", "digest", "number", "head")
+    __slots__ = ("tag", "in_article", "holds_root", "digest", "number")
 
-    def __init__(self, tag, head, role, in_article, number):
-        self.tag, self.head, self.role, self.in_article, self.number = tag, head, role, in_article, number
+    def __init__(self, tag, head, in_article, number):
+        self.tag, self.in_article, self.number = tag, in_article, number
         self.holds_root, self.digest = False, xxhash.xxh64(head)
 
 
@@ -83,63 +99,105 @@ def _attributes(raw: str) -> dict[str, str]:
 def _is_role(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in BOILERPLATE or (tag == "header" and not in_article):
         return True
-    if not attrs or tag in ROOTS or re.fullmatch(r"h[1-6]|p|a|b|i|em|strong|span|code", tag):
+    if not attrs or tag in ("html", "body", "main"):
         return False
+    words = set(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()) if "class" in attrs or "id" in attrs else set()
+    if tag == "article":
+        return not COMMENT_WORDS.isdisjoint(words) or any(w.startswith(("comment-", "comment_", "related-", "teaser-")) for w in words)
+    if tag in LINES:
+        return not LINE_WORDS.isdisjoint(words)
     if attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    words = set(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
-    return bool((BOILERPLATE_WORDS - {"header"} if in_article else BOILERPLATE_WORDS) & words)
+    if not words:
+        return False
+    return not (ARTICLE_WORDS if in_article else BOILERPLATE_WORDS).isdisjoint(words) or any(COMPOUND.fullmatch(w) for w in words)
+
+
+class Page:
+    """A parsed page. Elements are numbered from 1 in page order, 0 is the page
+    itself; ``up`` has each element's parent, so what holds for an element and all
+    around it takes one pass over the numbers, however deep they are.
+
+    blocks: (text, element, whether it is a heading); marks: {element: hash} of
+    the candidate subtrees; zone: 2 in an article, 1 in main, else 0; role:
+    elements with a role that counts."""
+
+    def __init__(self):
+        self.blocks: list[tuple[str, int, bool]] = []
+        self.marks: dict[int, int] = {}
+        self.up, self.zone, self.roles, self.roots = [0], [0], set(), []
 
+    def within(self, some) -> list[bool]:
+        """Per element: whether it or one around it is in ``some``."""
+        out = [False] * len(self.up)
+        for k in range(1, len(out)):
+            out[k] = out[self.up[k]] or k in some
+        return out
 
-def _holders(blocks, roots) -> set[int]:
-    """The elements whose role does not count, as they hold the main article.
-    blocks: (text, (zone, role ancestors, roots around)); roots: {number:
-    (zone, role ancestors)}."""
-    shown = [(zone, len(text)) for text, (zone, roles, _) in blocks if not roles]
+    def around(self, k: int):
+        while k:
+            yield k
+            k = self.up[k]
+
+
+def _holders(page: Page) -> set[int]:
+    """The elements whose role does not count, as they hold the main article."""
+    hidden = page.within(page.roles)
+    shown = [(page.zone[k], len(t)) for t, k, _ in page.blocks if not hidden[k]]
     if any(zone for zone, _ in shown):  # others are comments or teasers
         return set()
-    inner = dict.fromkeys(roots, 0)
-    for text, (_, roles, around) in blocks:
-        for k in around:
-            if roots[k][1] == roles:
-                inner[k] += len(text)
-    hidden = [(len(roles), -inner[k], k) for k, (_, roles) in roots.items() if roles and inner[k]]
-    if not hidden or -min(hidden)[1] <= sum(n for _, n in shown):
+    # text of each article or main that no role parts from it
+    inner, base = {}, [0] * len(page.up)
+    roots = set(page.roots)
+    for k in range(1, len(base)):
+        up = page.up[k]
+        base[k] = k if k in roots else 0 if k in page.roles else base[up]
+    for t, k, _ in page.blocks:
+        k = base[k]
+        while k:
+            inner[k] = inner.get(k, 0) + len(t)
+            k = base[page.up[k]]
+    best = None
+    for k in page.roots:
+        if hidden[k] and k in inner:
+            roles = {x for x in page.around(k) if x in page.roles}
+            rank = (len(roles), -inner[k], k)
+            if best is None or rank < best[0]:
+                best = rank, roles
+    if best is None or -best[0][1] <= sum(n for _, n in shown):
         return set()
-    return set(roots[min(hidden)[2]][1])
-
+    return best[1]
 
-def parse(page: str | None):
-    """Blocks of a page: (text, path), and the candidate subtrees {number:
-    hash}. A path is (zone, role, numbers of the candidate ancestors); zone 2 is
-    an article, 1 main, 0 other text."""
-    blocks, marks, stack, words, roots, free = [], {}, [], [], {}, set()
-    page = page or ""
-    counter = at = 0
 
-    def path():
-        zone = max((2 if n.tag == "article" else 1 if n.tag == "main" else 0 for n in stack), default=0)
-        return zone, tuple(n.number for n in stack if n.role), tuple(n.number for n in stack)
+def parse(text: str | None) -> Page:
+    page, source = Page(), text or ""
+    blocks, marks, stack, words = page.blocks, page.marks, [], []
+    open_tags: dict[str, int] = {}
+    free, depth = set(), [0]  # open articles and mains
+    at, last = 0, source.rfind(">")
 
     def flush():
         if words:
-            text = SPACE.sub(" ", "".join(words)).strip(" ")
+            t = SPACE.sub(" ", "".join(words)).strip(" ")
             words.clear()
-            if text:
-                blocks.append((text, path()))
+            if t:
+                blocks.append((t, stack[-1].number if stack else 0, bool(open_tags.get("h1") or open_tags.get("h2"))))
 
     def close():
         n = stack.pop()
+        open_tags[n.tag] -= 1
         digest = n.digest.intdigest()
+        if n.tag in ("article", "main"):
+            depth[0] -= 1
         if stack:
             stack[-1].digest.update(digest.to_bytes(8, "little"))
             stack[-1].holds_root |= n.holds_root or n.tag in ("article", "main")
-        if n.tag not in ROOTS and n.tag != "head" and not n.holds_root and n.tag in BLOCK | BOILERPLATE and not (n.in_article and n.tag in PROSE):
+        if n.tag not in ROOTS and n.tag != "head" and not n.holds_root and n.tag in MARKED and not (n.in_article and n.tag in PROSE):
             marks[n.number] = digest
         if n.tag == "form" and n.holds_root:
             free.add(n.number)
 
-    def text(raw: str):
+    def add(raw: str):
         if raw:
             raw = html.unescape(raw)
             words.append(raw)
@@ -147,30 +205,30 @@ def parse(page: str | None):
                 stack[-1].digest.update(SPACE.sub(" ", raw).strip(" ").encode("utf-8", "surrogatepass"))
 
     while True:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
         if m is None:
-            text(page[at:])
+            add(source[at:])
             break
-        text(page[at : m.start()])
+        add(source[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(n.tag == tag for n in stack):
+            if open_tags.get(tag):
                 if tag in BLOCK or stack[-1].tag in BLOCK:
                     flush()
                 while stack[-1].tag != tag:
                     close()
                 close()
             continue
-        if tag in BLOCK or tag in BOILERPLATE:
+        if tag in MARKED:
             flush()
-        if tag in ENDS_P and any(n.tag == "p" for n in stack):
+        if tag in ENDS_P and open_tags.get("p"):
             while stack[-1].tag != "p":
                 close()
             close()
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_tags.get(t) for t in CLOSES[tag]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag in SCOPE[tag]:
                     break
@@ -181,41 +239,44 @@ def parse(page: str | None):
         if tag in VOID:
             continue
         attrs = _attributes(m[3])
-        in_article = any(n.tag in ("article", "main") for n in stack)
-        counter += 1
-        stack.append(_Node(tag, f"<{tag} {attrs.get('class', '')}>", _is_role(tag, attrs, in_article), in_article, counter))
+        number, up = len(page.up), stack[-1].number if stack else 0
+        page.up.append(up)
+        page.zone.append(max(page.zone[up], 2 if tag == "article" else 1 if tag == "main" else 0))
+        if _is_role(tag, attrs, depth[0] > 0):
+            page.roles.add(number)
         if tag in ("article", "main"):
-            zone, roles, _ = path()
-            roots[counter] = zone, roles
+            page.roots.append(number)
+        stack.append(_Node(tag, f"<{tag} {attrs.get('class', '')}>", depth[0] > 0, number))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        if tag in ("article", "main"):
+            depth[0] += 1
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            raw = page[at : end.start() if end else len(page)]
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
+            raw = source[at : end.start() if end else len(source)]
             stack[-1].digest.update(raw.encode("utf-8", "surrogatepass"))
-            at = end.start() if end else len(page)
+            at = end.start() if end else len(source)
     flush()
     while stack:
         close()
-
-    def counted(roles):
-        return tuple(k for k in roles if k not in free)
-
-    if roots:
-        inside = {k: (zone, counted(roles)) for k, (zone, roles) in roots.items()}
-        free |= _holders([(t, (zone, counted(roles), [k for k in around if k in inside])) for t, (zone, roles, around) in blocks], inside)
-    return [(t, (zone, bool(counted(roles)), around)) for t, (zone, roles, around) in blocks], marks
+    page.roles -= free
+    if page.roots and page.roles:
+        page.roles -= _holders(page)
+    return page
 
 
-def main_text(blocks, marks, is_template) -> tuple[str, int]:
+def main_text(page: Page, is_template) -> tuple[str, int]:
     """The text of the main blocks, and how many blocks templates deleted."""
-    kept, deleted = [], 0
-    gone = {k for k, h in marks.items() if is_template(h)}
-    for text, (zone, role, ancestors) in blocks:
-        if gone and not gone.isdisjoint(ancestors):
-            deleted += 1
-        elif not role:
-            kept.append((zone, text))
-    zone = max((z for z, _ in kept), default=0)
-    return "\n".join(t for z, t in kept if z == zone), deleted
+    gone = {k for k, h in page.marks.items() if is_template(h)}
+    deleted, hidden = page.within(gone), page.within(page.roles)
+    kept = [(page.zone[k], t, heading) for t, k, heading in page.blocks if not deleted[k] and not hidden[k]]
+    size = [sum(len(t) for z, t, _ in kept if z == zone) for zone in (0, 1, 2)]
+    zone = 2 if size[2] and size[2] >= size[1] else 1 if size[1] else 2 if size[2] else 0
+    if zone == 2 and not any(z == 2 and heading for z, _, heading in kept):
+        first = next((i for i, (z, _, _) in enumerate(kept) if z == 2), 0)
+        chosen = [t for i, (z, t, heading) in enumerate(kept) if z == 2 or (z == 1 and heading and i < first)]
+    else:
+        chosen = [t for z, t, _ in kept if z == zone]
+    return "\n".join(chosen), sum(deleted[k] for _, k, _ in page.blocks)
 
 
 def _key(host: str, digest: int) -> int:
@@ -237,10 +298,10 @@ def marked(pages: DataFrame, url: str, page: str) -> DataFrame:
         for batch in batches:
             hosts, keys, mains = [], [], []
             for host, page in zip(batch["host"].to_pylist(), (x.as_py() for x in batch["_html"])):
-                blocks, marks = parse(page)
-                text, _ = main_text(blocks, {}, None)
+                parsed = parse(page)
+                text, _ = main_text(parsed, lambda h: False)
                 main = xxhash.xxh64(text.encode("utf-8", "surrogatepass")).intdigest() >> 1
-                found = {_key(host, h) for h in marks.values()}
+                found = {_key(host, h) for h in parsed.marks.values()}
                 hosts += [host] * (len(found) + 1)
                 keys += [*found, None]  # the null key counts the page itself
                 mains += [main] * (len(found) + 1)
@@ -272,7 +333,7 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", page: str = "ht
             for batch in batches:
                 ids, keys = [], []
                 for row, host, page in zip(batch["_row"].to_pylist(), batch["_host"].to_pylist(), (x.as_py() for x in batch["_html"])):
-                    found = {_key(host, h) for h in parse(page)[1].values()}
+                    found = {_key(host, h) for h in parse(page).marks.values()}
                     ids += [row] * len(found)
                     keys += found
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["_row", "key"])
@@ -295,7 +356,7 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", page: str = "ht
                     i = int(np.searchsorted(known, k))
                     return i < len(known) and int(known[i]) == k
 
-                text, n = main_text(*parse(page), is_template)
+                text, n = main_text(parse(page), is_template)
                 out.append(text)
                 deleted.append(n)
             yield pa.RecordBatch.from_arrays([batch["_keep"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(deleted, pa.int64())], names=["_keep", "text", "n_chars", "n_template_blocks"])

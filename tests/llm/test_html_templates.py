@@ -12,7 +12,7 @@ from tests.conftest import SF_CHECK
 
 
 def text_of(page):
-    return H.main_text(*H.parse(page), lambda h: False)[0]
+    return H.main_text(H.parse(page), lambda h: False)[0]
 
 
 @pytest.mark.parametrize("page, want", [
@@ -23,7 +23,12 @@ def text_of(page):
     ("<main><header><h1>Title</h1></header><p>x</p><aside>side</aside></main><p>out</p>", "Title\nx"),
     ("<article><p>a</p><div class='comments'><p>first!</p></div><form><p>mail</p></form></article>", "a"),
     ("<article><ul><li>one<li>two</ul><table><tr><td>1<td>2</table></article>", "one\ntwo\n1\n2"),
-    ("<p class='ad'>kept, paragraphs have no role</p><div class='sidebar'>s</div>", "kept, paragraphs have no role"),
+    ("<p class='ad'>buy</p><p class='note'>kept</p><div class='sidebar'>s</div>", "kept"),
+    ("<p title=it's>First.</p><p>Second, don't drop.</p><p>Third.</p>", "First.\nSecond, don't drop.\nThird."),
+    ("<p title=\"a\"b\">x</p><p a='1>2' b=\"<i>\" c=d'e>y</p>", "x\ny"),
+    ("<p x = 'a>b'>in</p><p y='open>next</p><p>on</p>", "in\nnext\non"),
+    ("a < b <a b <c " * 3, "a < b <a b <c a < b <a b <c a < b <a b <c"),
+    ("<!-- <p>no</p>", ""),
     ("<p>cut <a href='x'>off", "cut off"), ("<p>1 < 2 and &#65; &unknown; &amp", "1 < 2 and A &unknown; &"),
     ("<div hidden>no</div><div style='display: none'>no</div>yes", "yes"),
     ("<p>" + "long " * 50_000 + "</p>", ("long " * 50_000).strip()),
@@ -98,3 +103,38 @@ def test_section_template_of_a_large_host(spark):
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).toPandas().set_index("page_id")
     assert all(got.text[i] == f"text number {i}" for i in range(60))
     assert all(got.text[i] == f"{block(i)}\ntext number {i}" for i in range(60, 6500))
+
+
+@pytest.mark.parametrize("page, want", [
+    # reader comments and teasers are articles of their own
+    (f"<article><p>{LONG}</p><article class='comment'><p>first!</p></article></article>", LONG),
+    (f"<article><p>{LONG}</p></article><article class='comment'><p>a longer comment than the article itself, by far, by far</p></article>", LONG),
+    (f"<main><p>{LONG}</p><p>{LONG}</p><article><p>teaser</p></article></main>", f"{LONG}\n{LONG}"),
+    (f"<main><h1>Headline</h1><article><p>{LONG}</p></article><p>after</p></main>", f"Headline\n{LONG}"),
+    (f"<main><h1>Section</h1><article><h1>Own</h1><p>{LONG}</p></article></main>", f"Own\n{LONG}"),
+    (f"<article class='comment'><p>{LONG}</p></article>", LONG),  # the page's only article is a column
+    # adverts and notices of any element
+    (f"<article><p>{LONG}</p><p class='ad'>buy</p><p class='notice'>n</p><p>a <span class='advert'>b</span> c</p></article>", f"{LONG}\na b c"),
+    *[(f"<article><p>{LONG}</p><div class='{c}'><p>gone</p></div></article>", LONG) for c in (
+        "comment-list", "comment-body", "ad-slot", "cookie-banner", "related-posts", "top-ad", "user-comments", "newsletter-signup", "page_sidebar_nav x-menu")],
+    *[(f"<article><p>{LONG}</p><div class='{c}'><p>kept</p></div></article>", f"{LONG}\nkept") for c in (
+        "article-header", "notice-text", "social-policy", "entry-content", "post-body", "with-sidebar", "has-ads", "lead-in", "commentary", "adverse-events", "navigate")],
+])
+def test_comments_teasers_and_adverts(page, want):
+    assert text_of(page) == want
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<div>" * n + "deep", lambda n: "<div><p>x" * n, lambda n: "<ul><li>" * n + "y", lambda n: "<a <b " * n, lambda n: "<p x='" * n + ">", lambda n: "<i>" * n + "</b>" * n,
+    lambda n: "<div class='ad'><article>" * n + "z", lambda n: "<table><tr><td>" * n, lambda n: "<!-- " * n,
+])
+def test_time_grows_with_the_page_not_its_square(make):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        text_of(make(n))
+        return time.process_time() - t
+
+    seconds(100)
+    assert seconds(40_000) < 16 * seconds(5_000) + 0.5
