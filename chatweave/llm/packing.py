@@ -47,6 +47,8 @@ from chatweave.llm.tokens import NAME, encoder
 
 WINDOW, QUANTUM, END = 2048, 64, 1
 MOST_QUEUES = 1024
+#: numbers held at once where windows or quanta have a column per queue (8 MB each)
+HELD = 1 << 20
 
 
 class Deal:
@@ -77,26 +79,49 @@ class Deal:
         h = np.minimum(np.asarray(windows, dtype=np.int64) * self.slots, self.full)
         f = np.interp(h, self._filled, self._level)
         k = np.minimum(np.rint(f[:, None] * self.weights), self.quanta).astype(np.int64)
+        if not k.size:
+            return k
         while True:
             gap = h - k.sum(axis=1)
             rows = np.flatnonzero(gap)
             if not len(rows):
                 break
-            up, down = rows[gap[rows] > 0], rows[gap[rows] < 0]
-            for r, sign in ((up, 1), (down, -1)):
+            for r, sign in ((rows[gap[rows] > 0], 1), (rows[gap[rows] < 0], -1)):
                 if len(r):
-                    k[r, self._next(k[r], sign)] += sign
-        while True:  # rounding may have left a dealt slot behind one that is not
-            if not k.size:
-                return k
-            a, b = self._next(k, 1), self._next(k, -1)
-            i = np.arange(len(k))
-            pa_, pb = (2 * k[i, a] + 1) / self.weights[a], (2 * k[i, b] - 1) / self.weights[b]
-            swap = (k[i, a] < self.quanta[a]) & (k[i, b] > 0) & ((pa_ < pb) | ((pa_ == pb) & (a < b)))
-            if not swap.any():
-                return k
-            k[i[swap], a[swap]] += 1
-            k[i[swap], b[swap]] -= 1
+                    k[r] = self._moved(k[r], np.abs(gap[r]), sign)
+        rows = np.arange(len(k))
+        while len(rows):  # rounding may have left a dealt slot behind one that is not
+            part = k[rows]
+            a, b = self._next(part, 1), self._next(part, -1)
+            i = np.arange(len(part))
+            pa_, pb = (2 * part[i, a] + 1) / self.weights[a], (2 * part[i, b] - 1) / self.weights[b]
+            swap = (part[i, a] < self.quanta[a]) & (part[i, b] > 0) & ((pa_ < pb) | ((pa_ == pb) & (a < b)))
+            rows = rows[swap]
+            k[rows, a[swap]] += 1
+            k[rows, b[swap]] -= 1
+        return k
+
+    def _moved(self, k: np.ndarray, gap: np.ndarray, sign: int) -> np.ndarray:
+        """``k`` after up to ``gap`` more slots of each row were dealt (1) or
+        taken back (-1): as many as come before any queue's second one."""
+        queues = np.arange(k.shape[1])
+        if sign > 0:
+            first = np.where(k < self.quanta, (2 * k + 1) / self.weights, np.inf)
+            second = np.where(k + 1 < self.quanta, (2 * k + 3) / self.weights, np.inf)
+            order = np.argsort(first, axis=1, kind="stable")
+        else:  # last dealt first: largest, then the highest queue
+            first = np.where(k > 0, -(2 * k - 1) / self.weights, np.inf)
+            second = np.where(k > 1, -(2 * k - 3) / self.weights, np.inf)
+            order = k.shape[1] - 1 - np.argsort(first[:, ::-1], axis=1, kind="stable")
+        ahead = np.take_along_axis(first, order, 1)
+        # the least second slot among a queue and those before it
+        bound = np.minimum.accumulate(np.take_along_axis(second, order, 1), axis=1)
+        take = np.ones(k.shape, dtype=bool)
+        take[:, 1:] = ahead[:, 1:] < bound[:, :-1]
+        take = np.logical_and.accumulate(take, axis=1) & (queues < gap[:, None]) & np.isfinite(ahead)
+        out = k.copy()
+        np.put_along_axis(out, order, np.take_along_axis(k, order, 1) + sign * take, 1)
+        return out
 
     def _next(self, k: np.ndarray, sign: int) -> np.ndarray:
         """The queue whose slot comes next (1), or came last (-1)."""
@@ -105,22 +130,53 @@ class Deal:
         last = np.where(k > 0, (2 * k - 1) / self.weights, -np.inf)
         return k.shape[1] - 1 - last[:, ::-1].argmax(axis=1)
 
+    def _slices(self, n: int):
+        """Ranges of ``n`` rows that, with a column per queue, are held at once."""
+        step = max(1, HELD // max(1, len(self.tokens)))
+        return [(at, min(n, at + step)) for at in range(0, n, step)]
+
     def window_of(self, queue: np.ndarray, quantum: np.ndarray) -> np.ndarray:
-        """The window that holds the given quantum of a queue: a guess from the
-        level, then a search between bounds."""
-        f = (quantum + 0.5) / self.weights[queue]
-        guess = (np.interp(f, self._level, self._filled) / self.slots).astype(np.int64)
-        slack = len(self.tokens) // self.slots + 2
-        low, high = np.maximum(guess - slack, 0), guess + slack + 1
-        while True:
-            open_ = high - low > 1
-            if not open_.any():
-                return low
-            mid = (low + high) // 2
-            unique, back = np.unique(mid, return_inverse=True)
-            before = self.dealt(unique)[back, queue]
-            ok = before <= quantum
-            low, high = np.where(open_ & ok, mid, low), np.where(open_ & ~ok, mid, high)
+        """The window that holds the given quantum of a queue: the slots that
+        come before it, counted queue by queue."""
+        slots = np.empty(len(queue), dtype=np.int64)
+        queues = np.arange(len(self.tokens))
+        for low, high in self._slices(len(queue)):
+            q = queue[low:high]
+            t = ((2 * quantum[low:high] + 1) / self.weights[q])[:, None]
+            lower = queues < q[:, None]  # of equal ones the lower queue comes first
+
+            def before(k):
+                x = (2 * k + 1) / self.weights
+                return (x < t) | ((x == t) & lower)
+
+            k = np.clip(np.floor((t * self.weights + 1) / 2), 0, self.quanta).astype(np.int64)
+            while (more := before(k) & (k < self.quanta)).any():
+                k += more
+            while (less := (k > 0) & ~before(k - 1)).any():
+                k -= less
+            slots[low:high] = k.sum(axis=1)
+        return slots // self.slots
+
+    def places(self, windows: np.ndarray, queue: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each (window, queue): the queue's quanta dealt before the window
+        and after it, and those of lower queues in the window."""
+        begin, end, ahead = (np.empty(len(windows), dtype=np.int64) for _ in range(3))
+        order = np.argsort(windows, kind="stable")
+        unique, first = np.unique(windows[order], return_index=True)
+        last = np.append(first[1:], len(order))
+        for low, high in self._slices(len(unique)):
+            at = order[first[low] : last[high - 1]]
+            row = np.searchsorted(unique[low:high], windows[at])
+            now = self.dealt(unique[low:high])
+            follows = np.append(unique[low + 1 : high] == unique[low : high - 1] + 1, False)
+            then = np.empty_like(now)
+            then[:-1][follows[:-1]] = now[1:][follows[:-1]]
+            then[~follows] = self.dealt(unique[low:high][~follows] + 1)
+            given = np.cumsum(then - now, axis=1)
+            own = queue[at]
+            begin[at], end[at] = now[row, own], then[row, own]
+            ahead[at] = given[row, own] - (end[at] - begin[at])
+        return begin, end, ahead
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray):
         """Cuts documents at [start, start + length) of their queues. Returns
@@ -128,21 +184,20 @@ class Deal:
         q, full = self.quantum, self.quanta[queue] * self.quantum
         body = np.minimum(np.maximum(full - start, 0), length)
         has = np.flatnonzero(body > 0)
-        first = np.zeros(len(queue), dtype=np.int64)
-        last = np.full(len(queue), -1, dtype=np.int64)
-        if len(has):
-            first[has] = self.window_of(queue[has], start[has] // q)
-            last[has] = self.window_of(queue[has], (start[has] + body[has] - 1) // q)
-        n = last - first + 1
-        doc = np.repeat(np.arange(len(queue)), n)
-        win = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # a window has a quantum of the queue at least: its quanta say which
+        low, high = start[has] // q, (start[has] + body[has] - 1) // q
+        n = high - low + 1
+        doc = np.repeat(has, n)
+        quantum = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        win = self.window_of(queue[doc], quantum)
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (win[1:] != win[:-1])
+        doc, win = doc[new], win[new]
         own = queue[doc]
-        unique, back = np.unique(win, return_inverse=True)
-        begin, end = self.dealt(unique), self.dealt(unique + 1)
-        ahead = np.cumsum(end - begin, axis=1) - (end - begin)
-        here, there = begin[back, own] * q, end[back, own] * q
+        begin, end, ahead = self.places(win, own)
+        here, there = begin * q, end * q
         lo, hi = np.maximum(start[doc], here), np.minimum(start[doc] + body[doc], there)
-        offset = ahead[back, own] * q + lo - here
+        offset = ahead * q + lo - here
         real = hi > lo
         parts = [(doc[real], lo[real] - start[doc[real]], (hi - lo)[real], win[real], offset[real])]
         tail = np.flatnonzero(length > body)  # in the source's partial quantum
