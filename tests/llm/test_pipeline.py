@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import re
 
 
@@ -61,3 +62,29 @@ def test_near_copies_of_the_stage_are_five_words_at_80_percent(spark):
     got = sorted(r["doc_id"] for r in P.keep_one_of_copies(spark, docs, SF_SMALL).collect())
     assert got == sorted({c for _, _, c in plain_components_of(rows, 5, 80)})
     assert 10_001 in got and not {10_002, 10_003, 10_004} & set(got) and {20_001, 20_002} <= set(got)
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Rows are compared by their texts whatever their ids are; none is lost for its id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a30 ", "zz ")
+    rows = [(5, a), (5, b), (5, near), (None, c), (None, c), (None, "short one"), (7, b), (8, ""), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS `a.b`", "2 AS _row", "3 AS n", "4 AS `x``y`", "5 AS position", "6 AS source", "'en' AS lang")
+    for of in (docs, stored(docs.repartition(3), "test")):  # without files of its own, and read from files
+        got = P.keep_one_of_copies(spark, of, SF_SMALL)
+        assert got.columns == docs.columns
+        texts = sorted((r["text"] or "", r["text"] is None) for r in got.collect())
+        assert texts == sorted([(near, False)] * (near in [t for t, _ in texts]) + [(a, False)] * (a in [t for t, _ in texts]) + [(b, False), (c, False), ("short one", False), ("", False), ("", False), ("", True)])
+        assert len(texts) == 7
+    for stage in (P.keep_quality, P.keep_recognised, P.mix_sources):
+        assert stage(spark, docs, SF_SMALL).columns == docs.columns
+
+
+def test_scratch_of_a_stage_goes_when_the_next_one_begins(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    held = lambda: [p for paths in P._scratch.values() for p in paths]
+    first = stored(P.keep_one_of_copies(spark, docs, SF_SMALL), "test")
+    paths = held()
+    assert paths and any(os.path.exists(p) for p in paths)
+    second = P.mix_sources(spark, first, SF_SMALL)
+    assert not any(os.path.exists(p) for p in paths) and second.count() > 0
