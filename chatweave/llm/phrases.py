@@ -2,23 +2,24 @@
 
 Words and pieces are cut as the contract says; everything is per language.
 
-First pass. Runs of 1 to ``LONGEST`` words of a piece are hashed to 64 bits (by
-rolling sums over a buffer of texts; no Python per word). A task counts the
-hashes of some millions of runs, sorted, and sends each hash partition (the top
-bits of the hash) one packed list of (next 32 bits, count), after its mass. A
-partition knows its whole mass before the first list comes and feeds the lists to a
-Misra-Gries summary of more than mass / threshold counters: merge, subtract
-the first count beyond the capacity from all, drop what is not above zero. All
-that is subtracted from one counter is less than the threshold, so each run
-that occurs ``threshold`` times survives; a survivor whose count and what was
-subtracted stay below the threshold is left out. The number of partitions
-grows with the bytes of text, so a summary's memory does not.
-
-Second pass. The survivors' hashes go to the tasks in slices of at most
-``SLICE`` (32 MB), the texts being read once per slice; usually there is one.
-Runs with such a hash are told apart by a second 64-bit hash, spelled out once per
-buffer, and their strings are counted exactly. Scores then are joins of the
-counted strings by language and part.
+Texts are stored in batches of some megabytes. First pass: runs of 1 to
+``LONGEST`` words of a piece are hashed to 64 bits (by rolling sums over a buffer
+of texts; no Python per word), and counted per batch. Each hash partition (the
+top bits of the hash) gets one packed list of (next 32 bits, count) per batch,
+after its mass. A partition knows its whole mass before the first list comes and
+feeds the lists to a Misra-Gries summary of more than mass / threshold counters:
+merge, subtract the first count beyond the capacity from all, drop what is not
+above zero. All that is subtracted from one counter is less than the threshold, so
+each run that occurs ``threshold`` times survives; a survivor whose count and
+what was subtracted stay below the threshold is left out. The number of
+partitions grows with the bytes of text, so a partition does not.
+
+Second pass. A partition answers each batch with those of its hashes that
+survived, and the batch meets its texts again: nothing is broadcast, and what a
+task holds is a batch, however large the corpus and its frequent runs are. Runs
+with such a hash are told apart by a second 64-bit hash, spelled out, and their
+strings counted exactly: per batch, then per hash partition. Scores then are
+joins of the counted strings by language and part.
 
 A run that is frequent has frequent parts, so all counts that scores need are
 there. If a phrase lies in a longer candidate that is as frequent, then also in
@@ -39,7 +40,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -47,10 +50,9 @@ from pyspark.sql.window import Window as W
 from chatweave.llm.common import join_small, stored
 
 THRESHOLD, LONGEST, TOP = 100, 5, 2000
-BUFFER = 4 << 20  #: bytes of text whose words are cut at once
-FLUSH = 6_000_000  #: hashes counted at once in a task
-PART_BYTES = 16 << 20  #: bytes of text per hash partition
-SLICE = 4_000_000  #: survivors' hashes in one broadcast
+BUFFER = 2 << 20  #: bytes of text whose words are cut at once
+BATCH = 8 << 20  #: bytes of text per batch
+PART_BYTES = 64 << 20  #: bytes of text per hash partition, at most
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: 1: between words of a piece, 2: between pieces
@@ -237,86 +239,106 @@ class Summary:
         return self.keys[self.counts + self.error >= threshold]
 
 
-def hash_lists(rows: DataFrame, bits: int, longest: int) -> DataFrame:
-    """(part, kind, mass, list): per hash partition the mass (kind 0) and the
-    packed counts (kind 1) of some millions of runs."""
+def batched(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
+    """(batch, _lang, _text) of all texts, stored: rows of a batch follow one
+    another, and hold about ``size`` bytes of text or one text."""
 
     def run(batches):
-        def flush(hashes):
-            keys, counts = counted(np.concatenate(hashes))
+        task, seq, held = TaskContext.get().partitionId() << 40, 0, 0
+        for batch in batches:
+            numbers = []
+            for n in pc.binary_length(batch["_text"]).to_pylist():
+                if held and held + n > size:
+                    seq, held = seq + 1, 0
+                held += n
+                numbers.append(task + seq)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch["_lang"], batch["_text"]], names=["batch", "_lang", "_text"])
+
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.col(text).alias("_text")).where("_text <> ''")
+    return stored(rows.mapInArrow(run, "batch long, _lang string, _text string"), "texts")
+
+
+def hash_lists(texts: DataFrame, bits: int, longest: int) -> DataFrame:
+    """(part, kind, mass, batch, list): per hash partition the mass (kind 0) and
+    the packed counts (kind 1) of each batch's runs."""
+
+    def run(batches):
+        def flush(number, held):
+            hashes = [g[whole] for lang, words in buffers(held) for _, g, whole in words.runs(salt_of(lang), ROLLS[0], longest)]
+            keys, counts = counted(np.concatenate(hashes)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if not len(keys):
+                return
             part = (keys >> np.uint64(64 - bits)).astype(np.int64)
             low = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             first = np.flatnonzero(np.diff(part, prepend=-1))
             last = np.append(first[1:], len(part))
-            n = len(first)
-            mass = np.add.reduceat(counts, first)
-            parts = pa.array(part[first])
-            yield pa.RecordBatch.from_arrays([parts, pa.array([0] * n, pa.int32()), pa.array(mass), pa.nulls(n, pa.binary())], names=["part", "kind", "mass", "list"])
+            names = ["part", "kind", "mass", "batch", "list"]
+            n, parts, mass = len(first), pa.array(part[first]), pa.array(np.add.reduceat(counts, first))
+            yield pa.RecordBatch.from_arrays([parts, pa.array([0] * n, pa.int32()), mass, pa.array([number] * n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
             for at in range(0, n, 256):
-                lists = []
-                for i, j in zip(first[at : at + 256], last[at : at + 256]):
-                    # a hash partition's 32 bits may hold two runs: one counter for both
-                    lists.append(packed(*counted(low[i:j], counts[i:j])))
+                # a partition's 32 bits may hold two runs: one counter for both
+                lists = [packed(*counted(low[i:j], counts[i:j])) for i, j in zip(first[at : at + 256], last[at : at + 256])]
                 m = len(lists)
-                yield pa.RecordBatch.from_arrays([parts.slice(at, m), pa.array([1] * m, pa.int32()), pa.array([0] * m, pa.int64()), pa.array(lists, pa.binary())], names=["part", "kind", "mass", "list"])
-
-        hashes, held = [], 0
-        for lang, words in buffers(batches):
-            for _, g, whole in words.runs(salt_of(lang), ROLLS[0], longest):
-                hashes.append(g[whole])
-                held += len(hashes[-1])
-            if held > FLUSH:
-                yield from flush(hashes)
-                hashes, held = [], 0
+                yield pa.RecordBatch.from_arrays([parts.slice(at, m), pa.array([1] * m, pa.int32()), pa.array([0] * m, pa.int64()), pa.array([number] * m, pa.int64()), pa.array(lists, pa.binary())], names=names)
+
+        now, held = None, []
+        for batch in batches:
+            numbers = batch["batch"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for i, j in zip(edges, edges[1:]):
+                if j > i:
+                    if held and numbers[i] != now:
+                        yield from flush(now, held)
+                        held = []
+                    now = int(numbers[i])
+                    held.append(batch.slice(i, j - i))
         if held:
-            yield from flush(hashes)
+            yield from flush(now, held)
 
-    return rows.mapInArrow(run, "part long, kind int, mass long, list binary")
+    return texts.mapInArrow(run, "part long, kind int, mass long, batch long, list binary")
 
 
-def survivors(lists: DataFrame, threshold: int) -> DataFrame:
-    """(part, keys): the 32-bit keys that may occur ``threshold`` times."""
+def survivors(lists: DataFrame, threshold: int, bits: int) -> DataFrame:
+    """(batch, keys): per batch and hash partition, those of the batch's hashes
+    (their first ``bits`` + 32 bits) that may occur ``threshold`` times."""
 
     def run(batches):
-        def done(part, summary):
+        def answers(part, mass, held):
+            summary = Summary(mass // threshold + 1)
+            for _, blob in held:
+                summary.add(*unpacked(blob))
             keys = summary.frequent(threshold)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([keys.astype("<u4").tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], names=["part", "keys", "n"])
-
-        now, mass, summary = None, 0, None
+            if not len(keys):
+                return
+            numbers, found = [], []
+            for number, blob in held:
+                own = unpacked(blob)[0]
+                own = own[keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own]
+                if len(own):
+                    numbers.append(number)
+                    found.append((own.astype("<u8") | np.uint64(part << 32)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.binary())], names=["batch", "keys"])
+
+        now, mass, held = None, 0, []
         for batch in batches:
-            for part, kind, weight, blob in zip(batch["part"].to_pylist(), batch["kind"].to_pylist(), batch["mass"].to_pylist(), batch["list"]):
+            for part, kind, weight, number, blob in zip(*(batch[c].to_pylist() for c in ("part", "kind", "mass", "batch")), batch["list"]):
                 if part != now:
-                    if summary is not None:
-                        yield done(now, summary)
-                    now, mass, summary = part, 0, None
+                    if held:
+                        yield from answers(now, mass, held)
+                    now, mass, held = part, 0, []
                 if kind == 0:
                     mass += weight
-                    continue
-                if summary is None:
-                    summary = Summary(mass // threshold + 1)
-                summary.add(*unpacked(blob.as_buffer()))
-        if summary is not None:
-            yield done(now, summary)
-
-    return lists.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "part long, keys binary, n long")
-
+                else:
+                    held.append((number, blob.as_py()))
+        if held:
+            yield from answers(now, mass, held)
 
-def slices(found: DataFrame, size: int) -> list[list[int]]:
-    """Hash partitions cut into slices of at most ``size`` survivors each (or
-    one partition)."""
-    out, total = [], 0
-    for r in found.select("part", "n").orderBy("part").collect():
-        if not out or total + r.n > size:
-            out.append([])
-            total = 0
-        out[-1].append(r.part)
-        total += r.n
-    return out
+    return lists.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "batch long, keys binary")
 
 
 class Known:
-    """Membership of the hashes in a slice of survivors: a table of 2**22 bits
-    leaves most others out before the exact search."""
+    """Membership of the hashes among a batch's survivors: a table of 2**22
+    places leaves most others out before the exact search."""
 
     def __init__(self, keys: np.ndarray, bits: int):
         self.keys, self.shift = keys, np.uint64(32 - bits)
@@ -324,7 +346,7 @@ class Known:
         self.table[keys & np.uint64((1 << 22) - 1)] = True
 
     def __call__(self, g: np.ndarray) -> np.ndarray:
-        """Places of the hashes that are in the slice."""
+        """Places of the hashes that are known."""
         if not len(self.keys):
             return np.zeros(0, dtype=np.int64)
         x = g >> self.shift
@@ -334,15 +356,20 @@ class Known:
         return maybe[self.keys[at] == x]
 
 
-def spelled_counts(rows: DataFrame, keys: np.ndarray, bits: int, longest: int, total: bool) -> DataFrame:
-    """(lang, phrase, n) per buffer of the runs whose hash is in ``keys``;
-    with ``total`` also each language's words (phrase null)."""
-    sent = rows.sparkSession.sparkContext.broadcast(keys)
-
-    def run(batches):
-        known = Known(sent.value, bits)
-        for lang, words in buffers(batches):
-            phrases, counts = ([None], [words.n]) if total else ([], [])
+def spelled_counts(texts: DataFrame, found: DataFrame, bits: int, longest: int) -> DataFrame:
+    """(part, langs, phrases, counts): per batch and hash partition the strings
+    of the batch's surviving runs and how often they occur. The phrase null
+    counts a language's words; these lists go to partition 0."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k.as_buffer(), "<u8") for k in right["keys"]]
+        known = Known(np.sort(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64), bits)
+        parts, langs, phrases, counts = [], [], [], []
+        for lang, words in buffers(left.to_batches()):
+            parts.append(np.zeros(1, dtype=np.int64))
+            langs.append(lang)
+            phrases.append(None)
+            counts.append(words.n)
             salt = salt_of(lang)
             for (k, g, whole), (_, h, _) in zip(words.runs(salt, ROLLS[0], longest), words.runs(salt, ROLLS[1], longest)):
                 at = np.flatnonzero(whole)
@@ -351,40 +378,60 @@ def spelled_counts(rows: DataFrame, keys: np.ndarray, bits: int, longest: int, t
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (g[order[1:]] != g[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
                 first = np.flatnonzero(new)
+                parts.append((g[order[first]] >> np.uint64(64 - bits)).astype(np.int64))
+                langs += [lang] * len(first)
                 phrases += [words.spell(i, k) for i in order[first]]
                 counts += np.diff(np.append(first, len(order))).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+        part = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=-1))
+        ends = pa.array(np.append(first, len(order)).astype(np.int32))
+        take = pa.array(order)
+        columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())]
+        return pa.Table.from_arrays([pa.array(part[order][first]), *(pa.ListArray.from_arrays(ends, c.take(take)) for c in columns)], names=["part", "langs", "phrases", "counts"])
 
-    return rows.mapInArrow(run, "lang string, phrase string, n long")
+    return texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "part long, langs array<string>, phrases array<string>, counts array<bigint>")
 
 
-def frequent_runs(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST, slice_keys: int = SLICE) -> tuple[DataFrame, DataFrame]:
+def summed(lists: DataFrame, threshold: int) -> DataFrame:
+    """(lang, phrase, f): the sums of all lists that reach the threshold, and
+    all words of a language (phrase null)."""
+
+    def run(batches):
+        def done(total):
+            some = [(lang, phrase, n) for (lang, phrase), n in total.items() if n >= threshold or phrase is None]
+            return pa.RecordBatch.from_pydict({"lang": [x[0] for x in some], "phrase": [x[1] for x in some], "f": [x[2] for x in some]}, schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())]))
+
+        now, total = None, {}
+        for batch in batches:
+            for part, langs, phrases, counts in zip(*(batch[c] for c in ("part", "langs", "phrases", "counts"))):
+                if part.as_py() != now:
+                    yield done(total)
+                    now, total = part.as_py(), {}
+                for key, n in zip(zip(langs.as_py(), phrases.as_py()), counts.as_py()):
+                    total[key] = total.get(key, 0) + n
+        yield done(total)
+
+    return lists.repartition("part").sortWithinPartitions("part").mapInArrow(run, "lang string, phrase string, f long")
+
+
+def frequent_runs(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST, batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all runs of 1 to ``longest`` words that occur
     ``threshold`` times, and (lang, n) the words of each language."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.col(text).alias("_text")).where("_text <> ''")
-    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    texts = batched(docs, text, lang, batch)
+    size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     bits = min(31, max(1, (parts - 1).bit_length()))
-    found = stored(survivors(hash_lists(rows, bits, longest), threshold), "survivors")
-    pieces = []
-    for i, of in enumerate(slices(found, slice_keys) or [[]]):
-        held = found.where(F.col("part").between(of[0], of[-1])).collect() if of else []
-        keys = [np.frombuffer(r["keys"], "<u4").astype(np.uint64) | np.uint64(r["part"] << 32) for r in held]
-        keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64)
-        counts = spelled_counts(rows, keys, bits, longest, i == 0).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        pieces.append(stored(counts.where(F.col("phrase").isNull() | (F.col("f") >= threshold)), "counts"))
-    counts = pieces[0]
-    for more in pieces[1:]:
-        counts = counts.unionByName(more)
+    found = survivors(hash_lists(texts, bits, longest), threshold, bits)
+    counts = stored(summed(spelled_counts(texts, found, bits, longest), threshold), "counts")
     runs = counts.where("phrase IS NOT NULL").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
     return runs, counts.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST, top: int = TOP, slice_keys: int = SLICE) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST, top: int = TOP, batch: int = BATCH) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first
     ``top`` phrases."""
-    runs, totals = frequent_runs(docs, text, lang, threshold, longest, slice_keys)
+    runs, totals = frequent_runs(docs, text, lang, threshold, longest, batch)
     candidates = runs.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
     # a phrase inside a longer candidate that is as frequent goes
     split = F.split("phrase", " ")

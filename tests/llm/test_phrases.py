@@ -125,11 +125,11 @@ def invented(seed, docs=300):
     return rows
 
 
-@pytest.mark.parametrize("slice_keys", [P.SLICE, 20])
-def test_against_brute_force(spark, slice_keys):
+@pytest.mark.parametrize("batch", [P.BATCH, 500])
+def test_against_brute_force(spark, batch):
     rows = invented(3)
     docs = spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "1 AS n", "2 AS f", "3 AS phrase", "4 AS rank", "5 AS `a.b`").repartition(3)
-    got = P.collocations(docs, threshold=12, top=50, slice_keys=slice_keys)
+    got = P.collocations(docs, threshold=12, top=50, batch=batch)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = brute(rows, 12, top=50)
     assert len(want) > 60 and rows_of(got) == want
