@@ -68,15 +68,17 @@ def unresolved_addresses(contacts: DataFrame, handle: DataFrame) -> DataFrame:
     )
 
 
-def sender_map(chats: DataFrame, contacts: DataFrame, handle: DataFrame) -> DataFrame:
-    """``(chat_key, handle_id, name)`` for group chats.
+def sender_map(chats: DataFrame, contacts: DataFrame, handle: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``(chat_key, handle_id, name)`` for group chats; ``found`` are contact
+    handles that are known already (e.g. maintained ones).
 
     Handle 0 is the user; a later member wins over an earlier one and any
     member wins over the user (the reference fills a dict in that order).
     One row per key, so joining it never multiplies messages.
     """
     groups = chats.where(F.col("kind") == "group")
-    members = contact_handles(contacts, handle).join(groups.select("chat_key"), "chat_key", "left_semi")
+    found = contact_handles(contacts, handle) if found is None else found
+    members = found.join(groups.select("chat_key"), "chat_key", "left_semi")
     user = groups.select(
         "chat_key",
         F.lit(0).cast("bigint").alias("handle_id"),

@@ -43,6 +43,8 @@ def labelled_messages(
     since=None,
     marks: DataFrame | None = None,
     kinds: tuple[str, ...] = ("group", "individual"),
+    pairs: DataFrame | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Messages with sender resolution detail: output columns plus ``kind``,
     ``handle_id``, ``is_from_me``, ``member_name`` and ``handle_address``
@@ -51,7 +53,9 @@ def labelled_messages(
     ``since``: keep ``time > since`` (strict). ``marks``: per-chat cursor
     ``(chat_key, mark_time, mark_id)``; keep rows after ``(time, message_id)``.
     The earliest mark is a literal lower bound of the message scan; chats
-    without a mark are scanned whole in a branch of their own.
+    without a mark are scanned whole in a branch of their own. ``pairs``:
+    ``(chat_key, chat_id, message_id)`` to load in place of all links.
+    ``members``: contact handles that are known already.
     """
     chats = chats.where(F.col("kind").isin(list(kinds)))
     # Everything per chat (definition, cursor) rides on the small chat-id
@@ -62,7 +66,7 @@ def labelled_messages(
     )
     if "group" in kinds:
         # read twice (handle 0, the others): computed once, a row per member
-        names = materialize(sender_map(chats, contacts, store.handle).withColumnRenamed("name", "member_name"))
+        names = materialize(sender_map(chats, contacts, store.handle, members).withColumnRenamed("name", "member_name"))
         # The name of handle 0 (the user, or a member mapped to it) also
         # rides on the chat-id table: the user's own messages need no join.
         per_chat = per_chat.join(
@@ -83,7 +87,8 @@ def labelled_messages(
         msg = msg.where(F.col("time") > F.lit(since))
 
     def linked(messages: DataFrame, definitions: DataFrame, *more: str) -> DataFrame:
-        links = store.chat_message_join.join(definitions, "chat_id").select(
+        source, on = (store.chat_message_join, ["chat_id"]) if pairs is None else (pairs, ["chat_key", "chat_id"])
+        links = source.join(definitions, on).select(
             "chat_key", "kind", "message_id", "user_name", "other_name", "_zero_name", *more
         )
         return messages.join(links, "message_id").where(
@@ -216,6 +221,8 @@ def load_messages(
     ordered: bool = False,
     strict: bool = False,
     dedupe: bool = False,
+    pairs: DataFrame | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """``(chat_key, message_id, sender, text, time, type)`` of every defined chat.
 
@@ -224,11 +231,12 @@ def load_messages(
     ``strict=True`` first raises on unresolvable definitions (see
     ``definition_problems``); otherwise they load no messages and are
     reported by ``definition_problems``. ``dedupe=True`` keeps a message
-    that is linked to several chat ids of one definition once.
+    that is linked to several chat ids of one definition once. ``pairs``,
+    ``members``: see ``labelled_messages``.
     """
     if strict:
         require_resolved(store, chats.where(F.col("kind").isin(list(kinds))), contacts)
-    df = labelled_messages(store, chats, contacts, since, marks, kinds).select(*OUTPUT_COLUMNS)
+    df = labelled_messages(store, chats, contacts, since, marks, kinds, pairs, members).select(*OUTPUT_COLUMNS)
     if dedupe:
         df = df.dropDuplicates(["chat_key", "message_id"])
     return df.orderBy("chat_key", "time", "message_id") if ordered else df

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from chatweave.operators.embed import EmbedFn, embed_hashed
 from chatweave.operators.search import topk
-from chatweave.session import materialize
+from chatweave.operators.vector_index import StoredIndex, search_index
+from chatweave.session import join_bounded, materialize
 
 # Documents per context, their separator, and the prompt texts.
 NUM_DOCUMENTS = 10
@@ -21,6 +22,8 @@ SYSTEM_PROMPT = (
 )
 USER_PROMPT_PREFIX = "Context:\n"
 USER_PROMPT_QUESTION = "\n\nQuestion: "
+# Hits that go to the chunk texts, rather than the texts to them (60 bytes each).
+HITS_SENT = 100_000
 # Completion settings, carried with each prompt row for a downstream scorer
 # (no model is called here).
 COMPLETION_SETTINGS = {"temperature": 0.7, "frequency_penalty": 0.3, "max_tokens": 500}
@@ -32,28 +35,35 @@ def retrieve(
     k: int = NUM_DOCUMENTS,
     metric: str = "l2",
     embed_fn: EmbedFn = embed_hashed,
+    index: StoredIndex | None = None,
 ) -> DataFrame:
     """Top-k chunks of the question's chat for every question.
 
     ``questions``: ``(query_id, chat_key, query)``, embedded here by
     ``embed_fn`` unless an ``embedding`` column is present.
-    ``chunk_vectors``: ``(chat_key, batch_id, chunk_no, text, embedding)``.
+    ``chunk_vectors``: ``(chat_key, batch_id, chunk_no, text, embedding)``; a
+    stored ``index`` of them is read in part (its metric counts), without one
+    blocks are built for this search.
     Returns ``(query_id, chat_key, batch_id, chunk_no, rank, distance, text)``.
     """
     if "embedding" not in questions.columns:
         questions = embed_fn(questions, "query", "embedding")
-    hits = topk(
-        questions, chunk_vectors, k=k, group_cols=("chat_key",), item_keys=("batch_id", "chunk_no"),
-        query_key="query_id", metric=metric,
-    )
+    if index is not None:
+        hits = search_index(index, questions, k)
+    else:
+        hits = topk(
+            questions, chunk_vectors, k=k, group_cols=("chat_key",), item_keys=("batch_id", "chunk_no"),
+            query_key="query_id", metric=metric,
+        )
     texts = chunk_vectors.select("chat_key", "batch_id", "chunk_no", "text")
-    return hits.join(texts, ["chat_key", "batch_id", "chunk_no"]).select(
+    return join_bounded(texts, materialize(hits), ["chat_key", "batch_id", "chunk_no"], "inner", HITS_SENT).select(
         "query_id", "chat_key", "batch_id", "chunk_no", "rank", "distance", "text"
     )
 
 
 def generate_context(
-    questions: DataFrame, chunk_vectors: DataFrame, k: int = NUM_DOCUMENTS, metric: str = "l2", embed_fn: EmbedFn = embed_hashed
+    questions: DataFrame, chunk_vectors: DataFrame, k: int = NUM_DOCUMENTS, metric: str = "l2", embed_fn: EmbedFn = embed_hashed,
+    index: StoredIndex | None = None,
 ) -> DataFrame:
     """``(query_id, chat_key, query, context)``: the top-k chunk texts joined
     by the separator in rank order. A group holds at most ``k`` rows; one
@@ -62,7 +72,7 @@ def generate_context(
         questions = embed_fn(questions, "query", "embedding")
     # the questions feed the search and the final join: computed once
     questions = materialize(questions.select("query_id", "chat_key", "query", "embedding"))
-    hits = retrieve(questions, chunk_vectors, k, metric)
+    hits = retrieve(questions, chunk_vectors, k, metric, index=index)
     ctx = hits.groupBy("query_id", "chat_key").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]),

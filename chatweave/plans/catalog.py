@@ -16,13 +16,16 @@ from chatweave.functions.text import chat_slug as slug_expr
 from chatweave.operators import addresses, chats as chat_ops, load, rules
 from chatweave.operators.chunking import chunk_greedy, chunk_grid, format_lines, line_offsets
 from chatweave.operators.embed import embed_hashed
+from chatweave.operators.pages import join_pages as pages_of
 from chatweave.operators.retrieval import build_prompts, generate_context, log_contexts
 from chatweave.operators.search import lsh_topk, topk
 from chatweave.operators.sequence import with_positions
+from chatweave.operators.sessions import chunk_session as session_chunks, sessions as sessions_of
+from chatweave.operators.vector_index import search_index, write_index
 from chatweave.session import scratch_path, ship_package
-from chatweave.sources import sinks, testdata
+from chatweave.sources import layout, sinks, testdata
 from chatweave.sources.store import MessageStore
-from chatweave.streaming import incremental
+from chatweave.streaming import contact_state, coverage, incremental, senders
 
 # Scenario parameters (fixed): the `since` cut and the time that splits the
 # store into a first and a later load for the incremental queries.
@@ -31,6 +34,10 @@ SPLIT_TIME = 5000
 TOP_K = 10
 VECTOR_DIM = 64
 RULE_MEMBER = "You"
+SILENCE = 30  # message times further apart part two sessions
+PAGE_CHARS = 4096
+LATE_DROPS = 3  # drops of messages, each followed by its links
+LAYOUT_FILE_ROWS = 10_000  # rows per file of the layout by chat
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -201,6 +208,18 @@ def join_texts(spark, sf):
     return line_offsets(format_lines(_cleaned(spark, sf)))
 
 
+def join_pages(spark, sf):
+    return pages_of(format_lines(_cleaned(spark, sf)), PAGE_CHARS)
+
+
+def sessions(spark, sf):
+    return sessions_of(format_lines(_cleaned(spark, sf)), SILENCE)
+
+
+def chunk_session(spark, sf):
+    return session_chunks(format_lines(_cleaned(spark, sf)), SILENCE)
+
+
 def chunk_grid_q(spark, sf):
     return chunk_grid(format_lines(_cleaned(spark, sf)))
 
@@ -238,6 +257,22 @@ def similarity_lsh(spark, sf):
                     item_keys=("vec_id",), query_key="query_id")
 
 
+def _stored_search(spark, sf, metric: str) -> DataFrame:
+    """The vectors in two batches of one stored index, then every vector asked."""
+    e, path = _embeddings(spark, sf), scratch_path(spark, "vector_index")
+    for batch in (0, 1):
+        index = write_index(e.where(F.pmod("vec_id", F.lit(2)) == batch), path, group_cols=("label",), item_keys=("vec_id",), metric=metric, batch_id=batch)
+    return search_index(index, e.withColumnRenamed("vec_id", "query_id"), TOP_K)
+
+
+def index_search(spark, sf):
+    return _stored_search(spark, sf, "l2")
+
+
+def index_search_cosine(spark, sf):
+    return _stored_search(spark, sf, "cosine")
+
+
 def _chunk_vectors(spark, sf) -> DataFrame:
     chunks = chunk_greedy(format_lines(_cleaned(spark, sf)))
     return embed_hashed(chunks, "text", "embedding")
@@ -263,7 +298,9 @@ def _questions(spark, sf) -> DataFrame:
 def _contexts(spark, sf) -> DataFrame:
     path = scratch_path(spark, "chunk_vectors")
     sinks.write_batch(_chunk_vectors(spark, sf).drop("batch_id"), path, 0)
-    return generate_context(_questions(spark, sf), sinks.read_batches(spark, path, schemas.CHUNK_VECTORS), k=TOP_K)
+    chunks = sinks.read_batches(spark, path, schemas.CHUNK_VECTORS)
+    index = write_index(chunks, f"{path}-index", item_keys=("batch_id", "chunk_no"))
+    return generate_context(_questions(spark, sf), chunks, k=TOP_K, index=index)
 
 
 def generate_context_q(spark, sf):
@@ -332,6 +369,102 @@ def incremental_stream(spark, sf):
     return incremental.read_table(spark, state, "messages")
 
 
+def late_rows(spark, sf):
+    """Three loads of a store that grows out of order: a third of the messages
+    (of any date) come in the second, a fifth of the links in the third."""
+    store, chats, contacts = _bind(spark, sf)
+    state = scratch_path(spark, "covered")
+    early_messages = store.message.where(F.pmod("rowid", F.lit(3)) > 0)
+    early_links = store.chat_message_join.where(F.pmod("message_id", F.lit(5)) > 0)
+    for n, (messages, links) in enumerate(((early_messages, early_links), (store.message, early_links), (store.message, store.chat_message_join))):
+        coverage.ingest_uncovered(MessageStore(store.handle, store.chat, messages, links), chats, contacts, state, n + 1)
+    return incremental.read_table(spark, state, "messages").drop("chat_slug", "batch_id")
+
+
+def late_links_stream(spark, sf):
+    """Structured Streaming: messages arrive in three drops, the links of each
+    one drop later."""
+    store, chats, contacts = _bind(spark, sf)
+    state = scratch_path(spark, "late-links")
+    width = (store.message.agg(F.max("rowid")).first()[0] or 0) // LATE_DROPS + 1
+    inbox = {"message": (store.message, "rowid"), "link": (store.chat_message_join, "message_id")}
+    for name, (rows, _) in inbox.items():  # so that both streams have a schema and a folder from the start
+        rows.limit(0).write.parquet(f"{state}/{name}/drop=-1")
+    for step in range(LATE_DROPS + 1):
+        for (name, (rows, row_id)), drop in zip(inbox.items(), (step, step - 1)):
+            rows.where(F.floor(F.col(row_id) / width) == drop).write.parquet(f"{state}/{name}/drop={step}")
+        coverage.stream_joined(spark, f"{state}/message", f"{state}/link", store, chats, contacts, state, wait=2 * width)
+    return incremental.read_table(spark, state, "messages").drop("chat_slug", "batch_id")
+
+
+def contact_handles_delta(spark, sf):
+    """Contact handles kept up to date over three updates: handles and
+    definitions come in parts, and some addresses before their handles."""
+    store, _chats, contacts = _bind(spark, sf)
+    state = scratch_path(spark, "contacts")
+    part = lambda rows, col, n: rows.where(F.pmod(F.xxhash64(col), F.lit(3)) <= n)
+    for n in range(3):
+        contact_state.update_contact_handles(part(contacts, "chat_key", n), part(store.handle, "rowid", n), state, n + 1)
+    return contact_state.maintained_contact_handles(contacts, store.handle, state)
+
+
+def _streamed_totals(spark, sf):
+    store, chats, contacts = _bind(spark, sf)
+    state = scratch_path(spark, "senders")
+    for n, drop in ((1, F.col("date") <= SPLIT_TIME), (2, F.col("date") > SPLIT_TIME)):
+        store.message.where(drop).write.parquet(f"{state}/inbox/drop={n}")
+        senders.stream_totals(spark, f"{state}/inbox", store, state)
+    return state, store, chats, contacts
+
+
+def unknown_senders_stream(spark, sf):
+    state, *known = _streamed_totals(spark, sf)
+    return senders.unknown_senders_now(spark, state, *known)
+
+
+def high_water_mark_stream(spark, sf):
+    state, *known = _streamed_totals(spark, sf)
+    return senders.marks_now(spark, state, *known)
+
+
+def _committed(spark, sf):
+    """Two loads, the second one run twice."""
+    store, chats, contacts = _bind(spark, sf)
+    state = scratch_path(spark, "committed")
+    early = MessageStore(store.handle, store.chat, store.message.where(F.col("date") <= SPLIT_TIME), store.chat_message_join)
+    incremental.load_committed(early, chats, contacts, state, 1)
+    incremental.load_committed(store, chats, contacts, state, 2)
+    return incremental.load_committed(store, chats, contacts, state, 2)
+
+
+def committed_messages(spark, sf):
+    return _committed(spark, sf).read("messages", schemas.SAVED_MESSAGES)
+
+
+def committed_vectors(spark, sf):
+    return _committed(spark, sf).read("chunk_vectors", schemas.CHUNK_VECTORS).select("chat_key", "batch_id", "chunk_no", "text", "embedding")
+
+
+def _laid_out(spark, sf) -> str:
+    path = scratch_path(spark, "by-chat")
+    layout.write_by_chat(_cleaned(spark, sf), path, 1, file_rows=LAYOUT_FILE_ROWS)
+    return path
+
+
+def ordered_export(spark, sf):
+    """Every message with its place in the whole order, taken from the number
+    of its file and its place in the file."""
+    return layout.ranked(spark, _laid_out(spark, sf), 1).select("rank", "chat_slug", "chat_key", "time", "message_id", "sender", "text", "type")
+
+
+def read_chat(spark, sf):
+    """The chat with most messages, read from the files that can hold it."""
+    path = _laid_out(spark, sf)
+    largest = layout.read_messages(spark, path).groupBy("chat_slug").count().orderBy(F.desc("count"), "chat_slug").first()
+    chat = layout.read_chat(spark, path, largest.chat_slug if largest else "")
+    return chat.select("chat_slug", "chat_key", "message_id", "sender", "text", "time", "type")
+
+
 def stream_index(spark, sf):
     """The chunk vectors that the stream of ``incremental_stream`` indexed."""
     store, chats, contacts = _bind(spark, sf)
@@ -375,12 +508,17 @@ QUERIES: dict[str, Query] = {
     "default_clean": default_clean,
     "format_lines": format_lines_q,
     "join_texts": join_texts,
+    "join_pages": join_pages,
+    "sessions": sessions,
+    "chunk_session": chunk_session,
     "chunk_grid": chunk_grid_q,
     "chunk_greedy": chunk_greedy_q,
     "embed_hashed": embed_hashed_q,
     "similarity_topk": similarity_topk,
     "similarity_topk_cosine": similarity_topk_cosine,
     "similarity_lsh": similarity_lsh,
+    "index_search": index_search,
+    "index_search_cosine": index_search_cosine,
     "index_build": index_build,
     "generate_context": generate_context_q,
     "build_prompts": build_prompts_q,
@@ -391,5 +529,14 @@ QUERIES: dict[str, Query] = {
     "index_append": index_append,
     "incremental_stream": incremental_stream,
     "stream_index": stream_index,
+    "late_rows": late_rows,
+    "late_links_stream": late_links_stream,
+    "contact_handles_delta": contact_handles_delta,
+    "unknown_senders_stream": unknown_senders_stream,
+    "high_water_mark_stream": high_water_mark_stream,
+    "committed_messages": committed_messages,
+    "committed_vectors": committed_vectors,
+    "ordered_export": ordered_export,
+    "read_chat": read_chat,
     "csv_roundtrip": csv_roundtrip,
 }

@@ -105,6 +105,12 @@ lines AS (
          regexp_replace(regexp_replace(sender || ': ' || text, '{BREAK}\\z', ''), '{BREAK}', ' ', 'g') AS line
   FROM cleaned)"""
 
+SESSIONS = f"""
+parted AS (
+  SELECT *, CAST(sum(CASE WHEN time - earlier > {C.SILENCE} THEN 1 ELSE 0 END) OVER (
+    PARTITION BY chat_key, batch_id ORDER BY time, message_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no
+  FROM (SELECT *, lag(time) OVER (PARTITION BY chat_key, batch_id ORDER BY time, message_id) AS earlier FROM lines))"""
+
 
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
@@ -297,6 +303,15 @@ SELECT chat_key, batch_id, time, message_id,
        CAST(coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset,
        line
 FROM lines WINDOW w AS (PARTITION BY chat_key, batch_id ORDER BY time, message_id)""",
+    "join_pages": f"""{LOADED},{CLEAN},{LINES},
+joined AS (SELECT chat_key, batch_id, string_agg(line, chr(10) ORDER BY time, message_id) AS t FROM lines GROUP BY chat_key, batch_id)
+SELECT chat_key, batch_id, page_no::BIGINT AS page_no, substr(t, (page_no * {C.PAGE_CHARS} + 1)::BIGINT, {C.PAGE_CHARS}) AS text
+FROM (SELECT *, unnest(range(0, ((length(t) + {C.PAGE_CHARS - 1}) // {C.PAGE_CHARS})::BIGINT)) AS page_no FROM joined)""",
+    "sessions": f"""{LOADED},{CLEAN},{LINES},{SESSIONS}
+SELECT chat_key, batch_id, session_no, min(time) AS first_time, max(time) AS last_time, count(*) AS n_lines FROM parted GROUP BY ALL""",
+    "chunk_session": f"""{LOADED},{CLEAN},{LINES},{SESSIONS},
+renamed AS (SELECT chat_key, session_no AS batch_id, time, message_id, line FROM parted),
+{_greedy('renamed')} SELECT chat_key, CAST(0 AS BIGINT) AS batch_id, batch_id AS session_no, chunk_no, text FROM chunks""",
     "chunk_grid": f"""{LOADED},{CLEAN},{LINES},
 off AS (
   SELECT *, CAST(row_number() OVER w AS BIGINT) AS line_no,
@@ -312,6 +327,8 @@ WHERE text <> ''""",
     "similarity_topk": _topk("l2"),
     "similarity_topk_cosine": _topk("cosine"),
     "similarity_lsh": _lsh(),
+    "index_search": _topk("l2"),
+    "index_search_cosine": _topk("cosine"),
     "index_build": f"{LOADED},{CHUNK_VECTORS} SELECT chat_key, batch_id, chunk_no, text, embedding FROM chunk_vectors",
     "generate_context": f"{LOADED},{CHUNK_VECTORS},{CONTEXTS} SELECT query_id, chat_key, query, context FROM contexts",
     "retrieval_log": f"{LOADED},{CHUNK_VECTORS},{CONTEXTS} SELECT query_id, chat_key, query, context FROM contexts",
@@ -331,6 +348,13 @@ lines AS (
   FROM batched),
 {_greedy()},{_embed('chunks', 'chat_key, batch_id, chunk_no, text', 'text', 'chunk_vectors')}
 SELECT chat_key, batch_id, chunk_no, text, embedding FROM chunk_vectors""",
+    "late_rows": f"{LOADED},{CLEAN} SELECT {OUT} FROM cleaned",
+    "late_links_stream": f"{LOADED},{CLEAN} SELECT {OUT} FROM cleaned",
+    "ordered_export": f"""{LOADED},{CLEAN}
+SELECT row_number() OVER (ORDER BY chat_slug, chat_key, time, message_id) AS rank, * FROM (SELECT {SLUG_COL} AS chat_slug, {OUT} FROM cleaned)""",
+    "read_chat": f"""{LOADED},{CLEAN},
+slugged AS (SELECT {SLUG_COL} AS chat_slug, {OUT} FROM cleaned)
+SELECT * FROM slugged WHERE chat_slug = (SELECT chat_slug FROM slugged GROUP BY chat_slug ORDER BY count(*) DESC, chat_slug LIMIT 1)""",
     "csv_roundtrip": f"{LOADED},{CLEAN} SELECT {OUT} FROM cleaned",
 }
 
@@ -348,3 +372,9 @@ UNION ALL
 SELECT query_id, chat_key, 1 AS msg_pos, 'user' AS role,
        'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS content, {SETTINGS} FROM contexts"""
 ORACLES["stream_index"] = ORACLES["index_append"]
+# the same results by maintained state
+for _name, _of in (
+    ("contact_handles_delta", "contact_handles"), ("unknown_senders_stream", "unknown_senders"), ("high_water_mark_stream", "high_water_mark"),
+    ("committed_messages", "incremental_ingest"), ("committed_vectors", "index_append"),
+):
+    ORACLES[_name] = ORACLES[_of]

@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatweave import schemas
+from chatweave.functions.text import chat_slug
 from chatweave.operators.chunking import chunk_greedy, format_lines
 from chatweave.operators.embed import EmbedFn, embed_hashed
 from chatweave.operators.load import load_messages
 from chatweave.operators.rules import DEFAULT_RULES, Rule, apply_rules
 from chatweave.sources import sinks
+from chatweave.sources.commits import CommittedTables, committed_or_none
 from chatweave.sources.store import MessageStore
 
 
@@ -109,6 +111,37 @@ def _ingest(store, chats, contacts, state_dir, batch_id, rules, use_marks) -> No
     _remove(spark, staging)
 
 
+def load_committed(
+    store: MessageStore,
+    chats: DataFrame,
+    contacts: DataFrame,
+    state_dir: str,
+    batch_id: int,
+    rules: tuple[Rule, ...] = DEFAULT_RULES,
+    embed_fn: EmbedFn = embed_hashed,
+) -> CommittedTables:
+    """Load, clean, index and mark a batch so that readers see its messages,
+    chunk vectors and marks together or not at all (see
+    :mod:`chatweave.sources.commits`). Running a batch again adds an attempt."""
+    spark = chats.sparkSession
+    claim_state(spark, state_dir, "batch")
+    tables = CommittedTables(spark, state_dir)
+    earlier = committed_or_none(tables, "marks", schemas.MARKS, batch_id)
+    marks = None if earlier is None else earlier.groupBy("chat_key").agg(F.max(F.struct("mark_time", "mark_id")).alias("_m")).select(
+        "chat_key", "_m.mark_time", "_m.mark_id")
+    attempt = tables.begin()
+    tables.write("scanned", load_messages(store, chats, contacts, marks=marks), batch_id, attempt)
+    scanned = spark.read.schema(schemas.MESSAGES).parquet(f"{state_dir}/scanned/batch_id={int(batch_id)}/attempt={attempt}")
+    messages = apply_rules(scanned, *rules).withColumn("chat_slug", chat_slug("chat_key"))
+    tables.write("messages", messages, batch_id, attempt, ("chat_key", "time", "message_id"))
+    tables.write("marks", high_water_mark(scanned), batch_id, attempt)
+    written = spark.read.schema(schemas.SAVED_MESSAGES).parquet(f"{state_dir}/messages/batch_id={int(batch_id)}/attempt={attempt}")
+    tables.write("chunk_vectors", embed_fn(chunk_greedy(format_lines(written)), "text", "embedding"), batch_id, attempt)
+    tables.commit(batch_id, attempt)
+    _remove(spark, f"{state_dir}/scanned/batch_id={int(batch_id)}")
+    return tables
+
+
 def index_batch(spark: SparkSession, state_dir: str, batch_id: int, embed_fn: EmbedFn = embed_hashed) -> None:
     """Chunk and embed the messages of one saved batch; write its chunk
     vectors as partition ``batch_id`` (chunks never cross batches).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import __spark_entry__ as entry
 
 
@@ -15,3 +17,12 @@ def test_registry():
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["chat_key", "message_id", "sender", "text", "time", "type"] and df.count() > 0
+
+
+def test_queries_without_the_optional_subpackage(monkeypatch):
+    """A subpackage that is missing, or cannot be imported, takes only its own queries away."""
+    for name in ("corpus_pipeline", "chatweave.llm.queries"):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, name, None)
+            queries = entry.queries()
+            assert "load_messages" in queries and "pipeline" not in queries and set(entry.oracle_sql()) <= set(queries)
