@@ -50,8 +50,8 @@ from pyspark.sql.window import Window as W
 from chatweave.llm.common import join_small, stored
 
 THRESHOLD, LONGEST, TOP = 100, 5, 2000
-BUFFER = 2 << 20  #: bytes of text whose words are cut at once
-BATCH = 8 << 20  #: bytes of text per batch
+BUFFER = 4 << 20  #: bytes of text whose words are cut at once
+BATCH = 16 << 20  #: bytes of text per batch
 PART_BYTES = 64 << 20  #: bytes of text per hash partition, at most
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -357,20 +357,17 @@ class Known:
 
 
 def spelled_counts(texts: DataFrame, found: DataFrame, bits: int, longest: int) -> DataFrame:
-    """(part, langs, phrases, counts): per batch and hash partition the strings
-    of the batch's surviving runs and how often they occur. The phrase null
-    counts a language's words; these lists go to partition 0."""
+    """(part, lang, phrases, counts): per batch, hash partition and language the
+    surviving runs, in order and parted by newlines, and how often each occurs
+    (32-bit numbers). Without phrases, counts is the number of words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k.as_buffer(), "<u8") for k in right["keys"]]
         known = Known(np.sort(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64), bits)
-        parts, langs, phrases, counts = [], [], [], []
+        words_of, total, part_of = {}, {}, {}
         for lang, words in buffers(left.to_batches()):
-            parts.append(np.zeros(1, dtype=np.int64))
-            langs.append(lang)
-            phrases.append(None)
-            counts.append(words.n)
-            salt = salt_of(lang)
+            words_of[lang] = words_of.get(lang, 0) + words.n
+            counts, parts, salt = total.setdefault(lang, {}), part_of.setdefault(lang, {}), salt_of(lang)
             for (k, g, whole), (_, h, _) in zip(words.runs(salt, ROLLS[0], longest), words.runs(salt, ROLLS[1], longest)):
                 at = np.flatnonzero(whole)
                 at = at[known(g[at])]
@@ -378,19 +375,21 @@ def spelled_counts(texts: DataFrame, found: DataFrame, bits: int, longest: int)
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (g[order[1:]] != g[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
                 first = np.flatnonzero(new)
-                parts.append((g[order[first]] >> np.uint64(64 - bits)).astype(np.int64))
-                langs += [lang] * len(first)
-                phrases += [words.spell(i, k) for i in order[first]]
-                counts += np.diff(np.append(first, len(order))).tolist()
-        part = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-        order = np.argsort(part, kind="stable")
-        first = np.flatnonzero(np.diff(part[order], prepend=-1))
-        ends = pa.array(np.append(first, len(order)).astype(np.int32))
-        take = pa.array(order)
-        columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())]
-        return pa.Table.from_arrays([pa.array(part[order][first]), *(pa.ListArray.from_arrays(ends, c.take(take)) for c in columns)], names=["part", "langs", "phrases", "counts"])
-
-    return texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "part long, langs array<string>, phrases array<string>, counts array<bigint>")
+                often = np.diff(np.append(first, len(order))).tolist()
+                for i, n, part in zip(order[first].tolist(), often, (g[order[first]] >> np.uint64(64 - bits)).tolist()):
+                    phrase = words.spell(i, k)
+                    counts[phrase] = counts.get(phrase, 0) + n
+                    parts[phrase] = part
+        rows = [(0, lang, None, np.array([n], dtype="<u8").tobytes()) for lang, n in words_of.items()]
+        for lang, counts in total.items():
+            parts, held = part_of[lang], {}
+            for phrase in sorted(counts):
+                held.setdefault(parts[phrase], []).append(phrase)
+            rows += [(part, lang, "\n".join(some), np.array([counts[x] for x in some], dtype="<u4").tobytes()) for part, some in held.items()]
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.binary()))], names=["part", "lang", "phrases", "counts"])
+
+    return texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "part long, lang string, phrases string, counts binary")
 
 
 def summed(lists: DataFrame, threshold: int) -> DataFrame:
@@ -398,19 +397,23 @@ def summed(lists: DataFrame, threshold: int) -> DataFrame:
     all words of a language (phrase null)."""
 
     def run(batches):
-        def done(total):
-            some = [(lang, phrase, n) for (lang, phrase), n in total.items() if n >= threshold or phrase is None]
+        def done(total, words):
+            some = [(lang, phrase, n) for lang, of in total.items() for phrase, n in of.items() if n >= threshold] + [(lang, None, n) for lang, n in words.items()]
             return pa.RecordBatch.from_pydict({"lang": [x[0] for x in some], "phrase": [x[1] for x in some], "f": [x[2] for x in some]}, schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())]))
 
-        now, total = None, {}
+        now, total, words = None, {}, {}
         for batch in batches:
-            for part, langs, phrases, counts in zip(*(batch[c] for c in ("part", "langs", "phrases", "counts"))):
-                if part.as_py() != now:
-                    yield done(total)
-                    now, total = part.as_py(), {}
-                for key, n in zip(zip(langs.as_py(), phrases.as_py()), counts.as_py()):
-                    total[key] = total.get(key, 0) + n
-        yield done(total)
+            for part, lang, phrases, counts in zip(batch["part"].to_pylist(), batch["lang"].to_pylist(), batch["phrases"], batch["counts"]):
+                if part != now:
+                    yield done(total, words)
+                    now, total, words = part, {}, {}
+                if not phrases.is_valid:
+                    words[lang] = words.get(lang, 0) + int(np.frombuffer(counts.as_buffer(), "<u8")[0])
+                    continue
+                of = total.setdefault(lang, {})
+                for phrase, n in zip(phrases.as_py().split("\n"), np.frombuffer(counts.as_buffer(), "<u4").tolist()):
+                    of[phrase] = of.get(phrase, 0) + n
+        yield done(total, words)
 
     return lists.repartition("part").sortWithinPartitions("part").mapInArrow(run, "lang string, phrase string, f long")
 
