@@ -221,7 +221,10 @@ def search_index(
     worst = first.groupBy(*asked).agg(F.count(F.lit(1)).alias("_held"), F.sort_array(F.collect_list("distance")).alias("_d"))
     worst = worst.select(*asked, F.when(F.col("_held") >= k, F.element_at("_d", k)).otherwise(float("inf")).alias("_worst"))
     later = materialize(routes.where("NOT _first").join(worst, asked).where("_least <= _worst").select(*routes.columns))
-    found = first.unionByName(_read(index, later, q, k, query_key)).drop("_dim")
+    found = first
+    if later.limit(1).count():
+        found = found.unionByName(_read(index, later, q, k, query_key))
+    found = found.drop("_dim")
     if report is not None:
         read = routes.where("_first").unionByName(later)
         report.update(

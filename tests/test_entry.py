@@ -24,5 +24,7 @@ def test_queries_without_the_optional_subpackage(monkeypatch):
     for name in ("corpus_pipeline", "chatweave.llm.queries"):
         with monkeypatch.context() as m:
             m.setitem(sys.modules, name, None)
+            if "chatweave.llm" in sys.modules:  # imported before
+                m.delattr(sys.modules["chatweave.llm"], "queries", raising=False)
             queries = entry.queries()
             assert "load_messages" in queries and "pipeline" not in queries and set(entry.oracle_sql()) <= set(queries)
