@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from chatweave.llm.common import remainder, stored
 
 SAMPLE, EPOCHS, BATCH, RATE, SHRINK = 4000, 30, 64, 0.3, 1e-4
+SAMPLE_BYTES = 64 << 20  #: of text that the sample has at most
 LINES, PRIOR, SEED = 4096, 0.5, 9
 MODULUS, HELD_OUT = 4, 2
 SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~_=+@]")
@@ -196,9 +197,10 @@ def train(rows: list[tuple[int, str]]) -> Model:
     return model
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, str]]:
-    """At most ``sample`` labelled texts; ids are picked from the labels alone,
-    so the documents are read with a bounded broadcast of ids."""
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str]]:
+    """At most ``sample`` labelled texts of together at most ``most_bytes``; ids
+    are picked from the labels alone, so the documents are read with a bounded
+    broadcast of ids. One row stands for an id that several rows bear."""
     marks = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder("doc_id", MODULUS) != HELD_OUT))
         .groupBy("doc_id").agg(F.min("quality").alias("_y"), F.max("quality").alias("_most")).where("_y = _most")
@@ -207,8 +209,17 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
     marks = stored(marks, "marks")
     picked = [marks.where(f"_y = {y}").orderBy("_h", "doc_id").limit(sample // 2) for y in (0, 1)]
     chosen = stored(picked[0].unionByName(picked[1]), "chosen")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).select("_h", "doc_id", "_y", "text")
-    got = sorted(rows.collect(), key=lambda r: (r["_h"], r["doc_id"], r["text"] or ""))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_t", F.xxhash64("text"))
+    one = found.groupBy("doc_id").agg(F.min("_t").alias("_t"))
+    rows = found.join(one, ["doc_id", "_t"]).dropDuplicates(["doc_id"]).select("_h", "doc_id", "_y", "text")
+    rows = stored(rows.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0))), "sample")
+    kept, total = [], 0
+    for r in sorted(rows.select("_h", "doc_id", "_size").collect()):  # a row per sampled id
+        if total + r["_size"] <= most_bytes:
+            kept.append(r["doc_id"])
+            total += r["_size"]
+    held = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")), "doc_id")
+    got = sorted(held.collect(), key=lambda r: (r["_h"], r["doc_id"]))
     return [(int(r["_y"]), r["text"]) for r in got]
 
 

@@ -67,3 +67,15 @@ def test_query_held_out_accuracy(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
     held = got[got.held_out & got.doc_id.isin(labels.index)]
     assert (held.predicted.values == labels[held.doc_id].values).mean() > 0.95
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(i, "good line of text " * (i % 7 + 1)) for i in range(300)] + [(5, f"another text of row {k}") for k in range(200)] + [(9, "x" * 50_000), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _t", "2 AS _size").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    every = C.sample_rows(docs, labels)
+    learned = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(every) == len(learned) and sum(y for y, _ in every) == sum(i % 2 for i in learned)
+    few = C.sample_rows(docs, labels, most_bytes=5_000)
+    assert 0 < len(few) < len(every) and sum(len(t) for _, t in few) <= 5_000
+    assert C.sample_rows(docs, labels.limit(0)) == []
