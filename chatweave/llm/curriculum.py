@@ -12,7 +12,7 @@ epoch walks through them once more. The word demand at which a copy's middle
 comes up is inverted through the integrated curve, which gives the copy's
 training position in [0, 1). Copies whose middle lies beyond the target are
 not taken, so a source's taken words differ from its target by at most half a
-document. ``mix`` returns the copies, range-sorted by position.
+document. ``in_order`` and ``mix`` return the copies, range-sorted by position.
 
 Running sums never put a source in one task: documents are cut into hash
 ranges sized by the row count, ranges are summed before the shuffle, and only
@@ -116,8 +116,15 @@ def assign(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
     return placed.select("_doc", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", where.alias("positions"))
 
 
+def in_order(assigned: DataFrame) -> DataFrame:
+    """The rows of ``assign`` once for each taken copy, range-sorted by
+    position, the copy's training time."""
+    copies = assigned.select(*[c for c in assigned.columns if c != "positions"], F.explode("positions").alias("position"))
+    return copies.repartitionByRange("position").sortWithinPartitions("position")
+
+
 def mix(docs: DataFrame, keep: list[str], position: bool = True, **names: str) -> DataFrame:
     """A row per taken copy, in training order: columns ``keep`` and, unless it
     is not wanted, position."""
-    copies = assign(docs, keep, **names).select("_doc", F.explode("positions").alias("position"))
-    return copies.repartitionByRange("position").sortWithinPartitions("position").select("_doc.*", *["position"] * position)
+    copies = assign(docs, keep, **names).select("_doc", "positions")
+    return in_order(copies).select("_doc.*", *["position"] * position)

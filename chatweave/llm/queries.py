@@ -61,8 +61,15 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = curriculum.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["doc_id"])
-    return out.select("_doc.doc_id", "size", "source_size", "target", "taken", F.element_at(F.concat("positions", F.array(F.lit(None).cast("double"))), 1).alias("first_position"))
+    """The mix is written in training order; what a document has in it is read
+    back. Documents may share an id or have none, so rows have numbers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.monotonically_increasing_id().alias("row"))
+    assigned = stored(curriculum.assign(docs, ["doc_id", "row"]), "assigned")
+    order = stored(curriculum.in_order(assigned), "order")
+    of = ["size", "source_size", "target"]
+    used = order.groupBy("_doc.row", "_doc.doc_id", *of).agg((F.count("position") * F.col("size")).alias("taken"), F.min("position").alias("first_position"))
+    rest = assigned.where("copies = 0").select("_doc.doc_id", *of, "taken", F.lit(None).cast("double").alias("first_position"))
+    return used.drop("row").unionByName(rest)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
