@@ -78,8 +78,9 @@ def build_index(
     return VectorIndex(cut, groups, tuple(group_cols), tuple(item_keys), metric)
 
 
-def _nearest(k: int, metric: str, query_key: str, keys: list[str], out: list[str]):
-    """Cogroup function: the k nearest items of each query in one block."""
+def _closest(k: int, metric: str):
+    """Function of items and queries (a vector per row): the k nearest items of
+    each query as (query, item, distance), ties to the earlier item."""
 
     def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         if not q.shape[1]:
@@ -96,11 +97,7 @@ def _nearest(k: int, metric: str, query_key: str, keys: list[str], out: list[str
         qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
         return qq[:, None] + xx[None, :] - 2 * (q @ x.T), 1e-9 * (qq + xx.max()) + 1e-300
 
-    def nearest(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if items.empty or queries.empty:
-            return pd.DataFrame(columns=out)
-        items = items.sort_values(keys, kind="stable").reset_index(drop=True)
-        x, q = np.stack(items["_v"].to_numpy()), np.stack(queries["_v"].to_numpy())
+    def closest(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, cols, dist = [], [], []
         step = max(1, _PAIR_VALUES // (len(x) * max(1, x.shape[1])))
         for at in range(0, len(q), step):
@@ -119,10 +116,23 @@ def _nearest(k: int, metric: str, query_key: str, keys: list[str], out: list[str
             rows.append(r[keep] + at)
             cols.append(c[keep])
             dist.append(d[keep])
-        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+
+    return closest
+
+
+def _nearest(k: int, metric: str, query_key: str, keys: list[str], out: list[str]):
+    """Cogroup function: the k nearest items of each query in one block."""
+    closest = _closest(k, metric)
+
+    def nearest(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if items.empty or queries.empty:
+            return pd.DataFrame(columns=out)
+        items = items.sort_values(keys, kind="stable").reset_index(drop=True)
+        rows, cols, dist = closest(np.stack(items["_v"].to_numpy()), np.stack(queries["_v"].to_numpy()))
         found = items.iloc[cols].reset_index(drop=True)
         found[query_key] = queries[query_key].to_numpy()[rows]
-        found["distance"] = np.concatenate(dist)
+        found["distance"] = dist
         return found[out]
 
     return nearest

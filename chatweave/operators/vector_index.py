@@ -34,13 +34,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatweave.operators.search import _nearest, _parts, _prepared
+from chatweave.operators.search import _closest, _parts, _prepared
 from chatweave.session import join_bounded, materialize
 
 BLOCK_ITEMS, PIVOTS, MAX_LEVELS, SALT_ITEMS = 4096, 64, 8, 65_536
 SHELF_BYTES = 64 << 20
 #: queries, and blocks of the block table, that one task compares
 BUCKET_QUERIES, BUCKET_BLOCKS = 1024, 4096
+#: rows that are handed to Python at once, as groups that are small (a chat with a
+#: few items) cost more to hand over than to work on
+LOT_ROWS = 2048
+#: rows found that are handed back at once
+FOUND_ROWS = 65_536
 #: shelves named in a filter; beyond, all are listed and the join picks blocks
 NAMED_SHELVES = 10_000
 #: share by which bounds give way to rounding
@@ -75,6 +80,11 @@ _BLOCK = [T.StructField("_dim", T.IntegerType()), T.StructField("_cell", T.LongT
 _PLACE = [T.StructField("_centre", T.ArrayType(T.DoubleType())), T.StructField("_radius", T.DoubleType())]
 
 
+def _lot(by: list[str], rows: int):
+    """Deals whole groups into lots of about ``LOT_ROWS`` of ``rows`` rows."""
+    return F.pmod(F.xxhash64(F.lit(4), *by), F.lit(max(1, -(-rows // LOT_ROWS))))
+
+
 def _split(items: DataFrame, by: list[str], keys: list[str], block_items: int) -> DataFrame:
     """Items with ``_cell`` and ``_part``, no (cell, part) much above ``block_items``."""
     cells = items.withColumn("_cell", F.lit(1).cast("long"))
@@ -132,16 +142,20 @@ def write_index(
     cut = _split(base, by, keys, block_items)
     names = [*g, "_dim", "_cell", "_part", "_n", *keys, "_v", "_centre", "_radius"]
 
-    def packed(key, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(keys, kind="stable")
-        x = np.stack(block["_v"].to_numpy()).reshape(len(block), -1)
-        centre = x.mean(axis=0)
-        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max())) if x.shape[1] else 0.0
-        row = [*key, len(block), *(block[c].tolist() for c in keys), x.ravel().tolist(), centre.tolist(), radius]
-        return pd.DataFrame([row], columns=names)
+    at = [*by, "_cell", "_part"]
+
+    def packed(lot: pd.DataFrame) -> pd.DataFrame:
+        lot = lot.sort_values(keys, kind="stable")
+        columns, vectors, rows = {c: lot[c].to_numpy() for c in [*at, *keys]}, lot["_v"].to_numpy(), []
+        for own in lot.groupby(at, sort=False).indices.values():
+            x = np.stack(vectors[own]).reshape(len(own), -1)
+            centre = x.mean(axis=0)
+            radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max())) if x.shape[1] else 0.0
+            rows.append([*(columns[c][own[0]] for c in at), len(own), *(columns[c][own].tolist() for c in keys), x.ravel().tolist(), centre.tolist(), radius])
+        return pd.DataFrame(rows, columns=names)
 
     schema = T.StructType(index.blocks_schema().fields[:-2])
-    blocks = materialize(cut.groupBy(*by, "_cell", "_part").applyInPandas(packed, schema))
+    blocks = materialize(cut.groupBy(_lot(at, base.count()).alias("_lot")).applyInPandas(packed, schema))
     size = blocks.agg(F.sum(F.col("_n") * (F.col("_dim") + len(keys)) * 8)).first()[0] or 0
     shelves = max(1, -(-int(size) // SHELF_BYTES))
     order = [*by, "_cell", "_part"]
@@ -167,24 +181,33 @@ def _bounds(metric: str, q: np.ndarray, centres: np.ndarray, radius: np.ndarray)
     return middle - reach - slack, middle, middle + reach + slack
 
 
-def _routes(metric: str, k: int, query_key: str, place: list[str], out: list[str]):
+def _routes(metric: str, k: int, query_key: str, at: list[str], place: list[str], out: list[str]):
     """Cogroup function: the blocks of a piece of the block table that may hold
-    one of a query's k nearest items, as far as the bounds can tell."""
+    one of a query's k nearest items, as far as the bounds can tell. A lot has
+    the blocks and queries of many pieces (``at``)."""
 
     def routes(blocks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if blocks.empty or queries.empty:
             return pd.DataFrame(columns=out)
-        q, c = np.stack(queries["_v"].to_numpy()), np.stack(blocks["_centre"].to_numpy())
-        n = blocks["_n"].to_numpy(dtype=np.int64)
-        least, middle, most = _bounds(metric, q, c.reshape(len(n), -1), blocks["_radius"].to_numpy())
-        order = np.argsort(most, axis=1)
-        enough = (np.cumsum(n[order], axis=1) >= k)
-        at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(n) - 1)
-        edge = np.where(enough.any(axis=1), np.take_along_axis(most, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], np.inf)
-        r, b = np.nonzero(least <= edge[:, None])
+        vectors, centres, radii = queries["_v"].to_numpy(), blocks["_centre"].to_numpy(), blocks["_radius"].to_numpy()
+        counts, asking, parts = blocks["_n"].to_numpy(dtype=np.int64), queries.groupby(at, sort=False).indices, []
+        for piece, own in blocks.groupby(at, sort=False).indices.items():
+            if (those := asking.get(piece)) is None:
+                continue
+            q, n = np.stack(vectors[those]), counts[own]
+            least, middle, most = _bounds(metric, q, np.stack(centres[own]).reshape(len(n), -1), radii[own])
+            order = np.argsort(most, axis=1)
+            enough = (np.cumsum(n[order], axis=1) >= k)
+            last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(n) - 1)
+            edge = np.where(enough.any(axis=1), np.take_along_axis(most, np.take_along_axis(order, last[:, None], 1), 1)[:, 0], np.inf)
+            r, b = np.nonzero(least <= edge[:, None])
+            parts.append((those[r], own[b], least[r, b], middle[r, b], edge[r]))
+        if not parts:
+            return pd.DataFrame(columns=out)
+        r, b, least, middle, edge = (np.concatenate(x) for x in zip(*parts))
         found = blocks[place].iloc[b].reset_index(drop=True)
         found[query_key] = queries[query_key].to_numpy()[r]
-        found["_least"], found["_middle"], found["_edge"], found["_n"] = least[r, b], middle[r, b], edge[r], n[b]
+        found["_least"], found["_middle"], found["_edge"], found["_n"] = least, middle, edge, counts[b]
         return found[out]
 
     return routes
@@ -209,10 +232,11 @@ def search_index(
     held = held.select(*[F.col(c).alias(c) for c in held.columns])
     fields = [q.schema[query_key], *(table.schema[c] for c in place), *(T.StructField(c, T.DoubleType()) for c in ("_least", "_middle", "_edge")), T.StructField("_n", T.IntegerType())]
     schema = T.StructType(fields)
+    lot = _lot(at, held.count() + sent.count()).alias("_lot")
     routes = (
-        held.select(*at, "_cell", "_part", "_batch", "_centre", "_radius", "_n").groupBy(*at)
-        .cogroup(sent.select(*at, query_key, "_v").groupBy(*at))
-        .applyInPandas(_routes(index.metric, k, query_key, place, schema.names), schema)
+        held.select(*at, "_cell", "_part", "_batch", "_centre", "_radius", "_n").groupBy(lot)
+        .cogroup(sent.select(*at, query_key, "_v").groupBy(lot))
+        .applyInPandas(_routes(index.metric, k, query_key, at, place, schema.names), schema)
     )
     near = Window.partitionBy(*asked).orderBy("_middle", "_cell", "_part", "_batch").rowsBetween(Window.unboundedPreceding, -1)
     edge = F.min("_edge").over(Window.partitionBy(*asked))
@@ -259,16 +283,27 @@ def _read(index: StoredIndex, routes: DataFrame, q: DataFrame, k: int, query_key
     rows = join_bounded(blocks, packets, place, "inner", max_rows=32)
     names = [query_key, *g, "_dim", *keys, "distance"]
     schema = T.StructType([q.schema[query_key], *(index.keys[c] for c in g), q.schema["_dim"], *(index.keys[c] for c in keys), T.StructField("distance", T.DoubleType())])
-    nearest = _nearest(k, index.metric, query_key, keys, [query_key, *keys, "distance"])
+    closest = _closest(k, index.metric)
+
+    def table_of(parts) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(names)})
 
     def run(batches):
         for batch in batches:
+            parts, held = [], 0
             for row in batch.to_dict("records"):
-                n, dim = row["_n"], row["_dim"]
-                x = np.asarray(row["_v"], dtype=np.float64).reshape(n, dim)
-                items = pd.DataFrame({c: row[c] for c in keys}).assign(_v=list(x))
-                queries = pd.DataFrame({query_key: [a["q"] for a in row["_asked"]], "_v": [np.asarray(a["v"], dtype=np.float64) for a in row["_asked"]]})
-                found = nearest(items, queries)
-                yield found.assign(**{c: row[c] for c in g}, _dim=dim)[names]
+                # a block's items lie in the order of their keys
+                x = np.asarray(row["_v"], dtype=np.float64).reshape(row["_n"], row["_dim"])
+                asked = np.empty(len(row["_asked"]), dtype=object)
+                asked[:] = [a["q"] for a in row["_asked"]]
+                r, c, distance = closest(x, np.stack([np.asarray(a["v"], dtype=np.float64) for a in row["_asked"]]))
+                same = [np.full(len(r), row[name], dtype=object) for name in [*g, "_dim"]]
+                parts.append([asked[r], *same, *(np.asarray(row[key])[c] for key in keys), distance])
+                held += len(r)
+                if held >= FOUND_ROWS:
+                    yield table_of(parts)
+                    parts, held = [], 0
+            if parts:
+                yield table_of(parts)
 
     return rows.select(*g, "_dim", "_n", *keys, "_v", "_asked").mapInPandas(run, schema)
