@@ -27,22 +27,23 @@ ORACLE_SQL = None
 #: Near copies: shingles of so many words, and the least Jaccard similarity of them.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
-#: scratch folders of the last call of each stage, by application and place
+#: scratch folders of each stage's calls, by application and place
 _scratch: dict[tuple[str, int], list[str]] = {}
 
 
 def _stage(place: int):
-    """A stage that first removes the scratch of the one before it."""
+    """A stage that first removes the scratch of other stages (also of an earlier run)."""
 
     def wrap(stage):
         @wraps(stage)
         def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             app = spark.sparkContext.applicationId
-            for path in _scratch.pop((app, place - 1), []):
-                remove_path(spark, path)
+            for key in [k for k in _scratch if k[0] == app and k[1] != place]:
+                for path in _scratch.pop(key):
+                    remove_path(spark, path)
             with scratch_group() as paths:
                 out = stage(spark, docs, sf_dir)
-            _scratch[app, place] = paths
+            _scratch.setdefault((app, place), []).extend(paths)
             return out
 
         return run_stage
